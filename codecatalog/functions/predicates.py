@@ -24,8 +24,9 @@ def in_excluded_dir(path: Column, names: Sequence[str] = tuple(fv.DEFAULT_EXCLUD
     test = F.lit(False)
     if plain:
         test = test | F.arrays_overlap(parts, F.array(*[F.lit(n) for n in plain]))
-    for pattern in globs:
-        test = test | F.exists(parts, lambda p, r=pattern: p.rlike(r))
+    if globs:
+        any_glob = "|".join(globs)
+        test = test | F.exists(parts, lambda p: p.rlike(any_glob))
     return test
 
 

@@ -8,15 +8,25 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from codecatalog.functions.text import strip
 from codecatalog.specs import LangSpec
 
-LINE_WINDOW = Window.partitionBy("path").orderBy("line_no")
-BEFORE = LINE_WINDOW.rowsBetween(Window.unboundedPreceding, -1)
-UP_TO_HERE = LINE_WINDOW.rowsBetween(Window.unboundedPreceding, 0)
+
+def line_window() -> WindowSpec:
+    return Window.partitionBy("path").orderBy("line_no")
+
+
+def before() -> WindowSpec:
+    """All earlier lines of the file."""
+    return line_window().rowsBetween(Window.unboundedPreceding, -1)
+
+
+def up_to_here() -> WindowSpec:
+    return line_window().rowsBetween(Window.unboundedPreceding, 0)
+
 
 _RUBY_OPEN = r"^\s*(?:class|module|def|if|unless|while|until|for|case|begin)\b"
 _RUBY_DO = r"\bdo\b\s*(?:\|[^|]*\|)?\s*$"
@@ -143,8 +153,8 @@ def with_depth(lines: DataFrame) -> DataFrame:
     """Nesting depth and open round brackets before each line."""
     return lines.withColumns(
         {
-            "depth": F.coalesce(F.sum("net").over(BEFORE), F.lit(0)),
-            "open_round": F.coalesce(F.sum("round_net").over(BEFORE), F.lit(0)),
+            "depth": F.coalesce(F.sum("net").over(before()), F.lit(0)),
+            "open_round": F.coalesce(F.sum("round_net").over(before()), F.lit(0)),
         }
     )
 
@@ -175,13 +185,13 @@ def with_heads(lines: DataFrame) -> DataFrame:
     is_head = F.col("kind") == "H"
     starts = kinds.withColumns(
         {
-            "heads_before": F.coalesce(F.sum(is_head.cast("bigint")).over(BEFORE), F.lit(0)),
+            "heads_before": F.coalesce(F.sum(is_head.cast("bigint")).over(before()), F.lit(0)),
             "started_by": F.last(
                 F.when(F.col("kind").isin("H", "A"), F.col("kind")), ignorenulls=True
-            ).over(BEFORE),
-            "head_before": F.last(F.when(is_head, F.col("line_no")), ignorenulls=True).over(BEFORE),
+            ).over(before()),
+            "head_before": F.last(F.when(is_head, F.col("line_no")), ignorenulls=True).over(before()),
             "blank_before": F.last(F.when(F.col("kind") == "B", F.col("line_no")), ignorenulls=True).over(
-                BEFORE
+                before()
             ),
         }
     )

@@ -22,12 +22,11 @@ from codecatalog.functions.predicates import (
 from codecatalog.functions.signature import signature_expr
 from codecatalog.functions.text import collapse_spaces, module_name, normalise_quotes, strip
 from codecatalog.operators.lines import (
-    BEFORE,
-    LINE_WINDOW,
-    UP_TO_HERE,
     by_language,
     code_lines,
+    line_window,
     row_kind,
+    up_to_here,
     with_depth,
     with_heads,
 )
@@ -95,19 +94,19 @@ def scope_is(specs: Mapping[str, LangSpec], scope: str) -> Column:
 def logical_blocks(lines: DataFrame, specs: Mapping[str, LangSpec]) -> DataFrame:
     """One row per declaration candidate with the comments, annotations and strings tied to it."""
     numbered = with_heads(with_depth(lines))
-    before = F.lag("kind0").over(LINE_WINDOW)
+    before = F.lag("kind0").over(line_window())
     block_start = (F.col("kind") == "M") & (
         F.col("alt").rlike(r"^\s*/\*")
         | (F.coalesce(before, F.lit("")) != "M")
-        | (F.col("doc_line") != F.coalesce(F.lag("doc_line").over(LINE_WINDOW), F.lit(False)))
+        | (F.col("doc_line") != F.coalesce(F.lag("doc_line").over(line_window()), F.lit(False)))
     )
     indent0_head = scope_is(specs, "indent") & (F.col("kind") == "H") & F.col("code").rlike(r"^\S")
     rows = numbered.withColumns(
         {"starts_block": block_start.cast("int"), "starts_owner": indent0_head.cast("int")}
     ).withColumns(
         {
-            "block": F.sum("starts_block").over(UP_TO_HERE),
-            "owner": F.sum("starts_owner").over(UP_TO_HERE),
+            "block": F.sum("starts_block").over(up_to_here()),
+            "owner": F.sum("starts_owner").over(up_to_here()),
         }
     )
     kind = F.col("kind")

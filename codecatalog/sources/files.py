@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Mapping, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codecatalog import fixed_values as fv
 from codecatalog.functions.predicates import in_excluded_dir
 from codecatalog.functions.text import path_ext, sha256_hex
-from codecatalog.operators.lines import by_language, mask_code
+from codecatalog.operators.lines import mask_code
 from codecatalog.specs import SPECS, LangSpec
 
 
@@ -74,31 +74,34 @@ def decode_text(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     return decoded, bad
 
 
-def broken_syntax(files: DataFrame, specs: Mapping[str, LangSpec] = SPECS) -> DataFrame:
-    """Indentation-scoped files whose brackets or triple quotes do not close, with the reason."""
+def with_syntax_problem(files: DataFrame, specs: Mapping[str, LangSpec] = SPECS) -> DataFrame:
+    """Add ``problem``: why an indentation-scoped file cannot be parsed, else null.
+
+    The test reads one file value at a time, so nothing shuffles.
+    """
     strict = {n: s for n, s in specs.items() if s.scope == "indent"}
-    masked = mask_code(files.where(F.col("lang").isin(*strict)), strict)
+    masked = mask_code(files, strict)
     code, text = F.col("code"), F.col("text")
 
-    def count(chars: str):
+    def count(chars: str) -> Column:
         return F.length(code) - F.length(F.translate(code, chars, ""))
 
     open_quote = (F.regexp_count(text, F.lit('"""')) % 2 == 1) | (F.regexp_count(text, F.lit("'''")) % 2 == 1)
     bad_header = code.rlike(r"(?m)^[ \t]*(?:async[ \t]+)?def[ \t]+\w+[ \t]*(?:[^\s(\w\[]|$)") | code.rlike(
         r"(?m)^[ \t]*class[ \t]*(?:[^\w\s]|$)"
     )
-    reason = (
+    problem = (
         F.when((count("(") != count(")")) | (count("[") != count("]")) | (count("{") != count("}")), "unbalanced brackets")
         .when(open_quote, "unclosed string")
         .when(bad_header, "illegal header")
     )
-    return masked.select("path", reason.alias("reason")).where("reason IS NOT NULL")
+    return masked.withColumn(
+        "problem", F.when(F.col("lang").isin(*strict), problem) if strict else F.lit(None).cast("string")
+    ).drop("code", "text")
 
 
 def quarantine_syntax(files: DataFrame, specs: Mapping[str, LangSpec] = SPECS) -> tuple[DataFrame, DataFrame]:
-    """``(parsable files, quarantine)``. The test is a column over one file value, so nothing shuffles."""
-    strict = [n for n, s in specs.items() if s.scope == "indent"]
-    if not strict:
-        return files, files.sparkSession.createDataFrame([], "path string, reason string")
-    bad = broken_syntax(files, specs)
-    return files.join(bad, "path", "left_anti"), bad
+    """``(parsable files, quarantine(path, reason))``."""
+    checked = with_syntax_problem(files, specs)
+    good = checked.where("problem IS NULL").drop("problem")
+    return good, checked.where("problem IS NOT NULL").select("path", F.col("problem").alias("reason"))
