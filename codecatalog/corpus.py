@@ -117,13 +117,13 @@ SECOND_DOC = "'Second of ' || sid || '.'"
 ASYNC = "doc_id % 5 = 1"
 
 
-def _header(t: Template, single: str, first: str, params: list[str], last: str, sym: Sym, depth: int = 0) -> None:
+def _header(t: Template, single: str, first: str, params: list[str], last: str, sym: Sym, depth: int = 0, inner: int | None = None) -> None:
     """A function header on one line or, for some documents, over several."""
     t.add(single, sym, when=f"NOT ({MULTI})", depth=depth)
     t.add(first, when=MULTI, depth=depth, span=len(params) + 2)
-    for p in params:
-        t.add(p, when=MULTI, kind="C", depth=depth)
-    t.add(last, when=MULTI, kind="C", depth=depth)
+    inner = depth if inner is None else inner
+    for p in params + [last]:
+        t.add(p, when=MULTI, kind="C", depth=inner)
 
 
 def _python() -> Template:
@@ -471,7 +471,7 @@ def _ruby() -> Template:
         ["      a,", '      b = "x",'],
         "      *rest)",
         Sym("method", "f_{id}?", "C{id}", [("a", "", ""), ("b", "", '"x"'), ("*rest", "", "")], doc=FUNC_DOC),
-        depth=2,
+        depth=2, inner=3,
     )
     t.add("      a.each do |x|", depth=3)
     t.add("        puts x if x", depth=4)
@@ -578,7 +578,9 @@ BASE_SQL = _base(", 'g'")
 
 
 def corpus_base(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source", "lang", "text")
+    # The given file has one row group; without this a single task would do all the work.
+    docs = docs.repartition(spark.sparkContext.defaultParallelism)
     return spark.sql(_base("").replace("FROM documents", "FROM {docs}"), docs=docs)
 
 

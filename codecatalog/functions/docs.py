@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from codecatalog.functions.text import strip
+from codecatalog.functions.text import let, strip
 
 
 def _join(lines: Column) -> Column:
@@ -51,26 +51,27 @@ def clean_xml(lines: Column) -> Column:
 
 def clean_docstring(text: Column) -> Column:
     """A quoted docstring: drop prefix and quotes, then dedent the lines after the first."""
-    body = F.regexp_extract(
+    literal = F.regexp_extract(
         text, r"^\s*[rRuUbBfF]{0,2}(?:\"\"\"([\s\S]*?)\"\"\"|'''([\s\S]*?)'''|\"([^\n]*?)\"|'([^\n]*?)')", 0
     )
     inner = F.regexp_replace(
-        F.regexp_replace(strip(body), r"^[rRuUbBfF]{0,2}(?:\"\"\"|'''|\"|')", ""), r"(?:\"\"\"|'''|\"|')$", ""
+        F.regexp_replace(strip(literal), r"^[rRuUbBfF]{0,2}(?:\"\"\"|'''|\"|')", ""), r"(?:\"\"\"|'''|\"|')$", ""
     )
-    lines = F.split(F.replace(inner, F.lit("\t"), F.lit("        ")), "\n")
-    rest = F.slice(lines, 2, F.size(lines))
-    margin = F.array_min(
-        F.transform(
-            F.filter(rest, lambda x: strip(x) != ""),
-            lambda x: F.length(x) - F.length(F.ltrim(x)),
+
+    def dedent(lines: Column, margin: Column) -> Column:
+        return F.transform(
+            lines,
+            lambda x, i: F.when(i == 0, strip(x)).otherwise(
+                F.rtrim(F.substring(x, F.coalesce(margin, F.lit(0)) + 1, F.length(x)))
+            ),
         )
-    )
-    dedented = F.transform(
-        rest, lambda x: F.rtrim(F.substring(x, F.coalesce(margin, F.lit(0)) + 1, F.length(x)))
-    )
-    return strip(
-        F.array_join(F.concat(F.array(strip(F.element_at(lines, 1))), dedented), "\n")
-    )
+
+    def body(lines: Column) -> Column:
+        rest = F.filter(lines, lambda x, i: (i > 0) & (strip(x) != ""))
+        margin = F.array_min(F.transform(rest, lambda x: F.length(x) - F.length(F.ltrim(x))))
+        return strip(F.array_join(let(margin, lambda m: dedent(lines, m)), "\n"))
+
+    return let(F.split(F.replace(inner, F.lit("\t"), F.lit("        ")), "\n"), body)
 
 
 def clean_docs(lines: Column, style: str, tag_marks: str = "@") -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -10,6 +12,11 @@ from codecatalog import fixed_values as fv
 BLANKS = " \t\r\n"
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` computed once, wherever the optimizer moves the expression."""
+    return F.transform(F.array(value), body)[0]
+
+
 def strip(col: Column) -> Column:
     return F.btrim(col, F.lit(BLANKS))
 

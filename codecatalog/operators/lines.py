@@ -8,10 +8,11 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping
 
+from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from codecatalog.functions.text import strip
+from codecatalog.functions.text import let, strip
 from codecatalog.specs import LangSpec
 
 
@@ -39,10 +40,24 @@ def by_language(
     specs: Mapping[str, LangSpec], expr: Callable[[LangSpec], Column], default: Column | None = None
 ) -> Column:
     """One literal expression per language; only the row's own branch is evaluated."""
+    default = F.lit(None) if default is None else default
     chain = F
     for spec in specs.values():
         chain = chain.when(F.col("lang") == spec.name, expr(spec))
-    return chain.otherwise(F.lit(None) if default is None else default)
+    return chain.otherwise(default) if specs else default
+
+
+def per_specs(build: Callable[[Mapping[str, LangSpec]], object]) -> Callable[[Mapping[str, LangSpec]], object]:
+    """Build the expressions of a set of languages once per JVM; they only name columns."""
+    built: dict = {}
+
+    def cached(specs: Mapping[str, LangSpec]):
+        key = (id(SparkContext._gateway), tuple(specs.values()))
+        if key not in built:
+            built[key] = build(specs)
+        return built[key]
+
+    return cached
 
 
 def explode_lines(files: DataFrame) -> DataFrame:
@@ -56,46 +71,53 @@ def explode_lines(files: DataFrame) -> DataFrame:
 FILLER = "\u0001"
 
 
-def _filled(col: Column, char: str) -> Column:
-    return F.regexp_replace(col, r"[^\n]", char)
+def _filled(literal: Column, char: str) -> Column:
+    """The literal with every character but line feeds replaced."""
+    return F.array_join(
+        F.transform(F.split(literal, "\n"), lambda x: F.repeat(F.lit(char), F.length(x))), "\n"
+    )
 
 
-def mask_code(files: DataFrame, specs: Mapping[str, LangSpec]) -> DataFrame:
-    """Add ``code`` (comments and strings blanked) and ``text`` (comments blanked), same length."""
-    cut = files.withColumns(
-        {
-            "content": F.regexp_replace("content", r"\r\n?", "\n"),
-        }
-    ).withColumns(
-        {
-            "literals": by_language(
-                specs, lambda s: F.regexp_extract_all("content", F.lit(s.literals), F.lit(0))
-            ),
-            "gaps": by_language(specs, lambda s: F.split("content", s.literals, -1)),
-        }
-    )
-    is_comment = lambda t: by_language(specs, lambda s: t.rlike(s.comment))
+def masked_struct(content: Column, specs: Mapping[str, LangSpec]) -> Column:
+    """``struct<line, code, text>`` of one file: as it is, and with literals blanked to equal length.
 
-    def fill(gap: Column, literal: Column) -> Column:
-        comment = is_comment(literal)
-        blank = _filled(literal, " ")
-        code = F.when(comment, blank).otherwise(_filled(literal, FILLER))
-        text = F.when(comment, blank).otherwise(literal)
+    ``code`` has comments and strings blanked, ``text`` only comments.
+    """
+
+    def parts(c: Column) -> Column:
         return F.struct(
-            F.concat(gap, F.coalesce(code, F.lit(""))).alias("code"),
-            F.concat(gap, F.coalesce(text, F.lit(""))).alias("text"),
+            c.alias("content"),
+            by_language(
+                specs, lambda s: F.regexp_extract_all(c, F.lit(s.literals), F.lit(0))
+            ).alias("literals"),
+            by_language(specs, lambda s: F.split(c, s.literals, -1)).alias("gaps"),
         )
 
-    return (
-        cut.withColumn("filled", F.zip_with("gaps", "literals", fill))
-        .withColumns(
-            {
-                "code": F.array_join(F.col("filled.code"), ""),
-                "text": F.array_join(F.col("filled.text"), ""),
-            }
+    def blanked(p: Column) -> Column:
+        codes = F.transform(
+            p["literals"],
+            lambda t: F.when(by_language(specs, lambda s: t.rlike(s.comment)), _filled(t, " ")).otherwise(
+                _filled(t, FILLER)
+            ),
+        )
+        return F.struct(p["content"].alias("content"), p["gaps"].alias("gaps"), p["literals"].alias("literals"), codes.alias("codes"))
+
+    def woven(p: Column) -> Column:
+        texts = F.zip_with(
+            p["literals"], p["codes"], lambda t, c: F.when(c.startswith(FILLER), t).otherwise(c)
         )
-        .drop("filled", "gaps", "literals")
-    )
+
+        def weave(pieces: Column) -> Column:
+            return F.array_join(
+                F.zip_with(p["gaps"], pieces, lambda g, t: F.concat(g, F.coalesce(t, F.lit("")))), ""
+            )
+
+        return F.struct(
+            p["content"].alias("line"), weave(p["codes"]).alias("code"), weave(texts).alias("text")
+        )
+
+    normal = F.regexp_replace(content, r"\r\n?", "\n")
+    return let(normal, lambda c: let(parts(c), lambda p: let(blanked(p), woven)))
 
 
 def _count(col: Column, chars: str) -> Column:
@@ -120,20 +142,25 @@ def _round_net(spec: LangSpec, code: Column) -> Column:
     return _count(code, "(") - _count(code, ")")
 
 
+@per_specs
+def _line_rows(specs: Mapping[str, LangSpec]) -> Column:
+    return let(
+        masked_struct(F.col("content"), specs),
+        lambda m: F.arrays_zip(*[F.split(m[part], "\n").alias(part) for part in ("line", "code", "text")]),
+    )
+
+
+@per_specs
+def _net_columns(specs: Mapping[str, LangSpec]) -> dict[str, Column]:
+    return {
+        "net": by_language(specs, lambda s: _net(s, F.col("code"))),
+        "round_net": by_language(specs, lambda s: _round_net(s, F.col("code"))),
+    }
+
+
 def code_lines(files: DataFrame, specs: Mapping[str, LangSpec]) -> DataFrame:
     """``(path, lang, line_no, line, code, text, net, round_net)``: one row per line, still unshuffled."""
-    masked = mask_code(files, specs)
-    rows = masked.select(
-        "path",
-        "lang",
-        F.posexplode(
-            F.arrays_zip(
-                F.split("content", "\n").alias("line"),
-                F.split("code", "\n").alias("code"),
-                F.split("text", "\n").alias("text"),
-            )
-        ).alias("pos", "r"),
-    )
+    rows = files.select("path", "lang", F.posexplode(_line_rows(specs)).alias("pos", "r"))
     return rows.select(
         "path",
         "lang",
@@ -141,12 +168,7 @@ def code_lines(files: DataFrame, specs: Mapping[str, LangSpec]) -> DataFrame:
         F.col("r.line").alias("line"),
         F.col("r.code").alias("code"),
         F.col("r.text").alias("text"),
-    ).withColumns(
-        {
-            "net": by_language(specs, lambda s: _net(s, F.col("code"))),
-            "round_net": by_language(specs, lambda s: _round_net(s, F.col("code"))),
-        }
-    )
+    ).withColumns(_net_columns(specs))
 
 
 def with_depth(lines: DataFrame) -> DataFrame:
@@ -159,6 +181,7 @@ def with_depth(lines: DataFrame) -> DataFrame:
     )
 
 
+@per_specs
 def row_kind(specs: Mapping[str, LangSpec]) -> Column:
     """Blank, Message (comment only), Text (string only), Annotation or Head (code)."""
     code_blank = strip(F.translate(F.col("code"), FILLER, "")) == ""

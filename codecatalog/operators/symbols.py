@@ -20,11 +20,12 @@ from codecatalog.functions.predicates import (
     is_private,
 )
 from codecatalog.functions.signature import signature_expr
-from codecatalog.functions.text import collapse_spaces, module_name, normalise_quotes, strip
+from codecatalog.functions.text import collapse_spaces, let, module_name, normalise_quotes, strip
 from codecatalog.operators.lines import (
     by_language,
     code_lines,
     line_window,
+    per_specs,
     row_kind,
     up_to_here,
     with_depth,
@@ -53,9 +54,20 @@ def _any_decl(spec: LangSpec) -> Column:
     return test
 
 
+@per_specs
+def _line_tests(specs: Mapping[str, LangSpec]) -> dict[str, Column]:
+    return {
+        "may_declare": by_language(specs, _may_declare, F.lit(False)),
+        "doc_line": by_language(
+            specs, lambda s: F.col("line").rlike(s.doc_line) if s.doc_line else F.lit(False)
+        ),
+    }
+
+
 def prepared_lines(files: DataFrame, specs: Mapping[str, LangSpec]) -> DataFrame:
     """Everything that can be decided before the exchange, in as few bytes as possible."""
     lines = code_lines(files, specs).withColumn("kind0", row_kind(specs))
+    tests = _line_tests(specs)
     raw_kept = F.col("kind0").isin("M", "T")
     inline_doc = F.regexp_extract("line", r"^\s*(/\*[*!].*?\*/)\s*\S", 1)
     return lines.select(
@@ -72,18 +84,11 @@ def prepared_lines(files: DataFrame, specs: Mapping[str, LangSpec]) -> DataFrame
         F.when((F.col("kind0") == "H") & (inline_doc != ""), inline_doc).alias("inline_doc"),
         F.when(
             F.col("kind0") == "H",
-            (F.col("round_net") > 0) | by_language(specs, _may_declare, F.lit(False)),
+            (F.col("round_net") > 0) | tests["may_declare"],
         )
         .otherwise(False)
         .alias("may_declare"),
-        F.when(
-            F.col("kind0") == "M",
-            by_language(
-                specs, lambda s: F.col("line").rlike(s.doc_line) if s.doc_line else F.lit(False)
-            ),
-        )
-        .otherwise(False)
-        .alias("doc_line"),
+        F.when(F.col("kind0") == "M", tests["doc_line"]).otherwise(False).alias("doc_line"),
     )
 
 
@@ -207,11 +212,17 @@ def _decl_of(spec: LangSpec) -> Column:
 
 def with_declarations(blocks: DataFrame, specs: Mapping[str, LangSpec]) -> DataFrame:
     """Add the declaration struct ``d`` (null on lines that only open a scope)."""
-    return blocks.withColumn("d", by_language(specs, _decl_of)).withColumn(
+    return blocks.withColumn("d", _declared(specs)).withColumn(
         "d", F.when(_is_symbol_like(specs), F.col("d"))
     )
 
 
+@per_specs
+def _declared(specs: Mapping[str, LangSpec]) -> Column:
+    return by_language(specs, _decl_of)
+
+
+@per_specs
 def _is_symbol_like(specs: Mapping[str, LangSpec]) -> Column:
     """Control words, macro names and non-types only look like declarations."""
 
@@ -297,7 +308,7 @@ def enclosing_scope(blocks: DataFrame, specs: Mapping[str, LangSpec]) -> DataFra
 
 
 def _fill_gaps(rows: Column) -> Column:
-    """Lines of a block in order, with '' for blank lines in between."""
+    """Lines of a block in order, with '' for blank lines in between. ``rows`` is a bound value."""
     return F.flatten(
         F.transform(
             rows,
@@ -312,26 +323,34 @@ def _fill_gaps(rows: Column) -> Column:
     )
 
 
+def _last_block(comments: Column) -> Column:
+    return let(
+        F.element_at(comments, -1)["block"],
+        lambda block: F.filter(comments, lambda r: r["block"] == block),
+    )
+
+
+@per_specs
 def doc_lines(specs: Mapping[str, LangSpec]) -> Column:
     """Raw lines of the documentation block that belongs to the row's declaration."""
-    last = F.element_at("comments", -1)
-    block = F.filter("comments", lambda r: r["block"] == last["block"])
-
-    def pick(spec: LangSpec) -> Column:
-        if spec.doc_style == "string":
-            return _fill_gaps(F.col("strings"))
-        is_block = F.element_at(block, 1)["line"].rlike(spec.doc_block) if spec.doc_block else F.lit(False)
-        is_run = F.lit(False)
-        if spec.doc_line:
-            is_run = last["doc_line"] & (
-                F.col("blank_before").isNull() | (F.col("blank_before") < last["line_no"])
-            )
-        above = F.when(F.size("comments") > 0, F.when(is_block | is_run, _fill_gaps(block)))
-        if spec.doc_block:
-            above = F.when(F.col("inline_doc").isNotNull(), F.array("inline_doc")).otherwise(above)
-        return above
-
-    return F.coalesce(by_language(specs, pick), F.array().cast("array<string>"))
+
+    def of_block(block: Column) -> Column:
+        first, last = F.element_at(block, 1), F.element_at(block, -1)
+        near = F.col("blank_before").isNull() | (F.col("blank_before") < last["line_no"])
+
+        def belongs(spec: LangSpec) -> Column:
+            is_block = first["line"].rlike(spec.doc_block) if spec.doc_block else F.lit(False)
+            return is_block | (last["doc_line"] & near) if spec.doc_line else is_block
+
+        return F.when(by_language(specs, belongs), _fill_gaps(block))
+
+    inline = [s.name for s in specs.values() if s.doc_block]
+    return F.coalesce(
+        F.when(F.col("lang").isin(*inline) & F.col("inline_doc").isNotNull(), F.array("inline_doc"))
+        .when(scope_is(specs, "indent"), let(F.col("strings"), _fill_gaps))
+        .when(F.size("comments") > 0, let(_last_block(F.col("comments")), of_block)),
+        F.array().cast("array<string>"),
+    )
 
 
 def _python_decorators() -> Column:
@@ -436,49 +455,56 @@ def exclude_private(symbols: DataFrame) -> DataFrame:
     return symbols.where(~is_private(F.col("name")))
 
 
-def with_details(rows: DataFrame, specs: Mapping[str, LangSpec] = SPECS) -> DataFrame:
-    """Parameters, bases, documentation, flags and signature of each declaration."""
+@per_specs
+def _detail_columns(specs: Mapping[str, LangSpec]) -> dict[str, Column]:
     no_args = F.array().cast(ARGS_TYPE)
     no_names = F.array().cast("array<string>")
     ret = collapse_spaces(F.col("ret"))
-    annotation_texts = F.transform("annotations", lambda a: a["text"])
     is_python = scope_is(specs, "indent")
-    parsed = rows.withColumns(
-        {
-            "args": F.when(
-                F.col("params") != "", by_language(specs, lambda s: parse_params(F.col("params"), s))
-            ).otherwise(no_args),
-            "return_type": by_language(
-                specs,
-                lambda s: normalise_quotes(ret)
-                if s.scope == "indent"
-                else (F.regexp_replace(ret, r"^\(([\s\S]*)\)$", "$1") if s.name == "go" else ret),
-            ),
-            "bases": F.when(
-                (F.col("bases_raw") != "") | (F.col("implements_raw") != ""),
-                by_language(
-                    specs,
-                    lambda s: F.concat(
-                        base_names(F.col("bases_raw"), s), base_names(F.col("implements_raw"), s)
-                    ),
-                ),
-            ).otherwise(no_names),
-            "docstring": F.when(
-                F.size("doc_raw") > 0,
-                by_language(specs, lambda s: clean_docs(F.col("doc_raw"), s.doc_style, s.tag_marks)),
-            ).otherwise(""),
-            "decorators": F.when(is_python, _python_decorators())
-            .when(F.col("marker") != "", F.array("marker"))
-            .otherwise(no_names),
-            "is_method": F.col("kind") == "method",
-            "is_async": F.col("mods").rlike(r"\b(?:async|suspend)\b"),
-        }
+    all_bases = F.concat_ws(
+        ", ", F.nullif(F.col("bases_raw"), F.lit("")), F.nullif(F.col("implements_raw"), F.lit(""))
     )
-    return parsed.withColumn(
-        "is_deprecated",
-        deprecated_expr(F.col("docstring"), annotation_texts)
-        | F.exists("doc_raw", lambda x: x.rlike(r"[@\\][Dd]eprecated\b")),
-    ).select(
+
+    def return_type(spec: LangSpec) -> Column:
+        if spec.scope == "indent":
+            return normalise_quotes(ret)
+        return F.regexp_replace(ret, r"^\(([\s\S]*)\)$", "$1") if spec.name == "go" else ret
+
+    splitters: dict[tuple[bool, bool], list[LangSpec]] = {}
+    for spec in specs.values():
+        splitters.setdefault((spec.angle_brackets, spec.quote_chars), []).append(spec)
+    bases = F
+    for group in splitters.values():
+        bases = bases.when(F.col("lang").isin(*[s.name for s in group]), base_names(all_bases, group[0]))
+    cleaners: dict[tuple[str, str], list[LangSpec]] = {}
+    for spec in specs.values():
+        cleaners.setdefault((spec.doc_style, spec.tag_marks), []).append(spec)
+    docs = F
+    for (style, marks), group in cleaners.items():
+        docs = docs.when(F.col("lang").isin(*[s.name for s in group]), clean_docs(F.col("doc_raw"), style, marks))
+    return {
+        "args": F.when(
+            F.col("params") != "", by_language(specs, lambda s: parse_params(F.col("params"), s))
+        ).otherwise(no_args),
+        "return_type": by_language(specs, return_type),
+        "bases": F.when((F.col("bases_raw") != "") | (F.col("implements_raw") != ""), bases.otherwise(no_names)).otherwise(
+            no_names
+        ),
+        "docstring": F.when(F.size("doc_raw") > 0, docs.otherwise("")).otherwise(""),
+        "decorators": F.when(is_python, _python_decorators())
+        .when(F.col("marker") != "", F.array("marker"))
+        .otherwise(no_names),
+        "is_method": F.col("kind") == "method",
+        "is_async": F.col("mods").rlike(r"\b(?:async|suspend)\b"),
+        "tagged_deprecated": F.exists("doc_raw", lambda x: x.rlike(r"[@\\][Dd]eprecated\b")),
+    }
+
+
+def with_details(rows: DataFrame, specs: Mapping[str, LangSpec] = SPECS) -> DataFrame:
+    """Parameters, bases, documentation, flags and signature of each declaration."""
+    annotation_texts = F.transform("annotations", lambda a: a["text"])
+    parsed = rows.withColumns(_detail_columns(specs))
+    return parsed.select(
         "path",
         module_name(F.col("path")).alias("module_name"),
         "lang",
@@ -494,7 +520,7 @@ def with_details(rows: DataFrame, specs: Mapping[str, LangSpec] = SPECS) -> Data
         "docstring",
         "is_method",
         "is_async",
-        "is_deprecated",
+        (deprecated_expr(F.col("docstring"), annotation_texts) | F.col("tagged_deprecated")).alias("is_deprecated"),
         F.col("line_no").alias("line_number"),
         "header_end",
         "indent",

@@ -5,11 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from codecatalog import corpus, specs
-from codecatalog.functions import predicates, text
-from codecatalog.operators import lines, symbols
+from codecatalog.operators import symbols
 from codecatalog.sources import files as source_files
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -28,6 +26,10 @@ def query(name: str, oracle: str | None = None):
     return wrap
 
 
+def with_files(sql: str) -> str:
+    return f"WITH {corpus.files_sql()} {sql}"
+
+
 def with_base(sql: str) -> str:
     return f"WITH base AS MATERIALIZED ({corpus.BASE_SQL}) {sql}"
 
@@ -49,22 +51,5 @@ def catalog(spark: SparkSession, sf: str, *langs: str) -> DataFrame:
     return symbols.extract_symbols(kept_files(spark, sf, langs), chosen)
 
 
-def _flat(df: DataFrame) -> DataFrame:
-    return df.select(
-        "path", "module_name", "lang", "kind", "name", "parent_name", "signature", "return_type",
-        F.array_join("bases", ", ").alias("bases_text"),
-        F.array_join("decorators", "|").alias("decorators_text"),
-        "docstring", "is_async", "is_deprecated", "line_number",
-    )
-
-
-FLAT = (
-    "path, module_name, lang, kind, name, parent_name, signature, return_type, bases_text, decorators_text, "
-    "docstring, is_async, is_deprecated, line_number"
-)
-
-for _lang in corpus.LANGUAGES:
-    query(
-        f"symbols_{_lang}",
-        with_base(f"SELECT {FLAT} FROM ({corpus.expected_sql([_lang])}) e WHERE NOT nested"),
-    )(lambda spark, sf, lang=_lang: _flat(catalog(spark, sf, lang)))
+def expected_symbols(langs: list[str] | None = None) -> str:
+    return f"(SELECT * FROM ({corpus.expected_sql(langs)}) e WHERE NOT nested)"

@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from codecatalog import fixed_values as fv
 from codecatalog.functions.predicates import in_excluded_dir
-from codecatalog.functions.text import path_ext, sha256_hex
-from codecatalog.operators.lines import mask_code
+from codecatalog.functions.text import let, path_ext, sha256_hex
+from codecatalog.operators.lines import masked_struct, per_specs
 from codecatalog.specs import SPECS, LangSpec
 
 
@@ -74,30 +74,36 @@ def decode_text(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     return decoded, bad
 
 
+@per_specs
+def _syntax_problem(strict: Mapping[str, LangSpec]) -> Column:
+    def problem(masked: Column) -> Column:
+        code, text = masked["code"], masked["text"]
+
+        def count(chars: str) -> Column:
+            return F.length(code) - F.length(F.translate(code, chars, ""))
+
+        open_quote = (F.regexp_count(text, F.lit('"""')) % 2 == 1) | (F.regexp_count(text, F.lit("'''")) % 2 == 1)
+        bad_header = code.rlike(
+            r"(?m)^[ \t]*(?:async[ \t]+)?def[ \t]+\w+[ \t]*(?:[^\s(\w\[]|$)"
+        ) | code.rlike(r"(?m)^[ \t]*class[ \t]*(?:[^\w\s]|$)")
+        unbalanced = (count("(") != count(")")) | (count("[") != count("]")) | (count("{") != count("}"))
+        return (
+            F.when(unbalanced, "unbalanced brackets").when(open_quote, "unclosed string").when(bad_header, "illegal header")
+        )
+
+    return let(masked_struct(F.col("content"), strict), problem)
+
+
+
 def with_syntax_problem(files: DataFrame, specs: Mapping[str, LangSpec] = SPECS) -> DataFrame:
     """Add ``problem``: why an indentation-scoped file cannot be parsed, else null.
 
     The test reads one file value at a time, so nothing shuffles.
     """
     strict = {n: s for n, s in specs.items() if s.scope == "indent"}
-    masked = mask_code(files, strict)
-    code, text = F.col("code"), F.col("text")
-
-    def count(chars: str) -> Column:
-        return F.length(code) - F.length(F.translate(code, chars, ""))
-
-    open_quote = (F.regexp_count(text, F.lit('"""')) % 2 == 1) | (F.regexp_count(text, F.lit("'''")) % 2 == 1)
-    bad_header = code.rlike(r"(?m)^[ \t]*(?:async[ \t]+)?def[ \t]+\w+[ \t]*(?:[^\s(\w\[]|$)") | code.rlike(
-        r"(?m)^[ \t]*class[ \t]*(?:[^\w\s]|$)"
-    )
-    problem = (
-        F.when((count("(") != count(")")) | (count("[") != count("]")) | (count("{") != count("}")), "unbalanced brackets")
-        .when(open_quote, "unclosed string")
-        .when(bad_header, "illegal header")
-    )
-    return masked.withColumn(
-        "problem", F.when(F.col("lang").isin(*strict), problem) if strict else F.lit(None).cast("string")
-    ).drop("code", "text")
+    if not strict:
+        return files.withColumn("problem", F.lit(None).cast("string"))
+    return files.withColumn("problem", F.when(F.col("lang").isin(*strict), _syntax_problem(strict)))
 
 
 def quarantine_syntax(files: DataFrame, specs: Mapping[str, LangSpec] = SPECS) -> tuple[DataFrame, DataFrame]:

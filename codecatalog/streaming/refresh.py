@@ -2,7 +2,8 @@
 
 A batch writes only what it touched: the new symbol rows and the new state rows of its paths. The
 catalog is the log of these writes; for each path its latest version counts. All of a batch's data is
-written under its batch id before that id is committed, so a replay changes nothing.
+written under the next version before that version is committed. A replayed batch either overwrites
+its own uncommitted version or, once committed, finds every hash already known and writes nothing.
 """
 
 from __future__ import annotations
@@ -49,11 +50,11 @@ def current_quarantine(spark: SparkSession, out: str) -> DataFrame:
     return log.join(latest_state(spark, out).select("path", "v"), ["path", "v"]).drop("v")
 
 
-def refresh(batch: DataFrame, batch_id: int, out: str, options: BuildOptions = BuildOptions()) -> bool:
+def refresh(batch: DataFrame, out: str, options: BuildOptions = BuildOptions()) -> bool:
     """Apply one batch of ``(path, change, content, ts)``; False if nothing really changed."""
     spark = batch.sparkSession
-    if state.current_version(spark, out) is not None and state.current_version(spark, out) >= batch_id:
-        return False
+    committed = state.current_version(spark, out)
+    version = 0 if committed is None else committed + 1
     last = (
         batch.groupBy("path")
         .agg(F.max_by(F.struct("change", "content"), "ts").alias("c"))
@@ -75,10 +76,10 @@ def refresh(batch: DataFrame, batch_id: int, out: str, options: BuildOptions = B
             src.skip_test_files(src.tag_language(decoded, options.specs), options.specs), options.specs
         )
         symbols = extract_symbols(good, options.specs, private=not options.exclude_private)
-        state.write_data(symbols, f"{out}/symbols", batch_id)
-        state.write_data(undecodable.unionByName(broken), f"{out}/quarantine", batch_id)
-        state.write_data(touched.select("path", "sha256"), f"{out}/state", batch_id)
-        state.commit(spark, out, batch_id)
+        state.write_data(symbols, f"{out}/symbols", version)
+        state.write_data(undecodable.unionByName(broken), f"{out}/quarantine", version)
+        state.write_data(touched.select("path", "sha256"), f"{out}/state", version)
+        state.commit(spark, out, version)
         return True
     finally:
         touched.unpersist()
@@ -90,7 +91,7 @@ def stream_refresh(
     """Keep the catalog at ``out`` current with a change feed; runs what is available, then stops."""
     wanted = relevant(changes, [e for s in options.specs.values() for e in s.extensions])
     return (
-        wanted.writeStream.foreachBatch(lambda batch, batch_id: refresh(batch, batch_id, out, options))
+        wanted.writeStream.foreachBatch(lambda batch, _: refresh(batch, out, options))
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()
