@@ -168,8 +168,7 @@ def logical_blocks(lines: DataFrame, specs: Mapping[str, LangSpec]) -> DataFrame
     )
 
 
-def _decl_struct(spec: LangSpec, decl: Decl) -> Column:
-    code, text = F.col("code"), F.col("text")
+def _decl_struct(decl: Decl, code: Column, text: Column) -> Column:
 
     def group(i: int) -> Column:
         return F.regexp_extract(code, decl.pattern, i) if i else F.lit("")
@@ -203,10 +202,10 @@ def _decl_struct(spec: LangSpec, decl: Decl) -> Column:
     )
 
 
-def _decl_of(spec: LangSpec) -> Column:
+def _decl_of(spec: LangSpec, code: Column, text: Column) -> Column:
     chain = F
     for decl in spec.decls:
-        chain = chain.when(F.col("code").rlike(decl.pattern), _decl_struct(spec, decl))
+        chain = chain.when(code.rlike(decl.pattern), _decl_struct(decl, code, text))
     return chain.otherwise(F.lit(None)) if spec.decls else F.lit(None)
 
 
@@ -219,7 +218,10 @@ def with_declarations(blocks: DataFrame, specs: Mapping[str, LangSpec]) -> DataF
 
 @per_specs
 def _declared(specs: Mapping[str, LangSpec]) -> Column:
-    return by_language(specs, _decl_of)
+    # Bound values also keep this large expression out of generated code, where it would not fit.
+    return let(
+        F.struct("code", "text"), lambda v: by_language(specs, lambda s: _decl_of(s, v["code"], v["text"]))
+    )
 
 
 @per_specs

@@ -11,6 +11,7 @@ from codecatalog import fixed_values as fv
 from codecatalog.functions.predicates import in_excluded_dir
 from codecatalog.functions.text import let, path_ext, sha256_hex
 from codecatalog.operators.lines import masked_struct, per_specs
+from codecatalog.sources.tree import SourceTree
 from codecatalog.specs import SPECS, LangSpec
 
 
@@ -45,19 +46,27 @@ def read_source_tree(
 ) -> DataFrame:
     """``(path, content BINARY)`` of every matching file, with paths relative to ``root``.
 
-    One listing serves all suffixes. The directory filter is on ``_metadata.file_path``, so that
-    excluded files are pruned before their bytes are read.
+    A mounted folder is read by the ``source_tree`` source. For a remote URI Spark's binary file
+    source lists once for all suffixes, and the directory filter on ``_metadata.file_path`` prunes
+    excluded files before their bytes are read; it skips empty files and names that start with ``_``.
     """
     wanted = sorted(extensions or [e for s in SPECS.values() for e in s.extensions])
-    glob = "*{" + ",".join(wanted) + "}"
+    if "://" not in root.replace("file://", "", 1):
+        spark.dataSource.register(SourceTree)
+        return (
+            spark.read.format("source_tree")
+            .option("root", root.removeprefix("file://"))
+            .option("extensions", ",".join(wanted))
+            .option("exclude", ",".join(exclude))
+            .load()
+        )
     raw = (
         spark.read.format("binaryFile")
         .option("recursiveFileLookup", "true")
-        .option("pathGlobFilter", glob)
+        .option("pathGlobFilter", "*{" + ",".join(wanted) + "}")
         .load(root)
     )
-    prefix = "^(?:file:)?/*" + "".join("\\" + c if not c.isalnum() and c not in "/_" else c for c in root.strip("/")) + "/"
-    relative = F.regexp_replace(F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B"))), prefix, "")
+    relative = F.substring(F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B"))), len(root.rstrip("/")) + 2, 1 << 30)
     return raw.where(~in_excluded_dir(relative, exclude)).select(relative.alias("path"), "content")
 
 
