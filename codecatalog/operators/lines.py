@@ -120,8 +120,8 @@ def masked_struct(content: Column, specs: Mapping[str, LangSpec]) -> Column:
     return let(normal, lambda c: let(parts(c), lambda p: let(blanked(p), woven)))
 
 
-def _count(col: Column, chars: str) -> Column:
-    return F.length(col) - F.length(F.translate(col, chars, ""))
+def _count(col: Column, char: str) -> Column:
+    return F.octet_length(col) - F.octet_length(F.replace(col, F.lit(char), F.lit("")))
 
 
 def _net(spec: LangSpec, code: Column) -> Column:
@@ -138,7 +138,7 @@ def _net(spec: LangSpec, code: Column) -> Column:
 
 def _round_net(spec: LangSpec, code: Column) -> Column:
     if spec.scope == "indent":
-        return _count(code, "([{") - _count(code, ")]}")
+        return sum((_count(code, c) for c in "([{"), F.lit(0)) - sum((_count(code, c) for c in ")]}"), F.lit(0))
     return _count(code, "(") - _count(code, ")")
 
 
@@ -184,13 +184,13 @@ def with_depth(lines: DataFrame) -> DataFrame:
 @per_specs
 def row_kind(specs: Mapping[str, LangSpec]) -> Column:
     """Blank, Message (comment only), Text (string only), Annotation or Head (code)."""
-    code_blank = strip(F.translate(F.col("code"), FILLER, "")) == ""
+    code_blank = ~F.col("code").rlike(rf"[^\s{FILLER}]")
     annotation = by_language(
         specs, lambda s: F.col("code").rlike(s.annotation) if s.annotation else F.lit(False)
     )
     return (
-        F.when(strip(F.col("line")) == "", "B")
-        .when(code_blank & (strip(F.col("text")) == ""), "M")
+        F.when(~F.col("line").rlike(r"\S"), "B")
+        .when(code_blank & ~F.col("text").rlike(r"\S"), "M")
         .when(code_blank, "T")
         .when(annotation, "A")
         .otherwise("H")

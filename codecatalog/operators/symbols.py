@@ -37,27 +37,22 @@ ARGS_TYPE = "array<struct<name:string,type_hint:string,default:string>>"
 _CLOSED_BRACES = r"\{[^{}]*\}"
 
 
-def _may_declare(spec: LangSpec) -> Column:
+def _may_declare(spec: LangSpec, code: Column) -> Column:
     """Cheap test that keeps every line able to declare something or open a scope."""
-    code = F.col("code")
     if spec.scope == "indent":
         return code.rlike(r":\s*$|^\s*(?:async\s+)?(?:def|class)\b")
     if spec.scope == "end":
         return (F.col("net") > 0) | code.rlike(r"^\s*(?:def|class|module)\b")
-    return F.contains(code, F.lit("{")) | _any_decl(spec)
-
-
-def _any_decl(spec: LangSpec) -> Column:
-    test = F.lit(False)
+    test = F.contains(code, F.lit("{"))
     for decl in spec.decls:
-        test = test | F.col("code").rlike(decl.pattern)
+        test = test | code.rlike(decl.pattern)
     return test
 
 
 @per_specs
 def _line_tests(specs: Mapping[str, LangSpec]) -> dict[str, Column]:
     return {
-        "may_declare": by_language(specs, _may_declare, F.lit(False)),
+        "may_declare": let(F.col("code"), lambda code: by_language(specs, lambda s: _may_declare(s, code), F.lit(False))),
         "doc_line": by_language(
             specs, lambda s: F.col("line").rlike(s.doc_line) if s.doc_line else F.lit(False)
         ),

@@ -89,7 +89,7 @@ def _syntax_problem(strict: Mapping[str, LangSpec]) -> Column:
         code, text = masked["code"], masked["text"]
 
         def count(chars: str) -> Column:
-            return F.length(code) - F.length(F.translate(code, chars, ""))
+            return F.regexp_count(code, F.lit("\\" + chars))
 
         open_quote = (F.regexp_count(text, F.lit('"""')) % 2 == 1) | (F.regexp_count(text, F.lit("'''")) % 2 == 1)
         bad_header = code.rlike(
