@@ -81,22 +81,19 @@ def build_report(
     output: str,
     format: str,
     incremental: bool,
-    files_generated: DataFrame | int = 0,
-    n_filled: DataFrame | int = 0,
     errors: DataFrame | None = None,
 ) -> DataFrame:
     """The report as rows ``(section, body)``: one summary, then one row per change and per error.
 
-    The change list grows with the corpus, so it is never put into one value. ``project`` and
-    ``status`` are one-row aggregates.
+    The change list grows with the corpus, so it is never put into one value. ``project``, ``status``
+    and the counts are one row each. ``changes`` is read twice; hand in a written table.
     """
-    counts = changes.agg(F.count_if(F.col("action") == "deprecated").alias("deprecated"))
-    one = project.crossJoin(status).crossJoin(counts)
-    for name, value in (("files_generated", files_generated), ("ai_filled", n_filled)):
-        if isinstance(value, DataFrame):
-            one = one.crossJoin(value.agg(F.count("*").alias(name)))
-        else:
-            one = one.withColumn(name, F.lit(value).cast("bigint"))
+    filled = (F.col("action") == "added") & (F.col("kind") != "file")
+    counts = changes.agg(
+        F.count_if(F.col("action") == "deprecated").alias("deprecated"), F.count_if(filled).alias("ai_filled")
+    )
+    # One page per module and the index.
+    one = project.crossJoin(status).crossJoin(counts).withColumn("files_generated", F.col("n_modules") + 1)
     summary = F.struct(
         F.lit(source).alias("source"),
         F.lit(output).alias("output"),

@@ -65,15 +65,15 @@ def _publish(
     sinks.write_pages(pages, out)
     sinks.write_index(render.render_index(placed, counts, options.format, options.title), f"{out}/index")
     render.navigation(placed).write.mode("overwrite").parquet(f"{out}/nav")
+    report.change_feed(diff if incremental else None, symbols).write.mode("overwrite").parquet(f"{out}/changes")
     summary = report.build_report(
-        report.change_feed(diff if incremental else None, symbols),
+        spark.read.parquet(f"{out}/changes"),
         counts,
         d.file_status_counts(diff),
         source="corpus",
         output=out,
         format=options.format,
         incremental=incremental,
-        files_generated=placed,
         errors=bad,
     )
     sinks.write_report(summary, f"{out}/build_report")

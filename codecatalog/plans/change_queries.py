@@ -217,7 +217,7 @@ _NON_EMPTY = "n_functions > 0 OR n_classes > 0 OR docstring <> ''"
 REPORT_SQL = with_base(
     "SELECT 'summary' AS section, CAST(to_json(struct_pack(source := 'documents', output := 'docs', format := 'markdown', incremental := true, "
     "summary := struct_pack(files_scanned := files_scanned, files_changed := files_changed, files_deleted := files_deleted, "
-    "files_unchanged := files_unchanged, files_generated := n_modules, modules := n_modules, functions := n_functions, "
+    "files_unchanged := files_unchanged, files_generated := n_modules + 1, modules := n_modules, functions := n_functions, "
     "classes := n_classes, deprecated := n_deprecated, ai_filled := n_filled))) AS VARCHAR) AS body FROM "
     f"(SELECT {_STATUS_COUNTS} FROM {STATUS_SQL} s) a, "
     "(SELECT count(*) AS n_modules, CAST(sum(n_functions) AS BIGINT) AS n_functions, CAST(sum(n_classes) AS BIGINT) AS n_classes "
@@ -232,15 +232,18 @@ REPORT_SQL = with_base(
 def corpus_report(spark: SparkSession, sf: str) -> DataFrame:
     from codecatalog.sources.files import quarantine_syntax
 
+    run = new_run_dir(spark, "report-tables")
     files = kept_files(spark, sf)
-    syms = symbols.extract_symbols(files)
-    mods = modules.modules(modules.module_docs(files), syms)
-    suggestions = python_suggestions(spark, sf)
+    symbols.extract_symbols(files).write.parquet(f"{run}/symbols")
+    syms = spark.read.parquet(f"{run}/symbols")
     diff = document_diff(spark, sf)
+    report.change_feed(diff, syms, python_suggestions(spark, sf)).write.parquet(f"{run}/changes")
     return report.build_report(
-        report.change_feed(diff, syms, suggestions), modules.project_counts(mods), d.file_status_counts(diff),
+        spark.read.parquet(f"{run}/changes"),
+        modules.project_counts(modules.modules(modules.module_docs(files), syms)),
+        d.file_status_counts(diff),
         source="documents", output="docs", format="markdown", incremental=True,
-        files_generated=mods, n_filled=suggestions, errors=quarantine_syntax(tagged(spark, sf))[1],
+        errors=quarantine_syntax(tagged(spark, sf))[1],
     )
 
 
