@@ -447,7 +447,8 @@ GROUPS_SQL = (
 
 
 def edited_files(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    docs = docs.repartition(spark.sparkContext.defaultParallelism)
     both = spark.sql(_edited("").replace("FROM documents", "FROM {docs}"), docs=docs)
     return tuple(both.select("path", F.col(c).alias("content")) for c in ("old_content", "new_content"))
 

@@ -11,7 +11,7 @@ from codecatalog import fixed_values as fv
 from codecatalog.functions.predicates import in_excluded_dir
 from codecatalog.functions.text import let, path_ext, sha256_hex
 from codecatalog.operators.lines import masked_struct, per_specs
-from codecatalog.sources.tree import SourceTree
+from codecatalog.sources.tree import SourceTree, mounted_path
 from codecatalog.specs import SPECS, LangSpec
 
 
@@ -51,11 +51,12 @@ def read_source_tree(
     excluded files before their bytes are read; it skips empty files and names that start with ``_``.
     """
     wanted = sorted(extensions or [e for s in SPECS.values() for e in s.extensions])
-    if "://" not in root.replace("file://", "", 1):
+    mounted = mounted_path(root)
+    if mounted is not None:
         spark.dataSource.register(SourceTree)
         return (
             spark.read.format("source_tree")
-            .option("root", root.removeprefix("file://"))
+            .option("root", mounted)
             .option("extensions", ",".join(wanted))
             .option("exclude", ",".join(exclude))
             .load()

@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import os
+import uuid
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
+from codecatalog.sources.tree import mounted_path
+
 
 def write_pages(pages: DataFrame, directory: str) -> None:
     """The page table of record."""
@@ -19,12 +22,15 @@ def write_page_files(pages: DataFrame, directory: str) -> None:
 
     Each file is written aside and renamed, so a retried task leaves the same result.
     """
+    root = mounted_path(directory)
+    if root is None:
+        raise ValueError(f"single page files need a mounted folder, not {directory}")
 
     def save(rows: Iterator[Row]) -> None:
         for row in rows:
-            target = os.path.join(directory, row.page_path)
+            target = os.path.join(root, row.page_path)
             os.makedirs(os.path.dirname(target), exist_ok=True)
-            aside = f"{target}.{os.getpid()}.part"
+            aside = f"{target}.{uuid.uuid4().hex}.part"
             with open(aside, "w", encoding="utf-8") as out:
                 out.write(row.content)
             os.replace(aside, target)

@@ -17,6 +17,13 @@ TASK_BYTES = 64 << 20
 FILE_COST = 64 << 10  # opening a file costs about as much as reading this many bytes
 
 
+def mounted_path(uri: str) -> str | None:
+    """The plain path of a mounted folder, or None for a remote URI."""
+    if uri.startswith("file:"):
+        return "/" + uri.removeprefix("file:").lstrip("/")
+    return None if "://" in uri else uri
+
+
 @dataclass
 class FileBatch(InputPartition):
     paths: list[str]
