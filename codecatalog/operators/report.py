@@ -92,8 +92,11 @@ def build_report(
     counts = changes.agg(
         F.count_if(F.col("action") == "deprecated").alias("deprecated"), F.count_if(filled).alias("ai_filled")
     )
+    parts = project.unionByName(status, allowMissingColumns=True).unionByName(counts, allowMissingColumns=True)
     # One page per module and the index.
-    one = project.crossJoin(status).crossJoin(counts).withColumn("files_generated", F.col("n_modules") + 1)
+    one = parts.agg(*[F.max(c).alias(c) for c in parts.columns]).withColumn(
+        "files_generated", F.col("n_modules") + 1
+    )
     summary = F.struct(
         F.lit(source).alias("source"),
         F.lit(output).alias("output"),

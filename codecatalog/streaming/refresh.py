@@ -23,12 +23,13 @@ STATE_LOG = "path string, sha256 string"
 QUARANTINE_LOG = "path string, reason string"
 
 
-def latest_state(spark: SparkSession, out: str) -> DataFrame:
-    """``(path, v, sha256)`` of every known path; a null hash marks a deleted file."""
-    last = state.current_version(spark, out)
+def latest_state(spark: SparkSession, out: str, only: DataFrame | None = None) -> DataFrame:
+    """``(path, v, sha256)`` of every known path, or those in ``only``; a null hash marks a deleted file."""
+    log = state.read_log(spark, f"{out}/state", STATE_LOG, state.current_version(spark, out))
+    if only is not None:
+        log = log.join(only.select("path"), "path", "left_semi")
     return (
-        state.read_log(spark, f"{out}/state", STATE_LOG, last)
-        .groupBy("path")
+        log.groupBy("path")
         .agg(F.max(F.struct("v", "sha256")).alias("last"))
         .select("path", "last.v", "last.sha256")
     )
@@ -64,7 +65,7 @@ def refresh(batch: DataFrame, out: str, options: BuildOptions = BuildOptions())
     hashed = last.withColumn(
         "sha256", F.when(F.col("change") != "deleted", sha256_hex(F.col("content")))
     )
-    known = latest_state(spark, out).select("path", F.col("sha256").alias("old"))
+    known = latest_state(spark, out, only=hashed).select("path", F.col("sha256").alias("old"))
     touched = hashed.join(known, "path", "left").where(~F.col("sha256").eqNullSafe(F.col("old"))).drop("old")
     touched = touched.persist()
     try:
