@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -27,7 +28,7 @@ def blocks(batch: pa.RecordBatch, column: str = "text", limit: int = BLOCK_BYTES
     if batch.num_rows == 0:
         return
     array = batch.column(column)
-    sizes = pa.compute.binary_length(array).fill_null(0).to_pylist()
+    sizes = pc.binary_length(array).fill_null(0).to_pylist()
     start, held = 0, 0
     for row, size in enumerate(sizes):
         if row > start and held + size > limit:

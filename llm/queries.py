@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from llm import packing, token_counts
+from llm import exact_dedup, packing, token_counts, unigram
 from llm.registry import query
 
 
@@ -27,3 +27,20 @@ def op1_retrieval_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op3_token_counts")
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(documents(spark, sf_dir), tokenizer_file("byte_bpe_50k.json"))
+
+
+@query(
+    "op2_block_naming",
+    """
+    SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
+        doc_id = max(doc_id) OVER same AS kept, sha256(coalesce(text, '')) AS text_sha256
+    FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))
+    """,
+)
+def op2_block_naming(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.exact_copies(documents(spark, sf_dir))
+
+
+@query("op10_unigram_codec")
+def op10_unigram_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return unigram.codec_digests(documents(spark, sf_dir), tokenizer_file("piece_bpe_32k.model"))

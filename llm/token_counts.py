@@ -11,6 +11,7 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from llm.batches import Cache, blocks, id_and_text
@@ -85,7 +86,7 @@ def token_counts(docs: DataFrame, tokenizer_path: str, limit: int = 1024) -> Dat
                 yield pa.RecordBatch.from_arrays(
                     [
                         block.column("doc_id"),
-                        pa.compute.binary_length(texts).cast(pa.int64()),
+                        pc.binary_length(texts).cast(pa.int64()),
                         pa.array(counts, pa.int64()),
                         pa.array([n > limit for n in counts], pa.bool_()),
                     ],
