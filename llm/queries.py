@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from llm import exact_dedup, packing, token_counts, unigram
+from llm import exact_dedup, packing, syncmers, token_counts, unigram, warc
 from llm.registry import query
 
 
@@ -44,3 +44,24 @@ def op2_block_naming(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_unigram_codec")
 def op10_unigram_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return unigram.codec_digests(documents(spark, sf_dir), tokenizer_file("piece_bpe_32k.model"))
+
+
+@query("op5_syncmer_fingerprints")
+def op5_syncmer_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return syncmers.fingerprints(documents(spark, sf_dir))
+
+
+@query(
+    "op8_arc_to_warc",
+    """
+    SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest,
+        CASE WHEN octet_length(encode(coalesce(html, ''))) >= 100 AND page_id > min(page_id) OVER same
+            THEN 'revisit' ELSE 'response' END AS record_type,
+        CASE WHEN octet_length(encode(coalesce(html, ''))) >= 100 AND page_id > min(page_id) OVER same
+            THEN min(page_id) OVER same END AS refers_to
+    FROM pages WINDOW same AS (PARTITION BY coalesce(html, ''))
+    """,
+)
+def op8_arc_to_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    return warc.convert_pages(pages).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
