@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from llm import exact_dedup, packing, syncmers, token_counts, unigram, warc
+from llm import exact_dedup, packing, quality, syncmers, token_counts, toxicity, unigram, warc
 from llm.registry import query
 
 
@@ -65,3 +65,17 @@ def op5_syncmer_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_arc_to_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
     return warc.convert_pages(pages).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/labels.parquet")
+
+
+@query("op7_toxicity")
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(documents(spark, sf_dir), labels(spark, sf_dir))
+
+
+@query("op9_quality")
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality(documents(spark, sf_dir), labels(spark, sf_dir))
