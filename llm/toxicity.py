@@ -19,8 +19,8 @@ from pyspark.sql import functions as F
 from llm.batches import Cache, blocks, id_and_text
 from llm.labels import class_weights, held_out, sigmoid, training_sample
 
-#: A term needs this share of the toxic documents, and this share of its documents must be toxic.
-LEAST_SHARE, LEAST_PRECISION = 0.03, 0.8
+#: A term needs this share of the toxic documents, five at least, and this share of its documents must be toxic.
+LEAST_SHARE, LEAST_PRECISION = 0.005, 0.9
 #: Terms of the lexicon at most, the most frequent first.
 LEXICON_TERMS = 5_000
 #: Shortest term, and the length from which two edits are allowed.
@@ -147,15 +147,20 @@ def is_quoted(words: list[str], at: int) -> bool:
     return opened and closed
 
 
+FEATURES = 8
+
+
 def features(matcher: Matcher, text: str) -> tuple[list[float], list[str], int, int]:
-    """Logarithms of the counts of exact and inexact matches, direct and quoted, and of their share of the words."""
+    """Logarithms of the counts of matches (exact, inexact of a short term, inexact of a longer one; direct, then
+    quoted), of the share of exact ones among the words, and of the number of different terms that match exactly."""
     words, found = matcher.matches(text)
-    counts = [0, 0, 0, 0]
-    for at, edits, _ in found:
-        counts[2 * is_quoted(words, at) + (edits > 0)] += 1
-    share = 1000 * len(found) / max(len(words), 1)
-    row = [np.log1p(c) for c in counts] + [np.log1p(share), np.log1p(counts[0]) * np.log1p(share)]
-    return row, sorted({term for _, _, term in found}), counts[2] + counts[3], counts[0] + counts[1]
+    counts = [0] * 6
+    for at, edits, term in found:
+        counts[3 * is_quoted(words, at) + (0 if not edits else 1 if len(term) < 6 else 2)] += 1
+    share = 1000 * (counts[0] + counts[2]) / max(len(words), 1)
+    exact = len({term for _, edits, term in found if not edits})
+    row = [*np.log1p(counts).tolist(), float(np.log1p(share)), float(np.log1p(exact))]
+    return row, sorted({term for _, _, term in found}), sum(counts[3:]), sum(counts[:3])
 
 
 @dataclass
@@ -189,7 +194,7 @@ def learn_lexicon(sample: DataFrame) -> list[str]:
         .agg(F.sum("label").alias("toxic"), F.count("*").alias("all"))
     )
     chosen = counted.where(
-        (F.col("toxic") >= F.lit(max(LEAST_SHARE * toxic, 2))) & (F.col("toxic") >= LEAST_PRECISION * F.col("all"))
+        (F.col("toxic") >= F.lit(max(LEAST_SHARE * toxic, 5))) & (F.col("toxic") >= LEAST_PRECISION * F.col("all"))
     )
     return sorted(row["word"] for row in chosen.orderBy(F.desc("toxic"), "word").limit(LEXICON_TERMS).collect())
 
@@ -211,14 +216,14 @@ def train(sample: DataFrame) -> ToxicityModel:
     # At most as many short rows as the sample has.
     table = sample.mapInArrow(rows, "row array<double>, label int").toArrow()
     y = table["label"].to_numpy().astype(float)
-    x = np.array(table["row"].to_pylist()).reshape(len(y), 6)
+    x = np.array(table["row"].to_pylist()).reshape(len(y), FEATURES)
     order = np.lexsort((*x.T, y))  # rows come in any order; sums must not depend on it
     x, y = np.column_stack([x[order], np.ones(len(y))]), y[order]
-    share, weights = class_weights(y), np.zeros(7)
+    share, weights = class_weights(y), np.zeros(FEATURES + 1)
     for _ in range(50):  # Newton steps with a little ridge
         p = sigmoid(x @ weights)
         gradient = x.T @ (share * (p - y)) + 1e-2 * weights
-        curvature = (x * (share * p * (1 - p))[:, None]).T @ x + 1e-2 * np.eye(7)
+        curvature = (x * (share * p * (1 - p))[:, None]).T @ x + 1e-2 * np.eye(FEATURES + 1)
         step = np.linalg.solve(curvature, gradient)
         weights = weights - step
         if np.abs(step).max() < 1e-8:
