@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from llm import exact_dedup, packing, quality, syncmers, token_counts, toxicity, unigram, warc
+from llm import exact_dedup, jaccard, packing, quality, syncmers, token_counts, toxicity, unigram, warc
 from llm.registry import query
 
 
@@ -79,3 +79,8 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op9_quality")
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(documents(spark, sf_dir), labels(spark, sf_dir))
+
+
+@query("op6_jaccard_join")
+def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join(documents(spark, sf_dir)).select("doc_id", "class_id", "n_links")
