@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from llm import exact_dedup, jaccard, packing, quality, syncmers, token_counts, toxicity, unigram, warc
+from llm import exact_dedup, jaccard, packing, quality, suffix_dedup, syncmers, token_counts, toxicity, unigram, warc
 from llm.registry import query
 
 
@@ -84,3 +84,8 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op6_jaccard_join")
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.join(documents(spark, sf_dir)).select("doc_id", "class_id", "n_links")
+
+
+@query("op4_suffix_dedup")
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.digests(documents(spark, sf_dir))
