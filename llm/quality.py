@@ -18,8 +18,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from llm.batches import Cache, blocks, id_and_text
+from llm.batches import Cache, blocks, id_and_text, text_of
 from llm.labels import class_weights, held_out, sigmoid, training_sample
 
 SLOTS, SIZE, NONZERO = 4096, 64, 4
@@ -31,8 +32,6 @@ CALIBRATION = 5
 #: Rows of the table of vectors that travel together.
 CHUNK = 64
 
-SCORE_SCHEMA = "doc_id long, score double, predicted int"
-
 _UPPER, _LOWER, _DIGIT = re.compile(r"[^\W\d_a-zß-öø-ÿ]+"), re.compile(r"[a-zß-öø-ÿ]+"), re.compile(r"\d+")
 
 
@@ -228,13 +227,11 @@ def train(docs: DataFrame, sample: DataFrame) -> QualityModel:
     return fit(rows, y, vectors)
 
 
-def score(docs: DataFrame, model: QualityModel) -> DataFrame:
-    """``doc_id, score, predicted`` for each document, from its whole text alone.
-
-    Null counts as empty; texts without words get the score of a vector of zeros. Repeated rows give repeated
-    results, a null ``doc_id`` stays null, other columns are ignored, an empty table gives no rows.
-    """
+def with_score(docs: DataFrame, model: QualityModel, name: str = "score") -> DataFrame:
+    """All columns of ``docs`` and a score, which replaces a column of that name."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    rows = docs.select(F.struct("*").alias("row"), text_of().alias("text"))
+    schema = T.StructType([rows.schema["row"], T.StructField("score", T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         terms = Terms()
@@ -242,13 +239,21 @@ def score(docs: DataFrame, model: QualityModel) -> DataFrame:
             for block in blocks(batch):
                 terms.known.room()
                 rows = np.array([pooled(shared.value.vectors, terms, text) for text in block.column("text").to_pylist()])
-                scores = shared.value.probability(rows)
-                yield pa.RecordBatch.from_arrays(
-                    [block.column("doc_id"), pa.array(scores, pa.float64()), pa.array((scores >= 0.5).astype(np.int32))],
-                    names=["doc_id", "score", "predicted"],
-                )
+                scores = pa.array(shared.value.probability(rows), pa.float64())
+                yield pa.RecordBatch.from_arrays([block.column("row"), scores], names=["row", "score"])
 
-    return id_and_text(docs).mapInArrow(run, SCORE_SCHEMA)
+    kept = [c for c in docs.columns if c != name]
+    return rows.mapInArrow(run, schema).select(*(F.col("row").getField(c).alias(c) for c in kept), F.col("score").alias(name))
+
+
+def score(docs: DataFrame, model: QualityModel) -> DataFrame:
+    """``doc_id, score, predicted`` for each document, from its whole text alone.
+
+    Null counts as empty; texts without words get the score of a vector of zeros. Repeated rows give repeated
+    results, a null ``doc_id`` stays null, other columns are ignored, an empty table gives no rows.
+    """
+    scored = with_score(docs.select("doc_id", "text"), model)
+    return scored.select(F.col("doc_id").cast("long").alias("doc_id"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
 def quality(docs: DataFrame, labels: DataFrame, remainder: int = 1, modulus: int = 3) -> DataFrame:
