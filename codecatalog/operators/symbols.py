@@ -31,10 +31,9 @@ from codecatalog.operators.lines import (
     with_depth,
     with_heads,
 )
-from codecatalog.specs import SPECS, Decl, LangSpec
+from codecatalog.specs import BRACES, SPECS, Decl, LangSpec
 
 ARGS_TYPE = "array<struct<name:string,type_hint:string,default:string>>"
-_CLOSED_BRACES = r"\{[^{}]*\}"
 
 
 def _may_declare(spec: LangSpec, code: Column) -> Column:
@@ -244,9 +243,7 @@ def enclosing_scope(blocks: DataFrame, specs: Mapping[str, LangSpec]) -> DataFra
     """
     is_python = scope_is(specs, "indent")
     indent = F.length(F.regexp_extract("code", r"^(\s*)", 1))
-    unclosed = F.col("code")
-    for _ in range(3):
-        unclosed = F.regexp_replace(unclosed, _CLOSED_BRACES, "")
+    unclosed = F.regexp_replace("code", BRACES, "")
     brace_left = F.contains(unclosed, F.lit("{"))
     is_ruby_like = scope_is(specs, "end")
     opens_now = (
@@ -449,7 +446,8 @@ def exported_only(symbols: DataFrame, specs: Mapping[str, LangSpec] = SPECS) ->
 
 
 def exclude_private(symbols: DataFrame) -> DataFrame:
-    return symbols.where(~is_private(F.col("name")))
+    """A private owner goes with its members."""
+    return symbols.where(~is_private(F.col("name")) & ~is_private(F.col("parent_name")))
 
 
 @per_specs
@@ -526,7 +524,7 @@ def with_details(rows: DataFrame, specs: Mapping[str, LangSpec] = SPECS) -> Data
 
 def catalog_rows(files: DataFrame, specs: Mapping[str, LangSpec] = SPECS) -> DataFrame:
     """All declarations with details; ``status`` tells catalog symbols from nested ones."""
-    return with_details(exported_only(attach_receivers(declarations(files, specs), specs), specs), specs)
+    return with_details(attach_receivers(exported_only(declarations(files, specs), specs), specs), specs)
 
 
 def extract_symbols(

@@ -13,17 +13,27 @@ from dataclasses import dataclass, field
 
 from codecatalog import fixed_values as fv
 
-# A parameter list with up to four levels of inner parentheses.
-_FLAT = r"[^()]*+"
-_LEVEL = _FLAT
-for _ in range(4):
-    _LEVEL = rf"{_FLAT}(?:\({_LEVEL}\){_FLAT})*+"
-PARAMS = f"({_LEVEL})"
+def _nested(opening: str, closing: str, levels: int = 40) -> str:
+    """Text without these brackets, or with closed pairs of them up to many levels deep.
+
+    All quantifiers are possessive, which the pattern engine runs as loops: neither long nor deep input can
+    exhaust the stack.
+    """
+    flat = rf"[^{opening}{closing}]*+"
+    level = flat
+    for _ in range(levels):
+        level = rf"{flat}(?:{opening}{level}{closing}{flat})*+"
+    return level
+
+
+PARAMS = rf"({_nested(chr(92) + '(', chr(92) + ')')})"
+BRACES = rf"\{{{_nested(chr(92) + '{', chr(92) + '}')}\}}"
 GENERICS = r"(?:\s*<[^()]*>)?"
 TYPE_GENERICS = r"(?:\s*<[^{(]*?>(?=[\s{:(;]|$))?"
-ANNOTATIONS = r"(?:@[\w.]+(?:\([^()]*\))?\s+)*"
-# A return type; braces only as a closed pair.
-RETURNS = r"((?:[^{};]|\{[^{}]*\})*?)"
+ANNOTATIONS = r"(?:@[\w.]+(?:\([^()]*\))?\s+){0,40}"
+# A return type. A brace belongs to it where an operator or a type word stands before it, else it opens the body.
+RETURNS = rf"((?:[^{{}};]++|(?<=[:|&<,(\[]\s{{0,4}}){BRACES})*+)"
+GO_RETURNS = rf"((?:[^{{}};]++|(?<=\b(?:interface|struct)\s{{0,4}}){BRACES})*+)"
 
 DOUBLE_QUOTED = r'"[^"\\\n]*+(?:\\[\s\S][^"\\\n]*+)*+"?'
 SINGLE_QUOTED = r"'[^'\\\n]*+(?:\\[\s\S][^'\\\n]*+)*+'?"
@@ -120,7 +130,7 @@ TYPESCRIPT = LangSpec(
     extensions=tuple(fv.EXTENSIONS["typescript"]),
     literals=(
         SLASH_COMMENTS + "|" + DOUBLE_QUOTED + "|" + SINGLE_QUOTED + "|" + BACKTICKS
-        + r"|(?<=[=(,:;!&|?{}\[]\s?)/(?![/*\s])(?:[^/\\\n\[]|\\.|\[(?:[^\]\\\n]|\\.)*+\])++/[a-z]*"
+        + r"|(?<=[=(,:;!&|?{}\[]\s?|\b(?:return|typeof|case|in|of|delete|void|throw|new|do|else|yield|await)\s{0,4})/(?![/*\s])(?:[^/\\\n\[]|\\.|\[(?:[^\]\\\n]|\\.)*+\])++/[a-z]*"
     ),
     comment=r"^/[/*]",
     doc_block=r"^\s*/\*\*",
@@ -156,7 +166,7 @@ TYPESCRIPT = LangSpec(
         ),
         Decl(
             "function",
-            rf"^(\s*{ANNOTATIONS}((?:{_TS_MODS}\s+)*)\*?\s*([\w$#]+)\??{GENERICS}\s*\()"
+            rf"^(\s*{ANNOTATIONS}((?:{_TS_MODS}\s+){{0,40}})\*?\s*([\w$#]+)\??{GENERICS}\s*\()"
             rf"{PARAMS}(\)\s*(?::\s*)?){RETURNS}\s*(?:\{{|;|$)",
             where="member", head=1, mods=2, name=3, params=4, mid=5, ret=6,
         ),
@@ -167,9 +177,9 @@ TYPESCRIPT = LangSpec(
     ),
 )
 
-_JAVA_TYPE_MODS = r"(?:(?:public|private|protected|abstract|final|static|sealed|non-sealed|strictfp)\s+)*"
+_JAVA_TYPE_MODS = r"(?:(?:public|private|protected|abstract|final|static|sealed|non-sealed|strictfp)\s+){0,40}"
 _JAVA_MODS = (
-    r"((?:(?:public|private|protected|static|final|abstract|synchronized|native|default|strictfp|override)\s+)*)"
+    r"((?:(?:public|private|protected|static|final|abstract|synchronized|native|default|strictfp|override)\s+){0,40})"
 )
 JAVA = LangSpec(
     name="java",
@@ -234,13 +244,13 @@ GO = LangSpec(
         Decl("class", r"^type\s+(\w+)(?:\[[^\]]*\])?\s+interface\b", marker="interface"),
         Decl(
             "function",
-            rf"^(func\s+(\w+)(?:\[[^\]]*\])?\s*\(){PARAMS}(\)\s*){RETURNS}\s*\{{(?!\s*\}}\s*\S)",
+            rf"^(func\s+(\w+)(?:\[[^\]]*\])?\s*\(){PARAMS}(\)\s*){GO_RETURNS}\s*\{{",
             head=1, name=2, params=3, mid=4, ret=5,
         ),
         Decl(
             "function",
             r"^(func\s+\(\s*(?:\w+\s+)?\*?\s*(\w+)(?:\[[^\]]*\])?\s*\)\s*(\w+)\s*\()"
-            rf"{PARAMS}(\)\s*){RETURNS}\s*\{{(?!\s*\}}\s*\S)",
+            rf"{PARAMS}(\)\s*){GO_RETURNS}\s*\{{",
             head=1, receiver=2, name=3, params=4, mid=5, ret=6,
         ),
     ),
@@ -272,7 +282,7 @@ RUST = LangSpec(
         ),
         Decl(
             "function",
-            rf"^(\s*{_PUB}((?:(?:default|const|async|unsafe)\s+)*)(?:extern\s+(?:\x01+\s*)?)?fn\s+(\w+){GENERICS}\s*\()"
+            rf"^(\s*{_PUB}((?:(?:default|const|async|unsafe)\s+){{0,40}})(?:extern\s+(?:\x01+\s*)?)?fn\s+(\w+){GENERICS}\s*\()"
             rf"{PARAMS}(\)\s*(?:->\s*)?)([^{{;]*?)\s*(?:where\b|\{{|;|$)",
             where="any", head=1, mods=2, name=3, params=4, mid=5, ret=6,
         ),
@@ -280,7 +290,7 @@ RUST = LangSpec(
 )
 
 _CS_TYPE_MODS = (
-    r"(?:(?:public|private|protected|internal|static|abstract|sealed|partial|readonly|ref|unsafe|new)\s+)*"
+    r"(?:(?:public|private|protected|internal|static|abstract|sealed|partial|readonly|ref|unsafe|new)\s+){0,40}"
 )
 _CS_ATTRS = r"(?:\[[^\]]*\]\s*)*"
 _CS_BASES = r"(?:\s*:\s*([^{]*?))?\s*(?:\bwhere\b[^{]*)?(?:\{|$)"
@@ -320,7 +330,7 @@ CSHARP = LangSpec(
         Decl(
             "function",
             rf"^(\s*{_CS_ATTRS}((?:(?:public|private|protected|internal|static|virtual|override|abstract|async|new|"
-            rf"sealed|extern|partial|unsafe|readonly)\s+)*)({_JVM_TYPES})\s+(\w+){GENERICS}\s*\(){PARAMS}\)",
+            rf"sealed|extern|partial|unsafe|readonly)\s+){{0,40}})({_JVM_TYPES})\s+(\w+){GENERICS}\s*\(){PARAMS}\)",
             where="member", head=1, mods=2, ret=3, name=4, params=5,
         ),
     ),
@@ -351,14 +361,14 @@ CPP = LangSpec(
         Decl("scope", r"^\s*extern\s+\x01+\s*(?:\{|$)", name=0, accepts=("transparent",)),
         Decl(
             "class",
-            r"^\s*(?:template\s*<.*?>\s*)?class\s+(?:\w+\s+)*?(\w+)(?:\s+final)?(?:\s*:\s*([^{;]*?))?\s*(?:\{|$)",
+            r"^\s*(?:template\s*<.*?>\s*)?class\s+(?:\w+\s+){0,40}?(\w+)(?:\s+final)?(?:\s*:\s*([^{;]*?))?\s*(?:\{|$)",
             bases=2,
         ),
         Decl("class", r"^\s*(?:typedef\s+)?struct\s+(\w+)\s*(?::[^{;]*)?(?:\{|$)", marker="struct"),
         Decl(
             "function",
             r"^(\s*(?:template\s*<[^()]*?>\s*)?((?:(?:static|inline|extern|virtual|explicit|constexpr|const|unsigned|"
-            rf"signed|friend)\s+)*){_CPP_TYPE}(\w+)\s*\(){PARAMS}{_CPP_TAIL}",
+            rf"signed|friend)\s+){{0,40}}){_CPP_TYPE}(\w+)\s*\(){PARAMS}{_CPP_TAIL}",
             where="any", head=1, mods=2, ret=3, name=4, params=5,
         ),
     ),
@@ -387,7 +397,7 @@ RUBY = LangSpec(
 )
 
 _KT_TYPE_MODS = (
-    r"(?:(?:public|private|protected|internal|abstract|open|sealed|data|inner|enum|final|value|annotation|fun)\s+)*"
+    r"(?:(?:public|private|protected|internal|abstract|open|sealed|data|inner|enum|final|value|annotation|fun)\s+){0,40}"
 )
 KOTLIN = LangSpec(
     name="kotlin",
@@ -411,18 +421,18 @@ KOTLIN = LangSpec(
             marker="interface", bases=2,
         ),
         Decl(
-            "class", rf"^\s*{ANNOTATIONS}(?:{_ACCESS}\s+)*((?:companion\s+)?object)\s*(?:\{{|$)",
+            "class", rf"^\s*{ANNOTATIONS}(?:{_ACCESS}\s+){{0,40}}((?:companion\s+)?object)\s*(?:\{{|$)",
             marker="object",
         ),
         Decl(
             "class",
-            rf"^\s*{ANNOTATIONS}(?:{_ACCESS}\s+)*(?:data\s+)?(?:companion\s+)?object\s+(\w+)(?:\s*:\s*([^{{]*?))?\s*(?:\{{|$)",
+            rf"^\s*{ANNOTATIONS}(?:{_ACCESS}\s+){{0,40}}(?:data\s+)?(?:companion\s+)?object\s+(\w+)(?:\s*:\s*([^{{]*?))?\s*(?:\{{|$)",
             marker="object", bases=2,
         ),
         Decl(
             "function",
             rf"^(\s*{ANNOTATIONS}((?:(?:public|private|protected|internal|override|open|abstract|inline|suspend|operator|"
-            r"infix|tailrec|external|final|actual|expect)\s+)*)fun\s+(?:<[^()]*?>\s+)?(?:[\w<>?, ]+\.)?(\w+)\s*\()"
+            r"infix|tailrec|external|final|actual|expect)\s+){0,40})fun\s+(?:<[^()]*?>\s+)?(?:[\w<>?, ]+\.)?(\w+)\s*\()"
             rf"{PARAMS}(\)\s*(?::\s*)?)([^{{=]*?)\s*(?:\{{|=|$)",
             where="any", head=1, mods=2, name=3, params=4, mid=5, ret=6,
         ),
