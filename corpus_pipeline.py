@@ -54,7 +54,7 @@ def suffix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     others = [c for c in docs.columns if c not in ("text", "n_chars")]
     done = suffix_dedup.without_repeats(docs, others)
     columns = {"text": F.col("kept_text"), "n_chars": F.char_length("kept_text").cast("long")}
-    return done.select(*(columns[c].alias(c) if c in columns else F.col(c) for c in docs.columns))
+    return done.select(*(columns[c].alias(c) if c in columns else F.col("carried").getField(c).alias(c) for c in docs.columns))
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -280,16 +280,16 @@ def repeats(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, array_b
     return ranges
 
 
-def without_repeats(docs: DataFrame, carry: list[str] | None = None, length: int = LENGTH, **options: int) -> DataFrame:
+def without_repeats(docs: DataFrame, carry: list[str], length: int = LENGTH, **options: int) -> DataFrame:
     """One row per document without the bytes that ``length``-byte strings with an earlier start cover.
 
-    Columns: the ``carry`` columns of ``docs`` (``doc_id`` by default), then ``n_bytes, n_removed, n_spans, kept`` (the
-    remaining bytes) and ``kept_text`` (the same, with characters kept whole that removal would split).
+    Columns: the ``carry`` columns of ``docs`` in a struct ``carried``, so that names can't clash, then ``n_bytes,
+    n_removed, n_spans, kept`` (the remaining bytes) and ``kept_text`` (the same, with characters kept whole that
+    removal would split).
     A document with a smaller ``doc_id`` is earlier, null ids come last, equal ids go by the hash of the text, and of
     repeated rows one is first and the others repeat it as a whole. Texts shorter than ``length`` stay; null counts as
     empty. An empty table gives no rows.
     """
-    carry = ["doc_id"] if carry is None else carry
     rows = keyed(docs, carry)
     numbered = rows.withColumn("copy", F.row_number().over(Window.partitionBy(*KEY).orderBy("hash")))
     lists = repeats(docs, length, **options).groupBy(*KEY).agg(F.collect_list(F.struct("start", "windows")).alias("ranges"))
@@ -346,12 +346,11 @@ def without_repeats(docs: DataFrame, carry: list[str] | None = None, length: int
                     names=["carried", "n_bytes", "n_removed", "n_spans", "kept", "kept_text"],
                 )
 
-    done = joined.mapInArrow(remove, schema)
-    return done.select(*(F.col("carried").getField(c).alias(c) for c in carry), "n_bytes", "n_removed", "n_spans", "kept", "kept_text")
+    return joined.mapInArrow(remove, schema)
 
 
 def digests(docs: DataFrame, **options: int) -> DataFrame:
     """``doc_id, n_bytes, n_removed, n_spans, kept_sha256`` of ``without_repeats``."""
-    return without_repeats(docs, **options).select(
-        F.col("doc_id").cast("long").alias("doc_id"), "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256")
+    return without_repeats(docs, ["doc_id"], **options).select(
+        F.col("carried.doc_id").cast("long").alias("doc_id"), "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256")
     )

@@ -196,7 +196,7 @@ class Encoder:
         if not text:
             return np.empty(0, "<u4")
         known, out = self.known, []
-        marked = " " + text if self.model.dummy_prefix else text
+        marked = (" " + text if self.model.dummy_prefix else text).replace(MARK, " ")  # the mark itself is a space, too
         feed = self._ids(self.model.breaks) if self.model.breaks else b""
         for number, line in enumerate(marked.split(self.model.breaks) if self.model.breaks else [marked]):
             if number:
