@@ -117,7 +117,6 @@ GENERIC_SYSTEM_TEXT = (
     "Do NOT wrap the output in code fences. "
     "Do NOT add any explanation."
 )
-TRUNCATION_NOTE = "\n\n(File was truncated. Only document what you see.)"
 
 # How an added line is recognised as documentation, and the bare marks that do not count.
 DOC_LINE_PATTERN = r'^(?:/\*\*|///|//!|// |#|"""|\*)'

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from codecatalog import fixed_values as fv
 from codecatalog.functions.predicates import lacks_docs
-from codecatalog.functions.text import path_ext, strip, truncate
+from codecatalog.functions.text import path_ext, strip
+from codecatalog.session import new_run_dir
 from codecatalog.operators.diff import changed_files
 from codecatalog.operators.lines import (
     before,
@@ -101,7 +102,7 @@ def doc_candidates(files: DataFrame, rows: DataFrame, specs: Mapping[str, LangSp
         "path",
         "name",
         "kind",
-        truncate(F.col("signature"), fv.SIGNATURE_LIMIT).alias("signature"),
+        "signature",
         F.col("line_number").alias("line"),
         "end_line",
         "insert_line",
@@ -115,7 +116,7 @@ def doc_candidates(files: DataFrame, rows: DataFrame, specs: Mapping[str, LangSp
 
 
 def doc_prompts(candidates: DataFrame, style: str = fv.DEFAULT_STYLE) -> DataFrame:
-    """Add ``system_text`` and ``prompt``; an unknown style falls back to the default one."""
+    """Add ``system_text`` and ``prompt`` with the whole body; an unknown style falls back to the default one."""
     guide = fv.STYLE_GUIDES.get(style, fv.STYLE_GUIDES[fv.DEFAULT_STYLE])
     body = F.concat("body", F.lit("\n"))
     prompt = F.concat(
@@ -124,7 +125,7 @@ def doc_prompts(candidates: DataFrame, style: str = fv.DEFAULT_STYLE) -> DataFra
         F.lit("\n```\n"),
         F.when(
             F.col("body") != "",
-            F.concat(F.lit("\nBody:\n```python\n"), truncate(body, fv.BODY_LIMIT), F.lit("\n```\n")),
+            F.concat(F.lit("\nBody:\n```python\n"), body, F.lit("\n```\n")),
         ).otherwise(""),
         F.lit("\nWrite the docstring now:"),
     )
@@ -139,7 +140,7 @@ def prompt_languages(files: DataFrame) -> DataFrame:
 
 
 def generic_prompts(files: DataFrame) -> DataFrame:
-    """One prompt per non-Python file that is not blank."""
+    """One prompt per non-Python file that is not blank, with its whole source."""
     content = _normal(F.col("content"))
     system = F.lit(fv.GENERIC_SYSTEM_TEXT)
     for column in ("language", "style", "comment"):
@@ -156,21 +157,27 @@ def generic_prompts(files: DataFrame) -> DataFrame:
                 F.lit("Add documentation comments to this "),
                 "language",
                 F.lit(" code:\n\n"),
-                truncate(content, fv.GENERIC_SOURCE_LIMIT),
-                F.when(F.length(content) > fv.GENERIC_SOURCE_LIMIT, fv.TRUNCATION_NOTE).otherwise(""),
+                content,
             ).alias("prompt"),
         )
     )
 
 
 def complete(prompts: DataFrame, completer: Completer) -> DataFrame:
-    """Add ``completion``. The completer sees a stream of batches and sets itself up once per task."""
+    """Add ``completion``. The completer sees a stream of batches and sets itself up once per task.
+
+    The answers are written to the shared folder and read from there, so that each prompt is put once, however
+    often the result is used.
+    """
 
     @F.pandas_udf("string")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         yield from completer(batches)
 
-    return prompts.withColumn("completion", run("prompt"))
+    completed = prompts.withColumn("completion", run.asNondeterministic()("prompt"))
+    path = new_run_dir(prompts.sparkSession, "completions")
+    completed.write.parquet(path)
+    return prompts.sparkSession.read.schema(completed.schema).parquet(path)
 
 
 def clean_docstring_completion(completion: Column) -> Column:
@@ -191,15 +198,16 @@ def clean_completions(completed: DataFrame) -> DataFrame:
     )
 
 
-def _patch_text() -> Column:
-    margin = F.repeat(F.lit(" "), F.col("indent") + 4)
-    lines = F.split("docstring", "\n")
+def _patch_text(margin: Column) -> Column:
+    """The docstring as a literal at the margin of the statement before which it goes."""
+    escaped = F.replace(F.replace(F.col("docstring"), F.lit("\\"), F.lit("\\\\")), F.lit('"""'), F.lit('\\"\\"\\"'))
+    lines = F.split(escaped, "\n")
     joined = F.array_join(F.transform(lines, lambda x, i: F.when(i == 0, x).otherwise(F.concat(margin, x))), "\n")
     return F.concat(
         margin,
         F.lit('"""'),
         joined,
-        F.when(F.size(lines) > 1, F.concat(F.lit("\n"), margin)).otherwise(""),
+        F.when((F.size(lines) > 1) | escaped.endswith('"'), F.concat(F.lit("\n"), margin)).otherwise(""),
         F.lit('"""'),
     )
 
@@ -214,23 +222,30 @@ def patch_targets(files: DataFrame, suggestions: DataFrame) -> DataFrame:
 
 
 def apply_doc_patches(files: DataFrame, suggestions: DataFrame) -> DataFrame:
-    """New ``files(path, content)`` with each docstring put before the first statement of its body."""
-    usable = suggestions.where("insert_line IS NOT NULL AND docstring <> ''")
-    patches = usable.select(
-        "path", F.col("insert_line").alias("line_no"), F.lit(0).alias("sub_no"), _patch_text().alias("text")
+    """New ``files(path, content)`` with each docstring put before the first statement of its body.
+
+    Files without a suggestion stay byte for byte; the others keep their line ends (those of the first line).
+    """
+    usable = suggestions.where("insert_line IS NOT NULL AND docstring <> ''").select(
+        "path", F.col("insert_line").alias("line_no"), "docstring"
     )
     touched = usable.select("path").distinct()
-    plain = files.select("path", _normal(F.col("content")).alias("content"))
-    lines = explode_lines(plain.join(touched, "path", "left_semi")).select(
-        "path", "line_no", F.lit(1).alias("sub_no"), F.col("line").alias("text")
+    changed = files.select("path", "content").join(touched, "path", "left_semi")
+    lines = explode_lines(changed.select("path", _normal(F.col("content")).alias("content")))
+    margin = F.regexp_extract("line", r"^([ \t]*)", 1)
+    patches = usable.join(lines, ["path", "line_no"]).select(
+        "path", "line_no", F.lit(0).alias("sub_no"), _patch_text(margin).alias("text")
     )
+    ends = changed.select("path", F.coalesce(F.nullif(F.regexp_extract("content", r"(\r\n|\r|\n)", 1), F.lit("")), F.lit("\n")).alias("end"))
     rebuilt = (
-        lines.unionByName(patches)
+        lines.select("path", "line_no", F.lit(1).alias("sub_no"), F.col("line").alias("text"))
+        .unionByName(patches)
         .groupBy("path")
         .agg(F.array_sort(F.collect_list(F.struct("line_no", "sub_no", "text"))).alias("rows"))
-        .select("path", F.array_join(F.transform("rows", lambda r: r["text"]), "\n").alias("content"))
+        .join(ends, "path")
+        .select("path", F.replace(F.array_join(F.transform("rows", lambda r: r["text"]), "\n"), F.lit("\n"), F.col("end")).alias("content"))
     )
-    return plain.join(touched, "path", "left_anti").unionByName(rebuilt)
+    return files.select("path", "content").join(touched, "path", "left_anti").unionByName(rebuilt)
 
 
 def _looks_like_doc(line: Column) -> Column:
@@ -275,7 +290,7 @@ def doc_diff_report(old_files: DataFrame, new_files: DataFrame) -> DataFrame:
 
 
 def generic_fill(files: DataFrame, completions: DataFrame) -> DataFrame:
-    """``(path, content)`` of files whose completion adds documentation; text past the prompt limit is kept."""
+    """``(path, content)`` of files whose completion adds documentation."""
     source = files.select("path", _normal(F.col("content")).alias("content"))
     results = completions.select("path", clean_source_completion(F.col("completion")).alias("result")).where(
         "result <> ''"
@@ -284,8 +299,7 @@ def generic_fill(files: DataFrame, completions: DataFrame) -> DataFrame:
     added = doc_diff_report(
         merged.select("path", "content"), merged.select("path", F.col("result").alias("content"))
     ).select("path").distinct()
-    tail = F.substring("content", fv.GENERIC_SOURCE_LIMIT + 1, F.length("content"))
-    return merged.join(added, "path", "left_semi").select("path", F.concat("result", tail).alias("content"))
+    return merged.join(added, "path", "left_semi").select("path", F.col("result").alias("content"))
 
 
 def fill_scope(files: DataFrame, diff: DataFrame | None = None) -> DataFrame:

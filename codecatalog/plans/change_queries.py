@@ -299,7 +299,7 @@ def _plain(sql: str) -> str:
     return sql[1:].split("'")[0] if sql.startswith("'") else ""
 
 
-_SIGNATURES = f"(SELECT path, line_number, substring(signature, 1, 200) AS signature, kind, docstring FROM {MISSING_PY} q)"
+_SIGNATURES = f"(SELECT path, line_number, signature, kind, docstring FROM {MISSING_PY} q)"
 CANDIDATES_SQL = (
     "(SELECT b.path, b.name, CASE s.kind WHEN 'class' THEN 'class' ELSE 'function' END AS kind, s.signature, b.line, b.end_line, b.insert_line, "
     f"b.indent, array_to_string(list_slice(string_split(f.content, chr(10)), b.line, b.end_line), chr(10)) AS body FROM ({_block_rows()}) b "
@@ -324,7 +324,7 @@ def _chars(text: str) -> str:
     "doc_prompts",
     with_files(
         f"SELECT path, line, {_chars(fv.STYLE_GUIDES['numpy'] + chr(10) + chr(10) + 'Signature:' + chr(10) + '```python' + chr(10))} || signature || "
-        f"{_chars(chr(10) + '```' + chr(10) + chr(10) + 'Body:' + chr(10) + '```python' + chr(10))} || substring(body || chr(10), 1, 1500) || "
+        f"{_chars(chr(10) + '```' + chr(10) + chr(10) + 'Body:' + chr(10) + '```python' + chr(10))} || body || chr(10) || "
         f"{_chars(chr(10) + '```' + chr(10) + chr(10) + 'Write the docstring now:')} AS prompt FROM {CANDIDATES_SQL} c"
     ),
 )
@@ -343,8 +343,7 @@ _STYLE_CASES = " ".join(f"WHEN '{ext}' THEN '{style}'" for ext, _, _, style in f
         "SELECT path, language, replace(replace(replace("
         + _chars(fv.GENERIC_SYSTEM_TEXT).replace("language", "'{language}'").replace("style ||", "'{style}' ||").replace("|| comment ||", "|| '{comment}' ||")
         + ", '{language}', language), '{style}', style), '{comment}', comment) AS system_text, "
-        "'Add documentation comments to this ' || language || ' code:' || chr(10) || chr(10) || substring(content, 1, 6000) || "
-        f"CASE WHEN length(content) > 6000 THEN {_chars(fv.TRUNCATION_NOTE)} ELSE '' END AS prompt FROM ("
+        "'Add documentation comments to this ' || language || ' code:' || chr(10) || chr(10) || content AS prompt FROM ("
         f"SELECT *, CASE ext {_LANGUAGE_CASES} END AS language, CASE ext {_STYLE_CASES} END AS style, CASE ext {_COMMENT_CASES} END AS comment "
         f"FROM files WHERE lang <> 'python' AND {corpus.KEPT}) g"
     ),
@@ -473,14 +472,14 @@ def doc_diff_groups(spark: SparkSession, sf: str) -> DataFrame:
 def stub_sources(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """Stands for a model: gives the prompted source back with a comment on top, fenced."""
     for prompts in batches:
-        body = prompts.str.replace(r"^[^\n]*\n\n", "", n=1, regex=True).str.removesuffix(fv.TRUNCATION_NOTE)
+        body = prompts.str.replace(r"^[^\n]*\n\n", "", n=1, regex=True)
         yield "```\n// Added by a stub.\n" + body.str.rstrip() + "\n```"
 
 
 @query(
     "generic_fill",
     with_files(
-        "SELECT path, '// Added by a stub.' || chr(10) || rtrim(substring(content, 1, 6000), ' ' || chr(10)) || substring(content, 6001) AS content "
+        "SELECT path, '// Added by a stub.' || chr(10) || rtrim(content, ' ' || chr(10)) AS content "
         f"FROM files WHERE lang <> 'python' AND {corpus.KEPT}"
     ),
 )
