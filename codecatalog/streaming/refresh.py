@@ -19,24 +19,24 @@ from codecatalog.sources import files as src
 from codecatalog.sources import state
 from codecatalog.streaming.feed import relevant
 
-STATE_LOG = "path string, sha256 string"
+STATE_LOG = "path string, sha256 string, ts timestamp"
 QUARANTINE_LOG = "path string, reason string"
 
 
 def latest_state(spark: SparkSession, out: str, only: DataFrame | None = None) -> DataFrame:
-    """``(path, v, sha256)`` of every known path, or those in ``only``; a null hash marks a deleted file."""
+    """``(path, v, sha256, ts)`` of every known path, or those in ``only``; a null hash marks a deleted file."""
     log = state.read_log(spark, f"{out}/state", STATE_LOG, state.current_version(spark, out))
     if only is not None:
         log = log.join(only.select("path"), "path", "left_semi")
     return (
         log.groupBy("path")
-        .agg(F.max(F.struct("v", "sha256")).alias("last"))
-        .select("path", "last.v", "last.sha256")
+        .agg(F.max(F.struct("v", "sha256", "ts")).alias("last"))
+        .select("path", "last.v", "last.sha256", "last.ts")
     )
 
 
 def current_state(spark: SparkSession, out: str) -> DataFrame:
-    return latest_state(spark, out).where("sha256 IS NOT NULL").select("path", "sha256")
+    return latest_state(spark, out).where("sha256 IS NOT NULL").select("path", "sha256", "ts")
 
 
 def current_symbols(spark: SparkSession, out: str) -> DataFrame:
@@ -52,21 +52,26 @@ def current_quarantine(spark: SparkSession, out: str) -> DataFrame:
 
 
 def refresh(batch: DataFrame, out: str, options: BuildOptions = BuildOptions()) -> bool:
-    """Apply one batch of ``(path, change, content, ts)``; False if nothing really changed."""
+    """Apply one batch of ``(path, change, content, ts)``; False if nothing really changed.
+
+    The latest event of a path counts; of equally late ones that with the larger content hash, so a replay chooses
+    the same. An event older than what the catalog has of its path changes nothing.
+    """
     spark = batch.sparkSession
     committed = state.current_version(spark, out)
     version = 0 if committed is None else committed + 1
     last = (
         batch.groupBy("path")
-        .agg(F.max_by(F.struct("change", "content"), "ts").alias("c"))
-        .select("path", "c.change", "c.content")
+        .agg(F.max_by(F.struct("change", "content", "ts"), F.struct("ts", F.sha2("content", 256), "change")).alias("c"))
+        .select("path", "c.change", "c.content", F.col("c.ts").cast("timestamp").alias("ts"))
     )
     last = src.exclude_dirs(src.tag_language(last, options.specs), options.exclude)
     hashed = last.withColumn(
         "sha256", F.when(F.col("change") != "deleted", sha256_hex(F.col("content")))
     )
-    known = latest_state(spark, out, only=hashed).select("path", F.col("sha256").alias("old"))
-    touched = hashed.join(known, "path", "left").where(~F.col("sha256").eqNullSafe(F.col("old"))).drop("old")
+    known = latest_state(spark, out, only=hashed).select("path", F.col("sha256").alias("old"), F.col("ts").alias("old_ts"))
+    newer = F.col("old_ts").isNull() | F.col("ts").isNull() | (F.col("ts") >= F.col("old_ts"))
+    touched = hashed.join(known, "path", "left").where(newer & ~F.col("sha256").eqNullSafe(F.col("old"))).drop("old", "old_ts")
     touched = touched.persist()
     try:
         if touched.isEmpty():
@@ -79,7 +84,7 @@ def refresh(batch: DataFrame, out: str, options: BuildOptions = BuildOptions())
         symbols = extract_symbols(good, options.specs, private=not options.exclude_private)
         state.write_data(symbols, f"{out}/symbols", version)
         state.write_data(undecodable.unionByName(broken), f"{out}/quarantine", version)
-        state.write_data(touched.select("path", "sha256"), f"{out}/state", version)
+        state.write_data(touched.select("path", "sha256", "ts"), f"{out}/state", version)
         state.commit(spark, out, version)
         return True
     finally:
@@ -87,14 +92,18 @@ def refresh(batch: DataFrame, out: str, options: BuildOptions = BuildOptions())
 
 
 def stream_refresh(
-    changes: DataFrame, out: str, checkpoint: str, options: BuildOptions = BuildOptions()
+    changes: DataFrame, out: str, checkpoint: str, options: BuildOptions = BuildOptions(), **trigger
 ) -> StreamingQuery:
-    """Keep the catalog at ``out`` current with a change feed; runs what is available, then stops."""
+    """Keep the catalog at ``out`` current with a change feed.
+
+    ``trigger`` is what ``DataStreamWriter.trigger`` takes, as ``processingTime="30 seconds"`` for a refresh that keeps
+    running; without one it runs what is available, then stops.
+    """
     wanted = relevant(changes, [e for s in options.specs.values() for e in s.extensions])
     return (
         wanted.writeStream.foreachBatch(lambda batch, _: refresh(batch, out, options))
         .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
+        .trigger(**(trigger or {"availableNow": True}))
         .start()
     )
 

@@ -124,10 +124,11 @@ def test_unknown_style_is_google(spark):
     assert fill.doc_prompts(df, "nope").first().prompt == fill.doc_prompts(df, "google").first().prompt
 
 
-def test_generic_fill_keeps_the_tail_and_skips_unchanged(spark):
-    long = "int a;\n" * 1500
+def test_generic_fill_takes_whole_files_and_skips_unchanged(spark):
+    long = "int a;\n" * 1500 + "int last;"
     files = spark.createDataFrame([("a.c", "cpp", long), ("b.c", "cpp", "int b;")], "path string, lang string, content string")
-    answers = spark.createDataFrame([("a.c", "// new\n" + long[:6000]), ("b.c", "```c\nint b;\n```")], "path string, completion string")
+    assert long in fill.generic_prompts(files).where("path = 'a.c'").first().prompt
+    answers = spark.createDataFrame([("a.c", "// new\n" + long), ("b.c", "```c\nint b;\n```")], "path string, completion string")
     got = {r.path: r.content for r in fill.generic_fill(files, answers).collect()}
     assert got == {"a.c": "// new\n" + long}
 
@@ -153,6 +154,50 @@ def test_incremental_build_equals_full(spark, sf_dir):
     assert spark.read.text(f"{out}/b/index").first().value == "# Project Documentation"
 
 
+def test_build_fills_once_per_prompt(spark, tmp_path):
+    calls = str(tmp_path)
+
+    def answer(batches):
+        for prompts in batches:
+            for prompt in prompts:
+                with open(f"{calls}/{hash(prompt)}-{os.getpid()}-{os.urandom(4).hex()}", "w") as file:
+                    file.write(prompt)
+            yield prompts.map(lambda p: 'Says "hi" and C:\\\\path.' if "Signature" in p else "```\n// Added.\n" + p.split("\n\n", 1)[1] + "\n```")
+
+    sources = [
+        ("a.py", "def f(x):\r\n  return x\r\n"),
+        ("b.py", 'def g(x):\n\t"""Known."""\n\treturn x\n'),
+        ("c.go", "package c\n\nfunc Open() int {\n\treturn 1\n}\n"),
+    ]
+    files = spark.createDataFrame(sources, "path string, content string")
+    out = new_run_dir(spark, "fill")
+    options = build.BuildOptions(completer=answer)
+    build.full_build(spark, files, out, 0, options)
+    assert len(os.listdir(calls)) == 2
+    filled = {r.path: r.content for r in spark.read.parquet(f"{out}/filled/data/v=0").collect()}
+    assert filled["b.py"] == sources[1][1]
+    assert filled["a.py"] == 'def f(x):\r\n  """Says \\"hi\\" and C:\\\\\\\\path."""\r\n  return x\r\n'.replace('\\"', '"')
+    docs = {r.name: r.docstring for r in spark.read.schema(build.SYMBOL_SCHEMA).parquet(f"{out}/symbols/data/v=0").collect()}
+    assert docs["f"].startswith("Says") and docs["g"] == "Known."
+    added = spark.read.parquet(f"{out}/changes").where("action = 'added'").collect()
+    assert [r.name for r in added] == ["f"]
+    assert not build.incremental_build(spark, files, out, 1, options)
+    assert len(os.listdir(calls)) == 2
+
+
+def test_older_events_change_nothing(spark):
+    out = new_run_dir(spark, "order")
+    assert refresh.refresh(feed_rows(spark, [("a.py", "modified", "def new():\n    pass\n", "2024-01-05")]), out)
+    assert not refresh.refresh(feed_rows(spark, [("a.py", "modified", "def old():\n    pass\n", "2024-01-04")]), out)
+    assert [r.name for r in refresh.current_symbols(spark, out).collect()] == ["new"]
+    ties = [("b.py", "modified", f"def {n}():\n    pass\n", "2024-01-05") for n in "pq"]
+    names = set()
+    for rows in (ties, ties[::-1]):
+        assert refresh.refresh(feed_rows(spark, rows), out := new_run_dir(spark, "ties"))
+        names.add(refresh.current_symbols(spark, out).first().name)
+    assert len(names) == 1
+
+
 def feed_rows(spark, rows):
     return spark.createDataFrame(
         [(p, c, x if x is None else bytearray(x.encode()), t) for p, c, x, t in rows], "path string, change string, content binary, ts string"
