@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from llm.batches import blocks, text_of
 
 K, S = 24, 6
+RANGES_PER_PARTITION = 4
 _BASE = 0x9E3779B97F4A7C15
 
 FINGERPRINT_SCHEMA = (
@@ -152,10 +153,12 @@ def fingerprints(docs: DataFrame, k: int = K, s: int = S) -> DataFrame:
                 return
 
     keys = rows.select(*order)
-    # One key per partition: the driver gets as many rows as there are partitions, whatever the data.
+    # Some ranges for each partition of an exchange, whose number is set by the size of the data; keys are too small to
+    # tell it. The driver gets one key per range.
+    ranges = RANGES_PER_PARTITION * int(spark.conf.get("spark.sql.shuffle.partitions"))
     heads = [
         tuple(row)
-        for row in keys.repartitionByRange(*order)
+        for row in keys.repartitionByRange(ranges, *order)
         .sortWithinPartitions(*order)
         .mapInArrow(first_key, keys.schema)
         .collect()
