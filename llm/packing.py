@@ -272,5 +272,6 @@ def pack(
         yield packed(True)
 
     routed = pieces.mapInArrow(route, "doc_id long, doc_tokens long, start long, length long, ids_crc32 long, ids binary, route long")
-    order = ["route", F.xxhash64("doc_id", "start"), "doc_id", "start", "ids"]
+    # Without the ids themselves: the keys of a range exchange are sampled to the driver.
+    order = ["route", F.xxhash64("doc_id", "start"), "doc_id", "start", F.xxhash64("ids")]
     return routed.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(fill, PIECE_SCHEMA)
