@@ -19,8 +19,15 @@ BLOCK_BYTES = 1024
 
 
 def numbered(keys: DataFrame, *columns: str) -> DataFrame:
-    """Distinct keys in their order, each with a number of its own (partition and position of a global sort)."""
-    return keys.select(*columns).distinct().orderBy(*columns).withColumn("number", F.monotonically_increasing_id())
+    """Distinct keys, sorted, each with a number of its own (partition and position of a global sort).
+
+    The order is that of a short hash, then of the keys themselves, so that what a range exchange samples to the
+    driver doesn't hold whole blocks; keys with equal hashes still get different numbers.
+    """
+    short = F.xxhash64(*columns)
+    distinct = keys.select(*columns).distinct()
+    placed = distinct.repartitionByRange(short).sortWithinPartitions(short, *columns)
+    return placed.withColumn("number", F.monotonically_increasing_id())
 
 
 def block_names(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
