@@ -563,7 +563,7 @@ FROM (
   FROM (
     SELECT doc_id, source, lang AS nat, CAST(doc_id AS STRING) AS sid,
       CASE doc_id % 9 {lang} END AS lang, CASE doc_id % 9 {ext} END AS ext,
-      regexp_replace('Note ' || regexp_replace(text, '[^A-Za-z \\n]', ''{replace_all}) || ' end',
+      regexp_replace('Note ' || regexp_replace(text, '[^A-Za-z0-9À-ɏ \\n]', ''{replace_all}) || ' end',
                      ' *\\n[ \\n]*', chr(10){replace_all}) AS prose
     FROM documents
   ) d0

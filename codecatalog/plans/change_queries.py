@@ -361,11 +361,11 @@ def complete_docs(spark: SparkSession, sf: str) -> DataFrame:
     "clean_completions",
     "SELECT conv_id, turn, docstring FROM (SELECT conv_id, turn, trim(text, ' ' || chr(9) || chr(10) || chr(13)) AS t, "
     "regexp_replace(trim(trim(text, ' ' || chr(9) || chr(10) || chr(13)), '`' || chr(34) || chr(39)), '^python\\n', '') AS docstring "
-    "FROM conversations WHERE role = 'assistant') c WHERE docstring <> ''",
+    "FROM conversations) c WHERE docstring <> ''",
 )
 def clean_completions(spark: SparkSession, sf: str) -> DataFrame:
     """Assistant turns, wrapped as models like to wrap their answers."""
-    turns = spark.read.parquet(f"{sf}/conversations.parquet").where("role = 'assistant'")
+    turns = spark.read.parquet(f"{sf}/conversations.parquet")
     wrapped = turns.select(
         "conv_id", "turn",
         F.when(F.col("turn") % 4 == 1, F.concat(F.lit(" ```python\n"), F.btrim("text", F.lit(" \t\r\n")), F.lit("```\n")))
@@ -414,12 +414,12 @@ def fill_scope(spark: SparkSession, sf: str) -> DataFrame:
 
 
 # Line differences: documents as files against copies with comment runs put in.
-_CLEAN = "regexp_replace(text, '[^A-Za-z \\n]', ''G)"
+_BODY = "coalesce(text, '')"
 NOTED = "doc_id % 7 = 0"
 
 
-def _edited(g: str) -> str:
-    body = _CLEAN.replace("G", g)
+def _edited() -> str:
+    body = _BODY
     note = (
         "'# note ' || CAST(doc_id AS STRING) || chr(10) || '// second ' || CAST(doc_id AS STRING) || chr(10) || "
         "'extra line' || chr(10) || '*/' || chr(10) || '/// third' || chr(10) || "
@@ -433,9 +433,9 @@ def _edited(g: str) -> str:
 _SPLIT = "string_split({0}, chr(10))"
 NEW_LINES_SQL = (
     "(SELECT n.path, n.line_no, n.line FROM (SELECT path, CAST(unnest(range(1, len(arr) + 1)) AS BIGINT) AS line_no, unnest(arr) AS line FROM "
-    f"(SELECT path, string_split(new_content, chr(10)) AS arr FROM ({_edited(', ' + chr(39) + 'g' + chr(39))}) e) a) n "
+    f"(SELECT path, string_split(new_content, chr(10)) AS arr FROM ({_edited()}) e) a) n "
     "WHERE trim(n.line, ' ' || chr(9)) <> '' AND NOT EXISTS (SELECT 1 FROM (SELECT path, unnest(string_split(old_content, chr(10))) AS line "
-    f"FROM ({_edited(', ' + chr(39) + 'g' + chr(39))}) e2) o WHERE o.path = n.path AND o.line = n.line))"
+    f"FROM ({_edited()}) e2) o WHERE o.path = n.path AND o.line = n.line))"
 )
 GROUPS_SQL = (
     "SELECT path, min(line_no) AS line, string_agg(trim(line, ' ' || chr(9)), chr(10) ORDER BY line_no) AS docstring FROM ("
@@ -448,7 +448,7 @@ GROUPS_SQL = (
 def edited_files(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
     docs = docs.repartition(spark.sparkContext.defaultParallelism)
-    both = spark.sql(_edited("").replace("FROM documents", "FROM {docs}"), docs=docs)
+    both = spark.sql(_edited().replace("FROM documents", "FROM {docs}"), docs=docs)
     return tuple(both.select("path", F.col(c).alias("content")) for c in ("old_content", "new_content"))
 
 

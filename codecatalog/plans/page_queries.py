@@ -168,7 +168,7 @@ def navigation(spark: SparkSession, sf: str) -> DataFrame:
 # Publishing, on the given web pages. A page keeps its text; a third of the pages share one other text.
 
 _EXT = "CASE page_id % 5 WHEN 0 THEN '.html' WHEN 1 THEN '.md' WHEN 2 THEN '.json' WHEN 3 THEN '.css' ELSE '.bin' END"
-PAGES = f"SELECT 'p/' || CAST(page_id AS STRING) || {_EXT} AS page_path, CASE WHEN page_id % 3 = 0 THEN 'same' ELSE html END AS content FROM pages"
+PAGES = f"SELECT 'p/' || CAST(page_id AS STRING) || {_EXT} AS page_path, coalesce(html, '') AS content FROM pages"
 OLD_PAGES = (
     f"SELECT 'p/' || CAST(page_id AS STRING) || {_EXT} AS page_path, CASE WHEN page_id % 4 = 1 THEN 'before ' || CAST(page_id AS STRING) ELSE html END AS content FROM pages "
     f"UNION ALL SELECT 'gone/' || CAST(page_id AS STRING) || '.html', html FROM pages WHERE page_id % 6 = 0"
