@@ -42,10 +42,17 @@ def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame, kept: DataFrame, name: Column, key: str) -> DataFrame:
-    """The rows of ``docs`` with the id and text name of a row of ``kept``; of repeated rows one."""
-    rows = docs.select(F.struct("*").alias("row"), name.alias("name"), F.col("doc_id").cast("long").alias("own_id"))
-    joined = rows.join(kept, F.expr(f"own_id <=> kept_id AND name = {key}"), "left_semi")
-    return joined.groupBy("own_id", "name").agg(F.first("row").alias("row")).select("row.*")
+    """The rows of ``docs`` with the id and text name of a row of ``kept``; of repeated rows one.
+
+    The join and the grouping have the same plain keys, so whole rows travel once.
+    """
+    own_id, kept_id = F.col("doc_id").cast("long"), F.col("kept_id")
+    rows = docs.select(
+        F.struct("*").alias("row"), F.coalesce(own_id, F.lit(0)).alias("id"), own_id.isNull().alias("none"), name.alias("name")
+    )
+    wanted = kept.select(F.coalesce(kept_id, F.lit(0)).alias("id"), kept_id.isNull().alias("none"), F.col(key).alias("name"))
+    keys = ["id", "none", "name"]
+    return rows.join(wanted, keys, "left_semi").groupBy(*keys).agg(F.first("row").alias("row")).select("row.*")
 
 
 def suffix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
