@@ -272,11 +272,11 @@ def repeats(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, array_b
     rows = keyed(docs, []).drop("carried")
     found = written(_sorted_out(_spans(rows, length, anchor), hot), "spans")
     numbered = rows.withColumn("copy", F.row_number().over(Window.partitionBy(*KEY).orderBy("hash")))
-    unsure = _bytes_of(numbered, found.where(F.col("kind") == UNSURE), length)
-    ranges = found.where(F.col("kind") == REPEAT).select(*KEY, "start", "windows").unionByName(_array_repeats(unsure, length, array_bytes))
-    if not found.where(F.col("kind") == CROWDED).isEmpty():
-        windows = written(_bytes_of(numbered, found.where(F.col("kind") == CROWDED), length), "windows")
-        ranges = ranges.unionByName(_counted_repeats(windows))
+    # Texts are read once for both kinds, so that the work doesn't change in kind where the first anchor is crowded.
+    cut = written(_bytes_of(numbered, found.where(F.col("kind") != REPEAT), length), "span-bytes")
+    ranges = found.where(F.col("kind") == REPEAT).select(*KEY, "start", "windows")
+    ranges = ranges.unionByName(_array_repeats(cut.where("bytes IS NOT NULL"), length, array_bytes))
+    ranges = ranges.unionByName(_counted_repeats(cut.where("bytes IS NULL")))
     return ranges
 
 
