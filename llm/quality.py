@@ -1,9 +1,10 @@
 """Quality scores from random-indexing word vectors and a small network.
 
-Every term (a word, or the shape of a word) has a sparse random index vector. A term's context vector is the sum of
-the index vectors of its neighbours over all documents; terms share a fixed number of slots by hash, so the table
-of vectors has a fixed size. A document is the mean of its terms' index and context vectors. A network with one
-hidden layer turns it into a logit, and a temperature fitted on rows that its weights haven't seen turns that
+Every term (a word, or the shape of a word) has a sparse random index vector, made from its own 64-bit hash. A term's
+context vector is the sum of the index vectors of its neighbours over all documents. The table of context vectors is a
+DataFrame with a row per term, so it grows with the vocabulary. A document is the mean of its terms' index and context
+vectors; texts are dealt into blocks, and each block is joined with the vectors of the terms in it. A network with one
+hidden layer turns the mean into a logit, and a temperature fitted on rows that its weights haven't seen turns that
 into a probability.
 """
 
@@ -11,19 +12,24 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections.abc import Iterator
-from dataclasses import dataclass
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass, replace
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from llm.batches import Cache, blocks, id_and_text, text_of
 from llm.labels import class_weights, held_out, sigmoid, training_sample
+from llm.tables import written
 
 SLOTS, SIZE, NONZERO = 4096, 64, 4
+#: Bytes of text whose context vectors a task adds up before it passes them on, and of text that is joined at a time.
+SUM_BYTES, JOIN_BYTES = 16 << 20, 32 << 20
 #: Terms on either side that count as neighbours.
 REACH = 2
 HIDDEN, EPOCHS, RATE = 24, 60, 0.01
@@ -57,6 +63,210 @@ def shape_of(word: str) -> str:
     return re.sub(r"(.)\1+", r"\1\1", signs)
 
 
+class Keys:
+    """Keys of the terms of a text: a row of those of its words in small letters, and a row of those of their shapes."""
+
+    def __init__(self) -> None:
+        self.known, self.shapes = Cache(), Cache()
+
+    def room(self) -> None:
+        if len(self.known) > self.known.limit:
+            self.known.clear()
+            self.shapes.clear()
+
+    def __call__(self, text: str) -> np.ndarray:
+        return self.of_words(text.split())
+
+    def of_words(self, words: list[str] | set[str]) -> np.ndarray:
+        known, shapes = self.known, self.shapes
+        for word in [word for word in set(words) if word not in known]:
+            known[word], shapes[word] = self.key("w" + word.lower().strip(".,;:!?")), self.key("s" + shape_of(word))
+        return np.array([np.fromiter(map(part.__getitem__, words), np.int64, len(words)) for part in (known, shapes)])
+
+    @staticmethod
+    def key(term: str) -> int:
+        return int.from_bytes(blake2b(term.encode(), digest_size=8).digest(), "little", signed=True)
+
+
+def index_vectors(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places and signs of the nonzero entries of each key's index vector, from different bits of the key."""
+    bits = keys.astype(np.uint64)
+    places = np.zeros((len(keys), 0), np.int64)
+    for i in range(NONZERO):
+        place = ((bits >> np.uint64(12 * i)) & np.uint64(0xFFF)).astype(np.int64) % (SIZE - i)
+        for taken in np.sort(places, axis=1).T:
+            place += place >= taken
+        places = np.column_stack([places, place])
+    signs = 1 - 2 * ((bits[:, None] >> np.arange(48, 48 + NONZERO, dtype=np.uint64)) & np.uint64(1)).astype(np.int64)
+    return places, signs
+
+
+def encode(rows: np.ndarray) -> pa.Array:
+    """Rows of whole numbers in three forms: entries that are not zero in a byte each, place and number together, if all
+    numbers are from -2 to 2; else all entries in two bytes each, or in eight. The length tells the form."""
+    most = np.abs(rows).max(axis=1, initial=0)
+    small, large = most <= 2, most >= 1 << 15
+    at, places = np.nonzero(np.where(small[:, None], rows, 0))
+    sizes = np.where(small, np.bincount(at, minlength=len(rows)), np.where(large, 8 * SIZE, 2 * SIZE))
+    ends = np.concatenate([[0], np.cumsum(sizes)])
+    data = np.zeros(ends[-1], np.uint8)
+    first = np.searchsorted(at, np.arange(len(rows)))
+    numbers = rows[at, places]
+    data[ends[at] + np.arange(len(at)) - first[at]] = places | np.where(numbers > 0, numbers - 1, 1 - numbers) << 6
+    for form, kind in ((~small & ~large, "<i2"), (large, "<i8")):
+        own = np.flatnonzero(form)
+        width = SIZE * np.dtype(kind).itemsize
+        data[ends[own][:, None] + np.arange(width)] = rows[own].astype(kind).view(np.uint8).reshape(-1, width)
+    return pa.Array.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(data)])
+
+
+def decode(values: list[bytes], kind: type = np.int64) -> np.ndarray:
+    out, sizes = np.zeros((len(values), SIZE), kind), np.array([len(v) for v in values], np.int64)
+    small = np.flatnonzero(sizes <= SIZE)
+    data = np.frombuffer(b"".join([values[i] for i in small]), np.uint8)
+    out[np.repeat(small, sizes[small]), data & 63] = np.array([1, 2, -1, -2], kind)[data >> 6]
+    for width, form in ((2, "<i2"), (8, "<i8")):
+        own = np.flatnonzero(sizes == width * SIZE)
+        out[own] = np.frombuffer(b"".join([values[i] for i in own]), form).reshape(-1, SIZE)
+    return out
+
+
+def context_sums(runs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The different keys of some runs of terms, and the sums of their neighbours' index vectors."""
+    known, at = np.unique(np.concatenate(runs), return_inverse=True)
+    owner = np.repeat(np.arange(len(runs), dtype=np.int32), [len(run) for run in runs])
+    places, signs = index_vectors(known)
+    table = np.zeros(len(known) * SIZE, np.int64)
+    for step in range(1, REACH + 1):
+        same = owner[step:] == owner[:-step]
+        left, right = at[:-step][same], at[step:][same]
+        for one, other in ((left, right), (right, left)):
+            for i in range(NONZERO):
+                np.add.at(table, one * SIZE + places[other, i], signs[other, i])
+    return known, table.reshape(-1, SIZE)
+
+
+VECTORS = "key long, vector binary"
+
+
+def context_vectors(docs: DataFrame) -> DataFrame:
+    """``key, vector``: the context vector of every term of all documents, as whole numbers, so that the order of sums
+    doesn't matter. Tasks add up what they can hold; sums of one term meet in one exchange."""
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, runs, held = Keys(), [], 0
+
+        def sums() -> pa.RecordBatch:
+            known, table = context_sums(runs)
+            runs.clear()
+            return pa.RecordBatch.from_arrays([pa.array(known), encode(table)], names=["key", "vector"])
+
+        for batch in batches:
+            for block in blocks(batch):
+                keys.room()
+                for text in block.column("text").to_pylist():
+                    runs.extend(keys(text))
+                    held += len(text)
+                if held >= SUM_BYTES:
+                    yield sums()
+                    held = 0
+        if runs:
+            yield sums()
+
+    def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows come by key; the sum of a batch's last key waits for the next batch."""
+        last, waiting = np.zeros(0, np.int64), np.zeros((0, SIZE), np.int64)
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            keys = np.concatenate([last, batch.column("key").to_numpy()])
+            rows = np.concatenate([waiting, decode(batch.column("vector").to_pylist())])
+            first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+            sums, keys = np.add.reduceat(rows, first, axis=0), keys[first]
+            last, waiting = keys[-1:], sums[-1:]
+            yield pa.RecordBatch.from_arrays([pa.array(keys[:-1]), encode(sums[:-1])], names=["key", "vector"])
+        yield pa.RecordBatch.from_arrays([pa.array(last), encode(waiting)], names=["key", "vector"])
+
+    found = id_and_text(docs).mapInArrow(add, VECTORS).repartition("key").sortWithinPartitions("key")
+    return written(found.mapInArrow(total, VECTORS), "vectors")
+
+
+def pooled_by_key(keys: np.ndarray, known: np.ndarray, vectors: np.ndarray) -> np.ndarray:
+    """Means of index and context vectors over words, then over shapes, and the logarithm of the number of words; zeros
+    for a text without words. A term that isn't known has its index vector alone."""
+    n, out = keys.shape[1], np.zeros(4 * SIZE + 1, np.float32)
+    if not n:
+        return out
+    for part in (0, 1):
+        own, counts = np.unique(keys[part], return_counts=True)
+        places, signs = index_vectors(own)
+        mean = out[2 * part * SIZE : 2 * (part + 1) * SIZE]
+        mean[:SIZE] = np.bincount(places.ravel(), (signs * counts[:, None]).ravel(), SIZE) / n
+        at = np.searchsorted(known, own)
+        there = at < len(known)
+        there[there] = known[at[there]] == own[there]
+        mean[SIZE:] = counts[there].astype(np.float32) @ vectors[at[there]] / n
+    out[-1] = np.log1p(n)
+    return out
+
+
+def with_pooled(docs: DataFrame, vectors: DataFrame, schema: T.StructType | str, output: Callable[[pa.StructArray, np.ndarray], pa.RecordBatch]) -> DataFrame:
+    """Deals the rows of ``docs`` into blocks, joins the different terms of each block with their vectors, and gives
+    what ``output`` makes of rows (a batch of ``row``) and their pooled vectors."""
+    spark = docs.sparkSession
+    size = docs.agg(F.sum(F.octet_length(text_of()))).first()[0] or 0
+    n_blocks = max(-(-size // JOIN_BYTES), spark.sparkContext.defaultParallelism)
+    number = F.pmod(F.xxhash64(F.col("doc_id").cast("long"), text_of()), F.lit(n_blocks))
+    # The texts travel once: the exchange serves both uses.
+    dealt = docs.select(F.struct("*").alias("row"), number.alias("block")).repartition("block")
+
+    def texts_of(part: pa.RecordBatch) -> pa.Array:
+        return pc.fill_null(pc.struct_field(part.column("row"), "text").cast(pa.string()), "")
+
+    def wanted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, found, held = Keys(), {}, 0
+
+        def requests() -> Iterator[pa.RecordBatch]:
+            for block, words in found.items():
+                keys.room()
+                own = np.unique(keys.of_words(words))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), block)), pa.array(own)], names=["block", "key"])
+            found.clear()
+
+        for batch in batches:
+            batch = pa.RecordBatch.from_arrays([batch.column("block"), texts_of(batch)], names=["block", "text"])
+            for part in blocks(batch):
+                for block, text in zip(part.column("block").to_pylist(), part.column("text").to_pylist()):
+                    found.setdefault(block, set()).update(text.split())
+                    held += len(text)
+                if held >= JOIN_BYTES:
+                    yield from requests()
+                    held = 0
+        yield from requests()
+
+    def pool(rows: pa.Table, answers: pa.Table) -> pa.Table:
+        known, order = answers["key"].to_numpy(), np.argsort(answers["key"].to_numpy(), kind="stable")
+        known, values = known[order], answers["vector"].take(pa.array(order)).to_pylist()
+        table = decode(values, np.float32)
+        table /= np.maximum(np.linalg.norm(table, axis=1, keepdims=True), 1e-9)
+        keys, out = Keys(), []
+        for batch in rows.to_batches():
+            batch = pa.RecordBatch.from_arrays([batch.column("row"), texts_of(batch)], names=["row", "text"])
+            for part in blocks(batch):
+                keys.room()
+                pooled_rows = np.array([pooled_by_key(keys(text), known, table) for text in part.column("text").to_pylist()])
+                out.append(output(part.column("row"), pooled_rows))
+        return pa.Table.from_batches(out)
+
+    # A task that holds much text asks twice; answers to both requests are the same.
+    requests = dealt.mapInArrow(wanted, "block long, key long")
+    answers = requests.join(vectors, "key").select("block", "key", "vector")
+    return dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(pool, schema)
+
+
+# The table of hashed slots that the queries used before; none of them uses it now.
+
+
 class Terms:
     """Slots of the terms of a text: those of its words in small letters at even places, of their shapes at odd ones."""
 
@@ -125,26 +335,9 @@ def context_table(docs: DataFrame) -> np.ndarray:
     return table.reshape(SLOTS, SIZE)
 
 
-def word_vectors(context: np.ndarray) -> np.ndarray:
-    """Index vector beside the context vector at unit length, for each slot."""
-    length = np.linalg.norm(context, axis=1, keepdims=True)
-    return np.hstack([index_matrix(), (context / np.maximum(length, 1e-9)).astype(np.float32)])
-
-
-def pooled(vectors: np.ndarray, terms: Terms, text: str) -> np.ndarray:
-    """Means over words and over shapes, and the logarithm of the number of words; zeros for a text without words."""
-    slots = terms(text)
-    if not len(slots):
-        return np.zeros(4 * SIZE + 1, np.float32)
-    counts = [np.bincount(slots[part::2], minlength=SLOTS).astype(np.float32) for part in (0, 1)]
-    used = [np.flatnonzero(c) for c in counts]
-    means = [c[u] @ vectors[u] / (len(slots) // 2) for c, u in zip(counts, used)]
-    return np.concatenate([*means, [np.float32(np.log1p(len(slots) // 2))]])
-
-
 @dataclass
 class QualityModel:
-    vectors: np.ndarray
+    vectors: DataFrame | None
     mean: np.ndarray
     spread: np.ndarray
     layers: tuple[np.ndarray, np.ndarray, np.ndarray, float]
@@ -158,7 +351,7 @@ class QualityModel:
         return sigmoid(self.logits(rows) / self.temperature)
 
 
-def fit(rows: np.ndarray, y: np.ndarray, vectors: np.ndarray) -> QualityModel:
+def fit(rows: np.ndarray, y: np.ndarray, vectors: DataFrame) -> QualityModel:
     """Adam on the weighted log loss; then the temperature by golden section on the rows kept for it."""
     rng = np.random.default_rng(9)
     mean, spread = rows.mean(axis=0), rows.std(axis=0) + 1e-3
@@ -201,21 +394,15 @@ def fit(rows: np.ndarray, y: np.ndarray, vectors: np.ndarray) -> QualityModel:
 def train(docs: DataFrame, sample: DataFrame) -> QualityModel:
     """Vectors from all of ``docs``, the network from ``sample`` (``doc_id, text, label``). Without rows of both
     classes every score is that of the class there is, or one half."""
-    vectors = word_vectors(context_table(docs))
-    shared = docs.sparkSession.sparkContext.broadcast(vectors)
+    vectors = context_vectors(docs)
 
-    def pool(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        terms = Terms()
-        for batch in batches:
-            for block in blocks(batch):
-                terms.known.room()
-                rows = [pooled(shared.value, terms, text).astype("<f4").tobytes() for text in block.column("text").to_pylist()]
-                yield pa.RecordBatch.from_arrays(
-                    [block.column("doc_id"), block.column("label"), pa.array(rows, pa.binary())], names=["doc_id", "label", "row"]
-                )
+    def output(rows: pa.StructArray, means: np.ndarray) -> pa.RecordBatch:
+        packed = pa.array([row.astype("<f4").tobytes() for row in means], pa.binary())
+        return pa.RecordBatch.from_arrays([rows.field("doc_id"), rows.field("label"), packed], names=["doc_id", "label", "row"])
 
     # At most as many rows as the sample has, of 1 kB each.
-    table = sample.select("doc_id", "text", "label").mapInArrow(pool, "doc_id long, label int, row binary").toArrow()
+    found = with_pooled(sample.select("doc_id", "text", "label"), vectors, "doc_id long, label int, row binary", output)
+    table = found.toArrow()
     packed, y, ids = table["row"].to_pylist(), table["label"].to_numpy(), table["doc_id"].to_numpy()
     order = sorted(range(len(y)), key=lambda i: (zlib.crc32(str(ids[i]).encode()), ids[i], packed[i]))
     rows = np.frombuffer(b"".join(packed[i] for i in order), "<f4").reshape(len(y), 4 * SIZE + 1).astype(np.float64)
@@ -229,21 +416,16 @@ def train(docs: DataFrame, sample: DataFrame) -> QualityModel:
 
 def with_score(docs: DataFrame, model: QualityModel, name: str = "score") -> DataFrame:
     """All columns of ``docs`` and a score, which replaces a column of that name."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    rows = docs.select(F.struct("*").alias("row"), text_of().alias("text"))
-    schema = T.StructType([rows.schema["row"], T.StructField("score", T.DoubleType())])
+    shared = docs.sparkSession.sparkContext.broadcast(replace(model, vectors=None))
+    row = docs.select(F.struct("*").alias("row")).schema["row"]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        terms = Terms()
-        for batch in batches:
-            for block in blocks(batch):
-                terms.known.room()
-                rows = np.array([pooled(shared.value.vectors, terms, text) for text in block.column("text").to_pylist()])
-                scores = pa.array(shared.value.probability(rows), pa.float64())
-                yield pa.RecordBatch.from_arrays([block.column("row"), scores], names=["row", "score"])
+    def output(rows: pa.StructArray, means: np.ndarray) -> pa.RecordBatch:
+        scores = pa.array(shared.value.probability(means), pa.float64())
+        return pa.RecordBatch.from_arrays([rows, scores], names=["row", "score"])
 
+    rows = with_pooled(docs, model.vectors, T.StructType([row, T.StructField("score", T.DoubleType())]), output)
     kept = [c for c in docs.columns if c != name]
-    return rows.mapInArrow(run, schema).select(*(F.col("row").getField(c).alias(c) for c in kept), F.col("score").alias(name))
+    return rows.select(*(F.col("row").getField(c).alias(c) for c in kept), F.col("score").alias(name))
 
 
 def score(docs: DataFrame, model: QualityModel) -> DataFrame:

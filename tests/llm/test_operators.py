@@ -392,6 +392,29 @@ def test_context_vectors_by_force(spark):
     assert (table == expected).all()
 
 
+def test_every_word_has_its_own_vector(spark):
+    """Context vectors by force, of more words than any fixed table of 4096 slots has room for."""
+    rows = [(i, " ".join(f"word{i * 60 + j}" for j in range(90))) for i in range(120)] + [(200, None), (201, "")]
+    found = quality.context_vectors(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    got = dict(zip([r["key"] for r in found], quality.decode([bytes(r["vector"]) for r in found])))
+    expected, keys = defaultdict(lambda: np.zeros(quality.SIZE, np.int64)), quality.Keys()
+    for _, body in rows:
+        for run in keys(body or ""):
+            places, signs = quality.index_vectors(run)
+            for at, key in enumerate(run):
+                for near in (n for n in range(at - 2, at + 3) if n != at and 0 <= n < len(run)):
+                    expected[key][places[near]] += signs[near]
+    assert len(found) == len(got) == len(expected) > 7000
+    assert all((got[key] == row).all() for key, row in expected.items())
+
+
+def test_vectors_are_encoded_whole():
+    edges = [0, 1, -1, 2, -2, 3, -3, 127, -128, 32767, -32768, 1 << 40, -(1 << 40)]
+    rows = np.array([[n if place in (0, 5, 63) else 0 for place in range(quality.SIZE)] for n in edges])
+    packed = quality.encode(rows).to_pylist()
+    assert (quality.decode(packed) == rows).all() and quality.decode([]).shape == (0, quality.SIZE)
+
+
 def test_temperature_is_calibrated():
     rng = np.random.default_rng(1)
     x = rng.normal(size=(4000, 4 * quality.SIZE + 1))
