@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 import llm.conversation_queries  # noqa: F401
+import llm.phrase_queries  # noqa: F401
 from llm import exact_dedup, jaccard, packing, quality, suffix_dedup, syncmers, token_counts, toxicity, unigram, warc
 from llm.registry import query
 
