@@ -1,6 +1,6 @@
 """Test corpus: one source file per row of ``documents``, and what the catalog must say about it.
 
-The whole text of a document becomes the documentation of its class. A template lists the lines of a
+The whole text of a document becomes the documentation of a class. A template lists the lines of a
 file in one language, each with the condition under which it is present. From the same list come the
 file content, computed by Spark, and the expected rows, as SQL that derives them from the document
 columns by arithmetic and never parses anything.
@@ -19,7 +19,8 @@ from codecatalog import fixed_values as fv
 
 LANGUAGES = list(fv.EXTENSIONS)
 
-HAS_DOC = "doc_id % 4 <> 0"
+# Every text is in a documented file. Some have a second file without documentation, some an empty one.
+HAS_DOC = "copy <> 'U'"
 MULTI = "doc_id % 7 = 0"
 PRIVATE = "doc_id % 8 = 3"
 BRACES = "doc_id % 11 = 0"
@@ -28,9 +29,21 @@ SECOND = "doc_id % 2 = 1"
 EXCLUDED = "doc_id % 17 = 0"
 GO_TEST = "(lang = 'go' AND doc_id % 19 = 0)"
 BROKEN = "doc_id % 23 = 0"
-EMPTY = "doc_id % 29 = 0"
+EMPTY = "copy = 'E'"
+# Files with literals that nest.
+LITERALS = "doc_id % 10 IN (4, 8)"
 INDEXED = "(doc_id % 50 = 0 AND lang IN ('python', 'typescript'))"
 UNDECODABLE = "doc_id % 31 = 0"
+# What is wrong with a broken Python file: lines at its end, and the reason given for them. Other languages get the first.
+_BREAKS = (
+    (["broken("], "unbalanced brackets"),
+    (["x = ([)]"], "unbalanced brackets"),
+    (["if a:", "        x = 1", "    y = 2"], "unindent to an unknown level"),
+    (["def without_body():"], "missing body"),
+    (["x = 1", "    y = 2"], "unexpected indent"),
+)
+_BREAK = "CASE WHEN lang = 'python' THEN CAST(floor(doc_id / 23) AS BIGINT) % 5 ELSE 0 END"
+BREAK_REASON = f"CASE {_BREAK} " + " ".join(f"WHEN {i} THEN '{reason}'" for i, (_, reason) in enumerate(_BREAKS)) + " END"
 # Files that reach the extraction.
 KEPT = f"NOT ({EXCLUDED}) AND NOT {GO_TEST} AND NOT ({EMPTY}) AND NOT (lang = 'python' AND {BROKEN})"
 
@@ -42,7 +55,8 @@ def sql_text(template: str) -> str:
         if re.fullmatch(r"\{[a-z]+\}", piece):
             parts.append({"id": "sid"}.get(piece[1:-1], piece[1:-1]))
         elif piece:
-            parts.append("'" + piece.replace("'", "''") + "'")
+            # Only one of the engines takes a backslash for an escape.
+            parts.append("'" + piece.replace("'", "''").replace("\\", "' || chr(92) || '") + "'")
     return " || ".join(parts) or "''"
 
 
@@ -60,6 +74,7 @@ class Sym:
     is_async: str = "FALSE"  # SQL
     when: str = "TRUE"
     nested: bool = False  # declared, but no catalog symbol
+    hidden: bool = False  # within a private type
 
 
 @dataclass
@@ -102,7 +117,8 @@ class Template:
             line.text if line.when is None else f"CASE WHEN {line.when} THEN {line.text} END"
             for line in self.lines
         ]
-        cells.append(f"CASE WHEN {BROKEN} THEN 'broken(' END")
+        broken = " ".join(f"WHEN {i} THEN {_chars(chr(10).join(lines))}" for i, (lines, _) in enumerate(_BREAKS))
+        cells.append(f"CASE WHEN {BROKEN} THEN CASE {_BREAK} {broken} END END")
         return f"concat_ws(chr(10), {', '.join(cells)})"
 
 
@@ -141,6 +157,7 @@ def _python() -> Template:
     )
     t.prose('    """', "    ", '"""', kind="T")
     t.add('    limit = "def fake(x): {{"', when=BRACES)
+    t.add("""    note = f"{d["def x(): ("]}" + f'{d[f"{1}"]}'""", when=LITERALS)
     t.add("    def m_{id}_a(self, x: int) -> int:", Sym("method", "m_{id}_a", "C{id}", [("self", "", ""), ("x", "int", "")], "int"))
     t.add("        return helper(x)  # not code: def other():")
     t.add("", kind="B")
@@ -196,6 +213,7 @@ def _typescript() -> Template:
         Sym("class", "C{id}", bases=["Base{id}<string, number>", "A", "B<C>"], doc=CLASS_DOC),
     )
     t.add('    text = "}{{"; // }{', when=BRACES, depth=1)
+    t.add("""    note = `x ${ b ? `c { ${ "}`" }` : '' } y {` + /[`"{]/.source;""", when=LITERALS, depth=1)
     t.add("    constructor(private x?: number) {", Sym("method", "constructor", "C{id}", [("private x", "number | undefined", "")]), depth=1)
     t.add("        if (x) {", depth=2)
     t.add("            return f(x);", depth=3)
@@ -265,6 +283,11 @@ def _java() -> Template:
     t.add("    static class Inner{id} {", Sym("class", "Inner{id}", "C{id}", when=NESTED), when=NESTED, depth=1)
     t.add("        void deep_{id}() { }", Sym("method", "deep_{id}", "Inner{id}", ret="void", when=NESTED), when=NESTED, depth=2)
     t.add("    }", when=NESTED, depth=2)
+    t.add("    class _P{id} {", Sym("class", "_P{id}", "C{id}", when=NESTED), when=NESTED, depth=1)
+    t.add("        class Q{id} {", Sym("class", "Q{id}", "_P{id}", when=NESTED, hidden=True), when=NESTED, depth=2)
+    t.add("            void low_{id}() { }", Sym("method", "low_{id}", "Q{id}", ret="void", when=NESTED, hidden=True), when=NESTED, depth=3)
+    t.add("        }", when=NESTED, depth=3)
+    t.add("    }", when=NESTED, depth=2)
     t.add("    private Map<String, Integer> _helper_{id}(int z);", Sym("method", "_helper_{id}", "C{id}", [("z", "int", "")], "Map<String, Integer>", when=PRIVATE), when=PRIVATE, depth=1)
     t.add("}", depth=1)
     t.add("interface I{id} extends J, K {", Sym("class", "I{id}", bases=["J", "K"], marker="interface"))
@@ -325,6 +348,7 @@ def _rust() -> Template:
     t.add("//! Module {id} from {source}.", kind="M")
     t.add("", kind="B")
     t.add("use std::fmt;")
+    t.add("/* a /* b { */ fn commented() { */", when=LITERALS, kind="M")
     t.prose("/// ", "/// ", "")
     t.add("#[derive(Debug)]", kind="A")
     t.add("pub struct C{id}<T> {", Sym("class", "C{id}", marker="struct", doc=CLASS_DOC))
@@ -361,6 +385,7 @@ def _rust() -> Template:
         Sym("function", "f_{id}", args=[("a", "i32", ""), ("b", "&str", "")], ret="bool", doc=FUNC_DOC, is_async=ASYNC),
     )
     t.add('    let s = "}{{"; /* }{ */', when=BRACES, depth=1)
+    t.add('    let r = r##"{"#"##;', when=LITERALS, depth=1)
     t.add("    fn local() {}", depth=1)
     t.add("    true", depth=1)
     t.add("}", depth=1)
@@ -383,6 +408,7 @@ def _csharp() -> Template:
     )
     t.add("    {", depth=1)
     t.add('        string s = "}{{"; // }{', when=BRACES, depth=2)
+    t.add("""        string n = $"{(b ? "{" : "")}" + @"a\\" + $@"{ c }{{" + \"\"\"{ "" \"\"\";""", when=LITERALS, depth=2)
     t.add("        public C{id}(int x) { }", Sym("method", "C{id}", "C{id}", [("x", "int", "")]), depth=2)
     t.add("        public int Size { get; set; }", depth=2)
     t.add("        /// <summary>{dep}Helper {id}.</summary>", when=HAS_DOC, kind="M", depth=2)
@@ -403,6 +429,13 @@ def _csharp() -> Template:
     t.add("        {", when=NESTED, depth=2)
     t.add("            void deep_{id}() { }", Sym("method", "deep_{id}", "Inner{id}", ret="void", when=NESTED), when=NESTED, depth=3)
     t.add("        }", when=NESTED, depth=3)
+    t.add("        class _P{id}", Sym("class", "_P{id}", "C{id}", when=NESTED), when=NESTED, depth=2)
+    t.add("        {", when=NESTED, depth=2)
+    t.add("            class Q{id}", Sym("class", "Q{id}", "_P{id}", when=NESTED, hidden=True), when=NESTED, depth=3)
+    t.add("            {", when=NESTED, depth=3)
+    t.add("                void low_{id}() { }", Sym("method", "low_{id}", "Q{id}", ret="void", when=NESTED, hidden=True), when=NESTED, depth=4)
+    t.add("            }", when=NESTED, depth=4)
+    t.add("        }", when=NESTED, depth=3)
     t.add("        int _helper_{id}(int z) { return z; }", Sym("method", "_helper_{id}", "C{id}", [("z", "int", "")], "int", when=PRIVATE), when=PRIVATE, depth=2)
     t.add("    }", depth=2)
     t.add("    public interface I{id} : IOther { }", Sym("class", "I{id}", bases=["IOther"], marker="interface"), depth=1)
@@ -426,6 +459,7 @@ def _cpp() -> Template:
     )
     t.add(" public:", depth=1)
     t.add('    const char* s = "}{{"; // }{', when=BRACES, depth=1)
+    t.add('    const char* r = R"x({)" )x";', when=LITERALS, depth=1)
     t.add("    /// Second of {id}.", when=SECOND, kind="M", depth=1)
     t.add(
         "    virtual void m_{id}_b(std::map<int, char>& m, ...) const override;",
@@ -463,6 +497,9 @@ def _ruby() -> Template:
     t.prose("  # ", "  # ", "", depth=1)
     t.add("  class C{id} < Base{id}", Sym("class", "C{id}", "M{id}", bases=["Base{id}"], doc=CLASS_DOC), depth=1)
     t.add('    S = "if do end" # end', when=BRACES, depth=2)
+    t.add("    T = [<<~ONE, <<-'TWO'].join", when=LITERALS, depth=2)
+    for text in ("      def fake", '      #{x.map { |q| "#{ q } end" } } do', "    ONE", "  class Fake", "    TWO"):
+        t.add(text, when=LITERALS, depth=2, kind="T")
     t.add("    # {dep}Helper {id}.", when=HAS_DOC, kind="M", depth=2)
     _header(
         t,
@@ -501,6 +538,7 @@ def _kotlin() -> Template:
     t.add("    val x: Int = 3", kind="C")
     t.add(") : Base{id}(x), Iface<A, B> {", kind="C")
     t.add('    val s = "}{{" // }{', when=BRACES, depth=1)
+    t.add("""    val n = "x ${if (b) "{" else ""} y" + \"\"\"${ "}" } {\"\"\" """.rstrip(), when=LITERALS, depth=1)
     _block_doc(t, "    ", "Second of {id}.", 1, SECOND)
     t.add(
         '    override {sus}fun m_{id}_b(vararg n: Int, cb: (Int, Int) -> Unit = {}): Map<String, Int> {',
@@ -540,8 +578,22 @@ TEMPLATES = {
 }
 
 
+# A text stands whole in a comment. Only these differ: control characters and other line ends are blanks, and what would
+# end the comment, or make a line of it something else than text, is written in another way.
+_CONTROL_CHARS = "".join(map(chr, (*range(1, 10), *range(11, 32), 127, 0x85, 0x2028, 0x2029)))
+_CONTROLS = f"'{_CONTROL_CHARS}'"
+_NO_END = "replace(replace(plain, '*/', '* /'), '/*', '/ *')"
+_NO_TAG = f"replace({_NO_END}, chr(10) || '@', chr(10) || '(@')"
+_ESCAPES = {
+    "python": "replace(plain, '\"\"\"', chr(39) || chr(39) || chr(39))",
+    "csharp": "replace(plain, '<', '&lt;')",
+    "cpp": f"replace({_NO_TAG}, chr(10) || chr(92), chr(10) || '(' || chr(92))",
+} | dict.fromkeys(("typescript", "java", "kotlin"), _NO_TAG)
+
+
 def _base(replace_all: str) -> str:
     """Corpus columns that file content and expectations share. ``replace_all`` is the engine's option."""
+    escapes = " ".join(f"WHEN lang = '{name}' THEN {sql}" for name, sql in _ESCAPES.items())
     lang = " ".join(f"WHEN {i} THEN '{name}'" for i, name in enumerate(LANGUAGES))
     ext = " ".join(
         f"WHEN {i} THEN CASE CAST(floor(doc_id / 9) AS BIGINT) % {len(exts)} "
@@ -553,7 +605,7 @@ def _base(replace_all: str) -> str:
 SELECT *, length(prose) - length(replace(prose, chr(10), '')) + 1 AS nl,
   dir || 'doc_' || sid || stem || ext AS path
 FROM (
-  SELECT doc_id, source, nat, sid, lang, ext, prose,
+  SELECT doc_id, copy, source, nat, sid, lang, ext, prose,
     CASE WHEN doc_id % 10 = 3 THEN 'Deprecated: ' ELSE '' END AS dep,
     CASE WHEN {ASYNC} THEN 'async ' ELSE '' END AS asy,
     CASE WHEN {ASYNC} THEN 'suspend ' ELSE '' END AS sus,
@@ -561,13 +613,20 @@ FROM (
     CASE WHEN {INDEXED} AND lang = 'python' THEN '/__init__' WHEN {INDEXED} THEN '/index'
          WHEN {GO_TEST} THEN '_test' ELSE '' END AS stem
   FROM (
-    SELECT doc_id, source, lang AS nat, CAST(doc_id AS STRING) AS sid,
-      CASE doc_id % 9 {lang} END AS lang, CASE doc_id % 9 {ext} END AS ext,
-      regexp_replace('Note ' || regexp_replace(text, '[^A-Za-z0-9À-ɏ \\n]', ''{replace_all}) || ' end',
-                     ' *\\n[ \\n]*', chr(10){replace_all}) AS prose
-    FROM documents
-  ) d0
-) d1"""
+    SELECT *, CASE {escapes} ELSE plain END AS prose
+    FROM (
+      SELECT doc_id, copy, source, lang AS nat, CAST(doc_id AS STRING) || copy AS sid,
+        CASE doc_id % 9 {lang} END AS lang, CASE doc_id % 9 {ext} END AS ext,
+        regexp_replace('Note ' || translate(text, {_CONTROLS}, '{" " * len(_CONTROL_CHARS)}') || ' end',
+                       ' *\\n[ \\n]*', chr(10){replace_all}) AS plain
+      FROM (
+        SELECT *, '' AS copy FROM documents
+        UNION ALL SELECT *, 'U' FROM documents WHERE doc_id % 4 = 0
+        UNION ALL SELECT *, 'E' FROM documents WHERE doc_id % 29 = 0
+      ) d0
+    ) d1
+  ) d2
+) d3"""
 
 
 _CONTENT = "CASE WHEN " + EMPTY + " THEN '' ELSE CASE lang " + " ".join(
@@ -629,7 +688,7 @@ def expected_sql(langs: list[str] | None = None, kept: str = KEPT) -> str:
                 f"{sql_text(sym.ret)} AS return_type, {sql_text(', '.join(sym.bases))} AS bases_text, "
                 f"{_decorators_sql(sym)} AS decorators_text, {doc} AS docstring, ({sym.is_async}) AS is_async, "
                 f"(regexp_matches({doc}, '(?i)\\bdeprecated\\b') OR ({marked})) AS is_deprecated, "
-                f"{str(sym.nested).upper()} AS nested, CAST({start} AS BIGINT) AS line_number "
+                f"{str(sym.nested).upper()} AS nested, {str(sym.hidden).upper()} AS hidden, CAST({start} AS BIGINT) AS line_number "
                 f"FROM base WHERE lang = '{lang}' AND {kept} AND ({sym.when})"
             )
     inner = " UNION ALL ".join(branches)
@@ -679,8 +738,10 @@ def expected_lines_sql(kinds: str | None = None) -> str:
             line.n if line.when is None else f"(CASE WHEN {line.when} THEN {line.n} ELSE 0 END)" for line in t.lines
         )
         if not kinds or "H" in kinds:
+            broken = " ".join(f"WHEN {i} THEN {len(lines)}" for i, (lines, _) in enumerate(_BREAKS))
             branches.append(
-                f"SELECT path, CAST(1 + {total} AS BIGINT), CAST(0 AS BIGINT), CAST(1 AS BIGINT) FROM base "
+                f"SELECT path, CAST(1 + {total} + i AS BIGINT), CAST(0 AS BIGINT), CAST(1 AS BIGINT) FROM base, "
+                f"LATERAL (SELECT unnest(range(0, CAST(CASE {_BREAK} {broken} END AS BIGINT))) AS i) u "
                 f"WHERE lang = '{lang}' AND NOT ({EMPTY}) AND {BROKEN}"
             )
     if not kinds:

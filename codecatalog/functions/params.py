@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from codecatalog.functions.folds import flat_brackets, restored
 from codecatalog.functions.text import collapse_spaces, normalise_quotes, strip
 from codecatalog.specs import LangSpec
 
@@ -100,12 +101,13 @@ def _typescript(p: Column) -> Column:
         F.when(optional, F.concat(hint, F.lit(" | undefined"))).otherwise(hint),
         _default(p),
     )
-    pattern = F.regexp_extract(p, r"^(\{[^{}]*\}|\[[^\[\]]*\]|[^:]*)", 1)
+    pattern = restored(F.regexp_extract(flat_brackets(p), r"^(\{[^{}]*\}|\[[^\[\]]*\]|[^:]*)", 1))
     return F.when(p.rlike(r"^[{\[]"), _arg(pattern, F.lit("object"), F.lit(""))).otherwise(plain)
 
 
 def _java(p: Column) -> Column:
-    bare = F.replace(F.regexp_replace(p, r"@[\w.]+(?:\([^()]*\))?\s*", ""), F.lit("..."), F.lit("[]"))
+    bare = restored(F.regexp_replace(flat_brackets(p), r"@[\w.]+(?:\([^()]*\))?\s*", ""))
+    bare = F.replace(bare, F.lit("..."), F.lit("[]"))
     return _arg(_last_word(bare), _but_last_word(bare), F.lit(""))
 
 

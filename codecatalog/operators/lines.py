@@ -12,7 +12,9 @@ from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from codecatalog.functions.folds import flat_brackets
 from codecatalog.functions.text import let, strip
+from codecatalog.lexers import lexed
 from codecatalog.specs import LangSpec
 
 
@@ -71,53 +73,68 @@ def explode_lines(files: DataFrame) -> DataFrame:
 FILLER = "\u0001"
 
 
-def _filled(literal: Column, char: str) -> Column:
-    """The literal with every character but line feeds replaced."""
+def _filled(literal: Column, char: str, over_lines: bool = False) -> Column:
+    """The literal with every character replaced; line feeds stay unless it is to be one line."""
+    if over_lines:
+        return F.repeat(F.lit(char), F.length(literal))
     return F.array_join(
         F.transform(F.split(literal, "\n"), lambda x: F.repeat(F.lit(char), F.length(x))), "\n"
     )
 
 
-def masked_struct(content: Column, specs: Mapping[str, LangSpec]) -> Column:
+def masked_struct(content: Column, specs: Mapping[str, LangSpec], over_lines: bool = False) -> Column:
     """``struct<line, code, text>`` of one file: as it is, and with literals blanked to equal length.
 
-    ``code`` has comments and strings blanked, ``text`` only comments.
-    """
+    ``code`` has comments and strings blanked, ``text`` only comments. With ``over_lines`` a string is blanked with its line
+    feeds, so that ``code`` has a line for each line that isn't within one.
 
-    def parts(c: Column) -> Column:
-        return F.struct(
-            c.alias("content"),
-            by_language(
-                specs, lambda s: F.regexp_extract_all(c, F.lit(s.literals), F.lit(0))
-            ).alias("literals"),
-            by_language(specs, lambda s: F.split(c, s.literals, -1)).alias("gaps"),
-        )
+    Flat literals are cut out by one pattern. Files whose literals may nest go through the lexer of their language.
+    """
 
-    def blanked(p: Column) -> Column:
-        codes = F.transform(
-            p["literals"],
-            lambda t: F.when(by_language(specs, lambda s: t.rlike(s.comment)), _filled(t, " ")).otherwise(
-                _filled(t, FILLER)
-            ),
-        )
-        return F.struct(p["content"].alias("content"), p["gaps"].alias("gaps"), p["literals"].alias("literals"), codes.alias("codes"))
+    def flat(c: Column) -> Column:
+        """Pieces of the file with their kinds: code, then a literal, and so on."""
 
-    def woven(p: Column) -> Column:
-        texts = F.zip_with(
-            p["literals"], p["codes"], lambda t, c: F.when(c.startswith(FILLER), t).otherwise(c)
-        )
+        def parts(c: Column) -> Column:
+            return F.struct(
+                by_language(
+                    specs, lambda s: F.regexp_extract_all(c, F.lit(s.literals), F.lit(0))
+                ).alias("literals"),
+                by_language(specs, lambda s: F.split(c, s.literals, -1)).alias("gaps"),
+            )
 
-        def weave(pieces: Column) -> Column:
-            return F.array_join(
-                F.zip_with(p["gaps"], pieces, lambda g, t: F.concat(g, F.coalesce(t, F.lit("")))), ""
+        def kinds(p: Column) -> Column:
+            return F.transform(
+                p["literals"], lambda t: F.when(by_language(specs, lambda s: t.rlike(s.comment)), "m").otherwise("s")
             )
 
-        return F.struct(
-            p["content"].alias("line"), weave(p["codes"]).alias("code"), weave(texts).alias("text")
+        def pairs(p: Column) -> Column:
+            literal = lambda t, k: F.struct(t.alias("t"), k.alias("k"))
+            both = F.zip_with(p["literals"], kinds(p), literal)
+            gap = lambda g, x: F.array(F.struct(g.alias("t"), F.lit("c").alias("k")), x)
+            return F.filter(F.flatten(F.zip_with(p["gaps"], both, gap)), lambda x: x.isNotNull())
+
+        return let(parts(c), pairs)
+
+    def nested(c: Column, spec: LangSpec) -> Column:
+        return let(lexed(c, spec.lexer), lambda x: F.zip_with(x["tokens"], x["kinds"], lambda t, k: F.struct(t.alias("t"), k.alias("k"))))
+
+    def pieces(c: Column) -> Column:
+        chain = F
+        for spec in specs.values():
+            if spec.lexer is not None:
+                chain = chain.when((F.col("lang") == spec.name) & c.rlike(spec.lexer.needed), nested(c, spec))
+        return chain.otherwise(flat(c)) if chain is not F else flat(c)
+
+    def woven(c: Column, p: Column) -> Column:
+        code = F.transform(
+            p,
+            lambda x: F.when(x["k"] == "c", x["t"]).when(x["k"] == "m", _filled(x["t"], " ")).otherwise(_filled(x["t"], FILLER, over_lines)),
         )
+        text = F.transform(p, lambda x: F.when(x["k"] == "m", _filled(x["t"], " ")).otherwise(x["t"]))
+        return F.struct(c.alias("line"), F.array_join(code, "").alias("code"), F.array_join(text, "").alias("text"))
 
     normal = F.regexp_replace(content, r"\r\n?", "\n")
-    return let(normal, lambda c: let(parts(c), lambda p: let(blanked(p), woven)))
+    return let(normal, lambda c: let(pieces(c), lambda p: woven(c, p)))
 
 
 def _count(col: Column, char: str) -> Column:
@@ -185,8 +202,9 @@ def with_depth(lines: DataFrame) -> DataFrame:
 def row_kind(specs: Mapping[str, LangSpec]) -> Column:
     """Blank, Message (comment only), Text (string only), Annotation or Head (code)."""
     code_blank = ~F.col("code").rlike(rf"[^\s{FILLER}]")
-    annotation = by_language(
-        specs, lambda s: F.col("code").rlike(s.annotation) if s.annotation else F.lit(False)
+    annotation = let(
+        flat_brackets(F.col("code")),
+        lambda code: by_language(specs, lambda s: code.rlike(s.annotation) if s.annotation else F.lit(False)),
     )
     return (
         F.when(~F.col("line").rlike(r"\S"), "B")

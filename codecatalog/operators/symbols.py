@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from codecatalog.functions.docs import clean_docs
+from codecatalog.functions.folds import flat_brackets, restored
 from codecatalog.functions.params import base_names, parse_params
 from codecatalog.functions.predicates import (
     deprecated_expr,
@@ -51,7 +52,7 @@ def _may_declare(spec: LangSpec, code: Column) -> Column:
 @per_specs
 def _line_tests(specs: Mapping[str, LangSpec]) -> dict[str, Column]:
     return {
-        "may_declare": let(F.col("code"), lambda code: by_language(specs, lambda s: _may_declare(s, code), F.lit(False))),
+        "may_declare": let(flat_brackets(F.col("code")), lambda code: by_language(specs, lambda s: _may_declare(s, code), F.lit(False))),
         "doc_line": by_language(
             specs, lambda s: F.col("line").rlike(s.doc_line) if s.doc_line else F.lit(False)
         ),
@@ -176,8 +177,8 @@ def _decl_struct(decl: Decl, code: Column, text: Column) -> Column:
     if decl.mid:
         ret = F.substring(text, start + size + F.length(group(decl.mid)) + 1, F.length(group(decl.ret)))
     else:
-        ret = group(decl.ret)
-    bases, extra = params if decl.base_params else group(decl.bases), group(decl.implements)
+        ret = restored(group(decl.ret))
+    bases, extra = params if decl.base_params else restored(group(decl.bases)), restored(group(decl.implements))
     name = group(decl.name)
     if decl.marker == "object":
         name = F.when(name.rlike(r"^(?:companion\s+)?object$"), "Companion").otherwise(name)
@@ -214,7 +215,7 @@ def with_declarations(blocks: DataFrame, specs: Mapping[str, LangSpec]) -> DataF
 def _declared(specs: Mapping[str, LangSpec]) -> Column:
     # Bound values also keep this large expression out of generated code, where it would not fit.
     return let(
-        F.struct("code", "text"), lambda v: by_language(specs, lambda s: _decl_of(s, v["code"], v["text"]))
+        F.struct(flat_brackets(F.col("code")).alias("code"), "text"), lambda v: by_language(specs, lambda s: _decl_of(s, v["code"], v["text"]))
     )
 
 
@@ -243,8 +244,8 @@ def enclosing_scope(blocks: DataFrame, specs: Mapping[str, LangSpec]) -> DataFra
     """
     is_python = scope_is(specs, "indent")
     indent = F.length(F.regexp_extract("code", r"^(\s*)", 1))
-    unclosed = F.regexp_replace("code", BRACES, "")
-    brace_left = F.contains(unclosed, F.lit("{"))
+    unclosed = F.regexp_replace(flat_brackets(F.col("code")), BRACES, "")
+    brace_left = F.col("brace_left")
     is_ruby_like = scope_is(specs, "end")
     opens_now = (
         F.when(is_python, (indent == 0))
@@ -281,7 +282,7 @@ def enclosing_scope(blocks: DataFrame, specs: Mapping[str, LangSpec]) -> DataFra
     seen = at_level.rowsBetween(Window.unboundedPreceding, -1)
     whole = at_level.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     placed = (
-        blocks.withColumn("indent", indent)
+        blocks.withColumns({"indent": indent, "brace_left": F.contains(unclosed, F.lit("{"))})
         .withColumn("e", F.explode(entries))
         .withColumns(
             {
@@ -298,7 +299,7 @@ def enclosing_scope(blocks: DataFrame, specs: Mapping[str, LangSpec]) -> DataFra
     )
     return placed.withColumn(
         "scope", F.when(F.col("e.level") > 0, scope)
-    ).withColumn("level", F.col("e.level")).drop("e", "opener", "pending")
+    ).withColumn("level", F.col("e.level")).drop("e", "opener", "pending", "brace_left")
 
 
 def _fill_gaps(rows: Column) -> Column:
@@ -362,13 +363,49 @@ def _python_decorators() -> Column:
     )
 
 
-def declarations(files: DataFrame, specs: Mapping[str, LangSpec] = SPECS) -> DataFrame:
+def outside_private_types(scoped: DataFrame) -> DataFrame:
+    """Without the lines within types whose name is private, however far down.
+
+    A fold over the levels of a file's lines finds where such types end: at the next line that isn't deeper. A private type
+    within another needs no range of its own.
+    """
+    hides = (F.col("d.kind") == "class") & is_private(F.col("d.name"))
+    # The brace of a body on its own line has the level of the header it belongs to.
+    resumes = F.col("code").rlike(r"^\s*\{")
+    row = F.struct("line_no", "level", F.coalesce(hides, F.lit(False)).alias("hides"), resumes.alias("resumes"))
+    number = lambda x: F.lit(x).cast("bigint")
+    start = F.struct(
+        number(None).alias("level"), number(None).alias("since"), F.array().cast("array<struct<since:bigint,until:bigint>>").alias("ranges")
+    )
+
+    def step(acc: Column, r: Column) -> Column:
+        ends = acc["level"].isNotNull() & (r["level"] <= acc["level"]) & ~r["resumes"]
+        free = acc["level"].isNull() | ends
+        found = F.struct(acc["since"].alias("since"), (r["line_no"] - 1).alias("until"))
+        return F.struct(
+            F.when(free, F.when(r["hides"], r["level"])).otherwise(acc["level"]).alias("level"),
+            F.when(free, F.when(r["hides"], r["line_no"])).otherwise(acc["since"]).alias("since"),
+            F.when(ends, F.array_append(acc["ranges"], found)).otherwise(acc["ranges"]).alias("ranges"),
+        )
+
+    def last(acc: Column) -> Column:
+        rest = F.struct(acc["since"].alias("since"), number(2**62).alias("until"))
+        return F.when(acc["level"].isNull(), acc["ranges"]).otherwise(F.array_append(acc["ranges"], rest))
+
+    ranges = scoped.groupBy("path").agg(F.array_sort(F.collect_list(row)).alias("rows")).where(F.exists("rows", lambda r: r["hides"]))
+    hidden = ranges.select("path", F.aggregate("rows", start, step, last).alias("hidden"))
+    inside = F.exists("hidden", lambda x: (F.col("line_no") > x["since"]) & (F.col("line_no") <= x["until"]))
+    return scoped.join(hidden, "path", "left").where(~F.coalesce(inside, F.lit(False))).drop("hidden")
+
+
+def declarations(files: DataFrame, specs: Mapping[str, LangSpec] = SPECS, private: bool = True) -> DataFrame:
     """Every declaration with its scope, documentation and parts; nested ones included.
 
-    ``status`` is 'symbol' for catalog rows and 'nested' for the rest.
+    ``status`` is 'symbol' for catalog rows and 'nested' for the rest. ``private=False`` leaves out what private types hold.
     """
     blocks = with_declarations(logical_blocks(prepared_lines(files, specs), specs), specs)
-    scoped = enclosing_scope(blocks, specs).where("d IS NOT NULL AND d.kind <> 'scope'")
+    scoped = enclosing_scope(blocks, specs)
+    scoped = (scoped if private else outside_private_types(scoped)).where("d IS NOT NULL AND d.kind <> 'scope'")
     is_python = scope_is(specs, "indent")
     top = F.col("scope").isNull() & (F.col("level") <= 0) | F.col("scope.accepts").contains("transparent")
     in_class = F.col("scope.kind") == "class"
@@ -446,7 +483,7 @@ def exported_only(symbols: DataFrame, specs: Mapping[str, LangSpec] = SPECS) ->
 
 
 def exclude_private(symbols: DataFrame) -> DataFrame:
-    """A private owner goes with its members."""
+    """A private owner goes with its own members. ``extract_symbols`` knows owners at any level above."""
     return symbols.where(~is_private(F.col("name")) & ~is_private(F.col("parent_name")))
 
 
@@ -522,14 +559,14 @@ def with_details(rows: DataFrame, specs: Mapping[str, LangSpec] = SPECS) -> Data
     )
 
 
-def catalog_rows(files: DataFrame, specs: Mapping[str, LangSpec] = SPECS) -> DataFrame:
+def catalog_rows(files: DataFrame, specs: Mapping[str, LangSpec] = SPECS, private: bool = True) -> DataFrame:
     """All declarations with details; ``status`` tells catalog symbols from nested ones."""
-    return with_details(attach_receivers(exported_only(declarations(files, specs), specs), specs), specs)
+    return with_details(attach_receivers(exported_only(declarations(files, specs, private), specs), specs), specs)
 
 
 def extract_symbols(
     files: DataFrame, specs: Mapping[str, LangSpec] = SPECS, private: bool = True
 ) -> DataFrame:
     """The symbol table of ``files(path, lang, content)``."""
-    symbols = catalog_rows(files, specs).where("status = 'symbol'").drop("status", "header_end", "indent")
+    symbols = catalog_rows(files, specs, private).where("status = 'symbol'").drop("status", "header_end", "indent")
     return symbols if private else exclude_private(symbols)

@@ -116,9 +116,9 @@ def page_paths(spark: SparkSession, sf: str) -> DataFrame:
     return placed.select("path", "page_path", text.root_prefix(F.col("page_path")).alias("root_prefix"))
 
 
-@query("exclude_private", with_base(f"SELECT path, name, line_number FROM {SYM} s WHERE NOT starts_with(name, '_')"))
+@query("exclude_private", with_base(f"SELECT path, name, line_number FROM {SYM} s WHERE NOT starts_with(name, '_') AND NOT hidden"))
 def exclude_private(spark: SparkSession, sf: str) -> DataFrame:
-    return symbols.exclude_private(catalog(spark, sf)).select("path", "name", "line_number")
+    return symbols.extract_symbols(kept_files(spark, sf), private=False).select("path", "name", "line_number")
 
 
 @query(
@@ -265,7 +265,7 @@ def signatures(spark: SparkSession, sf: str) -> DataFrame:
 @query(
     "quarantine_syntax",
     with_base(
-        f"SELECT path, 'unbalanced brackets' AS reason FROM base WHERE lang = 'python' AND {corpus.BROKEN} AND NOT ({corpus.EMPTY})"
+        f"SELECT path, {corpus.BREAK_REASON} AS reason FROM base WHERE lang = 'python' AND {corpus.BROKEN} AND NOT ({corpus.EMPTY})"
     ),
 )
 def quarantine_syntax(spark: SparkSession, sf: str) -> DataFrame:

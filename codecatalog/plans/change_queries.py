@@ -224,7 +224,7 @@ REPORT_SQL = with_base(
     f"FROM {MODULES_SQL} m WHERE {_NON_EMPTY}) b, "
     f"(SELECT count(*) AS n_deprecated FROM {FEED_SQL} f WHERE action = 'deprecated') c, (SELECT count(*) AS n_filled FROM {MISSING_PY} p) e "
     "UNION ALL SELECT 'change', CAST(to_json(struct_pack(name := name, module := module, kind := kind, action := action, line := line)) AS VARCHAR) "
-    f"FROM {FEED_SQL} g UNION ALL SELECT 'error', CAST(to_json(struct_pack(path := path, reason := 'unbalanced brackets')) AS VARCHAR) "
+    f"FROM {FEED_SQL} g UNION ALL SELECT 'error', CAST(to_json(struct_pack(path := path, reason := {corpus.BREAK_REASON})) AS VARCHAR) "
     f"FROM base WHERE lang = 'python' AND {corpus.BROKEN} AND NOT ({corpus.EMPTY})"
 )
 

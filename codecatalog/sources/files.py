@@ -8,10 +8,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codecatalog import fixed_values as fv
+from codecatalog.functions.layout import layout_problem
 from codecatalog.functions.predicates import in_excluded_dir
 from codecatalog.functions.text import let, path_ext, sha256_hex
 from codecatalog.operators.lines import masked_struct, per_specs
-from codecatalog.sources.tree import SourceTree, mounted_path
+from codecatalog.sources.tree import list_tree, read_files
 from codecatalog.specs import SPECS, LangSpec
 
 
@@ -44,31 +45,10 @@ def read_source_tree(
     extensions: Iterable[str] | None = None,
     exclude: Sequence[str] = tuple(fv.DEFAULT_EXCLUDES),
 ) -> DataFrame:
-    """``(path, content BINARY)`` of every matching file, with paths relative to ``root``.
-
-    A mounted folder is read by the ``source_tree`` source. For a remote URI Spark's binary file
-    source lists once for all suffixes, and the directory filter on ``_metadata.file_path`` prunes
-    excluded files before their bytes are read; it skips empty files and names that start with ``_``.
-    """
+    """``(path, content BINARY)`` of every matching file, with paths relative to ``root``: a folder that all executors mount, or
+    a URI of a remote store. Both are listed and read by tasks, empty files and all names included."""
     wanted = sorted(extensions or [e for s in SPECS.values() for e in s.extensions])
-    mounted = mounted_path(root)
-    if mounted is not None:
-        spark.dataSource.register(SourceTree)
-        return (
-            spark.read.format("source_tree")
-            .option("root", mounted)
-            .option("extensions", ",".join(wanted))
-            .option("exclude", ",".join(exclude))
-            .load()
-        )
-    raw = (
-        spark.read.format("binaryFile")
-        .option("recursiveFileLookup", "true")
-        .option("pathGlobFilter", "*{" + ",".join(wanted) + "}")
-        .load(root)
-    )
-    relative = F.substring(F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B"))), len(root.rstrip("/")) + 2, 1 << 30)
-    return raw.where(~in_excluded_dir(relative, exclude)).select(relative.alias("path"), "content")
+    return read_files(list_tree(spark, root, wanted, exclude), root)
 
 
 def decode_text(files: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -88,21 +68,20 @@ def decode_text(files: DataFrame) -> tuple[DataFrame, DataFrame]:
 def _syntax_problem(strict: Mapping[str, LangSpec]) -> Column:
     def problem(masked: Column) -> Column:
         code, text = masked["code"], masked["text"]
-
-        def count(chars: str) -> Column:
-            return F.regexp_count(code, F.lit("\\" + chars))
-
         open_quote = (F.regexp_count(text, F.lit('"""')) % 2 == 1) | (F.regexp_count(text, F.lit("'''")) % 2 == 1)
         bad_header = code.rlike(
             r"(?m)^[ \t]*(?:async[ \t]+)?def[ \t]+\w+[ \t]*(?:[^\s(\w\[]|$)"
         ) | code.rlike(r"(?m)^[ \t]*class[ \t]*(?:[^\w\s]|$)")
-        unbalanced = (count("(") != count(")")) | (count("[") != count("]")) | (count("{") != count("}"))
-        return (
-            F.when(unbalanced, "unbalanced brackets").when(open_quote, "unclosed string").when(bad_header, "illegal header")
+        # Headers and strings only tell what is wrong where brackets and lines are right.
+        return let(
+            layout_problem(code),
+            lambda layout: F.when(layout == "unbalanced brackets", layout)
+            .when(open_quote, "unclosed string")
+            .when(bad_header, "illegal header")
+            .otherwise(layout),
         )
 
-    return let(masked_struct(F.col("content"), strict), problem)
-
+    return let(masked_struct(F.col("content"), strict, over_lines=True), problem)
 
 
 def with_syntax_problem(files: DataFrame, specs: Mapping[str, LangSpec] = SPECS) -> DataFrame:

@@ -54,17 +54,38 @@ def read_state(spark: SparkSession, root: str) -> DataFrame:
     return read_version(spark, root, STATE_SCHEMA)
 
 
+#: A piece of a state map up to the end of a hash: the map's beginning or not, a path, a hash, the map's end or not.
+_ENTRY = r'^\s*(\{\s*"hashes"\s*:\s*\{)?\s*"((?:[^"\\]++|\\.)*+)"\s*:\s*"([^"\\]*+)("\s*\}\s*\}\s*)?$'
+
+
 def read_state_json(spark: SparkSession, path: str) -> DataFrame:
-    """Import ``{"hashes": {path: hash}}``; a missing or corrupt file is an empty state."""
+    """Import ``{"hashes": {path: hash}}``; a missing or corrupt file is an empty state.
+
+    The text source cuts files into entries, in as many tasks as there are splits. Files whose entries don't add up to one
+    map (they are corrupt, empty, or a path holds a quotation mark and a comma) are read whole, each by a task.
+    """
     try:
-        raw = spark.read.text(path, wholetext=True)
+        pieces = spark.read.option("lineSep", '",').text(path).select("value", F.col("_metadata.file_path").alias("file"))
     except AnalysisException as exc:
         if exc.getCondition() != "PATH_NOT_FOUND":
             raise
         return spark.createDataFrame([], STATE_SCHEMA)
-    return raw.select(
-        F.explode(F.from_json("value", "hashes map<string,string>")["hashes"]).alias("path", "sha256")
+    part = lambda n: F.regexp_extract("value", _ENTRY, n)
+    entries = pieces.select(
+        "file",
+        F.col("value").rlike(_ENTRY).alias("fits"),
+        (part(1) != "").alias("begins"),
+        (part(4) != "").alias("ends"),
+        F.from_json(F.concat(F.lit('["'), part(2), F.lit('"]')), "array<string>")[0].alias("path"),
+        part(3).alias("sha256"),
+    )
+    files = entries.groupBy("file").agg(
+        (F.every("fits") & (F.count_if("begins") == 1) & (F.count_if("ends") == 1) & F.every(F.col("path").isNotNull())).alias("whole")
     )
+    plain = entries.join(files.where("whole"), "file", "left_semi").select("path", "sha256")
+    rest = spark.read.text(path, wholetext=True).withColumn("file", F.col("_metadata.file_path")).join(files.where("NOT whole"), "file", "left_semi")
+    odd = rest.select(F.explode(F.from_json("value", "hashes map<string,string>")["hashes"]).alias("path", "sha256"))
+    return plain.unionByName(odd)
 
 
 def read_log(spark: SparkSession, root: str, schema: str, last: int | None) -> DataFrame:

@@ -1,20 +1,29 @@
-"""A Spark data source for source trees on a file system that all executors mount.
+"""Source trees of any file system as tables.
 
-Spark's own file sources skip names that start with ``_`` or ``.`` and empty files; a source tree has
-both (``__init__.py``). The listing packs files into read tasks by size; bytes are read by the tasks.
+Spark's own file sources skip names that start with ``_`` or ``.`` and empty files; a source tree has both
+(``__init__.py``). Here folders are rows: each level of the tree is listed by tasks and written, and its folders are the
+rows of the next. The files found are dealt to tasks by size, which open them through the file system of the URI.
 """
 
 from __future__ import annotations
 
 import os
-from collections.abc import Iterator
-from dataclasses import dataclass
+from collections.abc import Iterator, Sequence
 from fnmatch import fnmatchcase
 
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from codecatalog.session import new_run_dir
 
 TASK_BYTES = 64 << 20
 FILE_COST = 64 << 10  # opening a file costs about as much as reading this many bytes
+#: Bytes of files that a task holds before it hands them on; a larger file goes alone.
+BATCH_BYTES = 16 << 20
+LISTING = "path string, is_dir boolean, size long, modified long"
+_LISTING = pa.schema([("path", pa.string()), ("is_dir", pa.bool_()), ("size", pa.int64()), ("modified", pa.int64())])
+_FILES = pa.schema([("path", pa.string()), ("content", pa.binary())])
 
 
 def mounted_path(uri: str) -> str | None:
@@ -24,56 +33,83 @@ def mounted_path(uri: str) -> str | None:
     return None if "://" in uri else uri
 
 
-@dataclass
-class FileBatch(InputPartition):
-    paths: list[str]
-
-
-class SourceTreeReader(DataSourceReader):
-    def __init__(self, root: str, extensions: tuple[str, ...], exclude: tuple[str, ...]):
-        self.root, self.extensions, self.exclude = root, extensions, exclude
-
-    def _excluded(self, name: str) -> bool:
-        return any(fnmatchcase(name, pattern) for pattern in self.exclude)
-
-    def _files(self) -> Iterator[tuple[str, int]]:
-        for folder, dirs, names in os.walk(self.root):
-            dirs[:] = sorted(d for d in dirs if not self._excluded(d))
-            for name in sorted(names):
-                if name.endswith(self.extensions) and not self._excluded(name):
-                    full = os.path.join(folder, name)
-                    yield os.path.relpath(full, self.root), os.path.getsize(full)
-
-    def partitions(self) -> list[InputPartition]:
-        batches: list[InputPartition] = []
-        paths: list[str] = []
-        filled = 0
-        for path, size in self._files():
-            if paths and filled + size > TASK_BYTES:
-                batches.append(FileBatch(paths))
-                paths, filled = [], 0
-            paths.append(path)
-            filled += size + FILE_COST
-        if paths:
-            batches.append(FileBatch(paths))
-        return batches
-
-    def read(self, partition: FileBatch) -> Iterator[tuple[str, bytes]]:
-        for path in partition.paths:
-            with open(os.path.join(self.root, path), "rb") as source:
-                yield path.replace(os.sep, "/"), source.read()
-
-
-class SourceTree(DataSource):
-    """``spark.read.format("source_tree")`` with options root, extensions and exclude (comma-separated)."""
-
-    @classmethod
-    def name(cls) -> str:
-        return "source_tree"
-
-    def schema(self) -> str:
-        return "path string, content binary"
-
-    def reader(self, schema) -> SourceTreeReader:
-        split = lambda key: tuple(x for x in self.options.get(key, "").split(",") if x)
-        return SourceTreeReader(self.options["root"], split("extensions"), split("exclude"))
+def file_system(root: str):
+    """File system and path of a folder, mounted or by its URI; tasks and driver open it alike."""
+    from pyarrow import fs
+
+    mounted = mounted_path(root)
+    if mounted is not None:
+        return fs.LocalFileSystem(), mounted.rstrip("/") or "/"
+    system, path = fs.FileSystem.from_uri(root)
+    return system, path.rstrip("/")
+
+
+def list_folders(folders: DataFrame, root: str, extensions: Sequence[str], exclude: Sequence[str]) -> DataFrame:
+    """The entries of each folder (``path``, relative to ``root``): folders to go on with and files that are wanted."""
+    endings, exclude = tuple(extensions), tuple(exclude)
+
+    def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        system, base = file_system(root)
+        mounted = isinstance(system, fs.LocalFileSystem)
+        for batch in batches:
+            for folder in batch["path"].to_pylist():
+                rows = []
+                for info in system.get_file_info(fs.FileSelector(f"{base}/{folder}" if folder else base, allow_not_found=True)):
+                    is_dir, name = info.type == fs.FileType.Directory, info.base_name
+                    if is_dir and mounted and os.path.islink(info.path):
+                        continue
+                    if (is_dir or name.endswith(endings)) and not any(fnmatchcase(name, pattern) for pattern in exclude):
+                        modified = None if info.mtime_ns is None else info.mtime_ns // 1000
+                        rows.append((f"{folder}/{name}" if folder else name, is_dir, info.size or 0, modified))
+                for at in range(0, len(rows), 10_000):
+                    columns = zip(*rows[at : at + 10_000], strict=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _LISTING, strict=True)], schema=_LISTING)
+
+    return folders.mapInArrow(entries, LISTING)
+
+
+def list_tree(spark: SparkSession, root: str, extensions: Sequence[str], exclude: Sequence[str]) -> DataFrame:
+    """``path, size, modified`` (microseconds) of every wanted file below ``root``, with paths relative to it. The driver only
+    learns whether a level has folders. Links to folders are not followed, so a tree has an end."""
+    out = new_run_dir(spark, "listing")
+    folders, level = spark.createDataFrame([("",)], "path string"), 0
+    while True:
+        list_folders(folders, root, extensions, exclude).write.parquet(f"{out}/level={level}")
+        found = spark.read.schema(LISTING).parquet(f"{out}/level={level}").where("is_dir")
+        if found.isEmpty():
+            break
+        # Few large folders must not stay together in the task that found them.
+        folders, level = found.select("path").repartition(F.xxhash64("path")), level + 1
+    return spark.read.schema(LISTING).parquet(*[f"{out}/level={n}" for n in range(level + 1)]).where("NOT is_dir").drop("is_dir")
+
+
+def read_files(listing: DataFrame, root: str) -> DataFrame:
+    """``path, content`` of listed files, read by tasks of about ``TASK_BYTES``. A file that is gone by now is left out."""
+    cost = listing.agg(F.coalesce(F.sum(F.col("size") + FILE_COST), F.lit(0))).first()[0]
+    parts = max(1, -(-cost // TASK_BYTES))
+
+    def contents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, base = file_system(root)
+        held, size = [], 0
+
+        def batch() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held, strict=True), _FILES, strict=True)], schema=_FILES)
+
+        for listed in batches:
+            for path in listed["path"].to_pylist():
+                try:
+                    with system.open_input_stream(f"{base}/{path}") as source:
+                        content = source.read()
+                except FileNotFoundError:
+                    continue
+                if held and size + len(content) > BATCH_BYTES:
+                    yield batch()
+                    held, size = [], 0
+                held.append((path, content))
+                size += len(content)
+        if held:
+            yield batch()
+
+    return listing.select("path").repartition(parts, F.xxhash64("path")).mapInArrow(contents, "path string, content binary")

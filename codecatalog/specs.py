@@ -12,25 +12,15 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 
 from codecatalog import fixed_values as fv
+from codecatalog import lexers
+from codecatalog.lexers import Lexer
 
-def _nested(opening: str, closing: str, levels: int = 40) -> str:
-    """Text without these brackets, or with closed pairs of them up to many levels deep.
-
-    All quantifiers are possessive, which the pattern engine runs as loops: neither long nor deep input can
-    exhaust the stack.
-    """
-    flat = rf"[^{opening}{closing}]*+"
-    level = flat
-    for _ in range(levels):
-        level = rf"{flat}(?:{opening}{level}{closing}{flat})*+"
-    return level
-
-
-PARAMS = rf"({_nested(chr(92) + '(', chr(92) + ')')})"
-BRACES = rf"\{{{_nested(chr(92) + '{', chr(92) + '}')}\}}"
+# Patterns see brackets within brackets replaced (``functions.folds.flat_brackets``), so one level is all they name.
+PARAMS = r"([^()]*+)"
+BRACES = r"\{[^{}]*+\}"
 GENERICS = r"(?:\s*<[^()]*>)?"
 TYPE_GENERICS = r"(?:\s*<[^{(]*?>(?=[\s{:(;]|$))?"
-ANNOTATIONS = r"(?:@[\w.]+(?:\([^()]*\))?\s+){0,40}"
+ANNOTATIONS = r"(?:@[\w.]+(?:\([^()]*\))?\s+)*+"
 # A return type. A brace belongs to it where an operator or a type word stands before it, else it opens the body.
 RETURNS = rf"((?:[^{{}};]++|(?<=[:|&<,(\[]\s{{0,4}}){BRACES})*+)"
 GO_RETURNS = rf"((?:[^{{}};]++|(?<=\b(?:interface|struct)\s{{0,4}}){BRACES})*+)"
@@ -71,11 +61,12 @@ class LangSpec:
     literals: str  # comments and strings
     comment: str  # start of a comment literal
     decls: tuple[Decl, ...]
+    lexer: Lexer | None = None  # for files whose literals may nest
     scope: str = "brace"  # 'brace', 'indent' or 'end'
     doc_style: str = "block"  # 'block', 'line', 'xml' or 'string'
     doc_block: str = ""
     doc_line: str = ""
-    annotation: str = r"^\s*@[\w.]+\s*(?:\(.*\)?)?\s*$"
+    annotation: str = r"^\s*(?:@[\w.]+\s*(?:\([^()]*+(?:\)|$))?\s*)++$"
     package: str = ""
     param_style: str = "name_first_colon"
     angle_brackets: bool = True
@@ -99,6 +90,7 @@ _ACCESS = r"(?:public|private|protected|internal)"
 PYTHON = LangSpec(
     name="python",
     extensions=tuple(fv.EXTENSIONS["python"]),
+    lexer=lexers.PYTHON,
     literals=(
         r'"""[\s\S]*?(?:(?<!\\)"""|$)|' + r"'''[\s\S]*?(?:(?<!\\)'''|$)|"
         + DOUBLE_QUOTED + "|" + SINGLE_QUOTED + r"|#[^\n]*"
@@ -128,6 +120,7 @@ _TS_MODS = r"(?:public|private|protected|static|async|readonly|override|abstract
 TYPESCRIPT = LangSpec(
     name="typescript",
     extensions=tuple(fv.EXTENSIONS["typescript"]),
+    lexer=lexers.TYPESCRIPT,
     literals=(
         SLASH_COMMENTS + "|" + DOUBLE_QUOTED + "|" + SINGLE_QUOTED + "|" + BACKTICKS
         + r"|(?<=[=(,:;!&|?{}\[]\s?|\b(?:return|typeof|case|in|of|delete|void|throw|new|do|else|yield|await)\s{0,4})/(?![/*\s])(?:[^/\\\n\[]|\\.|\[(?:[^\]\\\n]|\\.)*+\])++/[a-z]*"
@@ -166,7 +159,7 @@ TYPESCRIPT = LangSpec(
         ),
         Decl(
             "function",
-            rf"^(\s*{ANNOTATIONS}((?:{_TS_MODS}\s+){{0,40}})\*?\s*([\w$#]+)\??{GENERICS}\s*\()"
+            rf"^(\s*{ANNOTATIONS}((?:{_TS_MODS}\s+(?=[\w$#*\[\x01]))*+)\*?\s*([\w$#]+)\??{GENERICS}\s*\()"
             rf"{PARAMS}(\)\s*(?::\s*)?){RETURNS}\s*(?:\{{|;|$)",
             where="member", head=1, mods=2, name=3, params=4, mid=5, ret=6,
         ),
@@ -177,9 +170,9 @@ TYPESCRIPT = LangSpec(
     ),
 )
 
-_JAVA_TYPE_MODS = r"(?:(?:public|private|protected|abstract|final|static|sealed|non-sealed|strictfp)\s+){0,40}"
+_JAVA_TYPE_MODS = r"(?:(?:public|private|protected|abstract|final|static|sealed|non-sealed|strictfp)\s+)*+"
 _JAVA_MODS = (
-    r"((?:(?:public|private|protected|static|final|abstract|synchronized|native|default|strictfp|override)\s+){0,40})"
+    r"((?:(?:public|private|protected|static|final|abstract|synchronized|native|default|strictfp|override)\s+)*+)"
 )
 JAVA = LangSpec(
     name="java",
@@ -260,6 +253,7 @@ _PUB = r"(?:pub(?:\([^)]*\))?\s+)?"
 RUST = LangSpec(
     name="rust",
     extensions=tuple(fv.EXTENSIONS["rust"]),
+    lexer=lexers.RUST,
     literals=SLASH_COMMENTS + r'|r#"[\s\S]*?"#|"[^"\\]*+(?:\\[\s\S][^"\\]*+)*+"|' + CHAR,
     comment=r"^/[/*]",
     doc_style="line",
@@ -282,7 +276,7 @@ RUST = LangSpec(
         ),
         Decl(
             "function",
-            rf"^(\s*{_PUB}((?:(?:default|const|async|unsafe)\s+){{0,40}})(?:extern\s+(?:\x01+\s*)?)?fn\s+(\w+){GENERICS}\s*\()"
+            rf"^(\s*{_PUB}((?:(?:default|const|async|unsafe)\s+)*+)(?:extern\s+(?:\x01+\s*)?)?fn\s+(\w+){GENERICS}\s*\()"
             rf"{PARAMS}(\)\s*(?:->\s*)?)([^{{;]*?)\s*(?:where\b|\{{|;|$)",
             where="any", head=1, mods=2, name=3, params=4, mid=5, ret=6,
         ),
@@ -290,13 +284,14 @@ RUST = LangSpec(
 )
 
 _CS_TYPE_MODS = (
-    r"(?:(?:public|private|protected|internal|static|abstract|sealed|partial|readonly|ref|unsafe|new)\s+){0,40}"
+    r"(?:(?:public|private|protected|internal|static|abstract|sealed|partial|readonly|ref|unsafe|new)\s+)*+"
 )
 _CS_ATTRS = r"(?:\[[^\]]*\]\s*)*"
 _CS_BASES = r"(?:\s*:\s*([^{]*?))?\s*(?:\bwhere\b[^{]*)?(?:\{|$)"
 CSHARP = LangSpec(
     name="csharp",
     extensions=tuple(fv.EXTENSIONS["csharp"]),
+    lexer=lexers.CSHARP,
     literals=(
         SLASH_COMMENTS + "|" + TEXT_BLOCK + r'|\$?@\$?"(?:[^"]|"")*+"|' + DOUBLE_QUOTED + "|" + CHAR
         + r"|(?m:^[ \t]*#[^\n]*)"
@@ -330,7 +325,7 @@ CSHARP = LangSpec(
         Decl(
             "function",
             rf"^(\s*{_CS_ATTRS}((?:(?:public|private|protected|internal|static|virtual|override|abstract|async|new|"
-            rf"sealed|extern|partial|unsafe|readonly)\s+){{0,40}})({_JVM_TYPES})\s+(\w+){GENERICS}\s*\(){PARAMS}\)",
+            rf"sealed|extern|partial|unsafe|readonly)\s+)*+)({_JVM_TYPES})\s+(\w+){GENERICS}\s*\(){PARAMS}\)",
             where="member", head=1, mods=2, ret=3, name=4, params=5,
         ),
     ),
@@ -342,7 +337,7 @@ CPP = LangSpec(
     name="cpp",
     extensions=tuple(fv.EXTENSIONS["cpp"]),
     literals=(
-        SLASH_COMMENTS + r'|R"\([\s\S]*?\)"|' + DOUBLE_QUOTED + "|" + CHAR
+        SLASH_COMMENTS + r'|R"([^()\\\s"]{0,16})\([\s\S]*?\)\1"|' + DOUBLE_QUOTED + "|" + CHAR
         + r"|(?m:^[ \t]*#[^\n\\]*+(?:\\[\s\S][^\n\\]*+)*+)"
     ),
     comment=r"^(?:/[/*]|[ \t]*#)",
@@ -361,14 +356,14 @@ CPP = LangSpec(
         Decl("scope", r"^\s*extern\s+\x01+\s*(?:\{|$)", name=0, accepts=("transparent",)),
         Decl(
             "class",
-            r"^\s*(?:template\s*<.*?>\s*)?class\s+(?:\w+\s+){0,40}?(\w+)(?:\s+final)?(?:\s*:\s*([^{;]*?))?\s*(?:\{|$)",
+            r"^\s*(?:template\s*<.*?>\s*)?class\s+(?:[\w\s]*?\s)?(\w+)(?:\s+final)?(?:\s*:\s*([^{;]*?))?\s*(?:\{|$)",
             bases=2,
         ),
         Decl("class", r"^\s*(?:typedef\s+)?struct\s+(\w+)\s*(?::[^{;]*)?(?:\{|$)", marker="struct"),
         Decl(
             "function",
             r"^(\s*(?:template\s*<[^()]*?>\s*)?((?:(?:static|inline|extern|virtual|explicit|constexpr|const|unsigned|"
-            rf"signed|friend)\s+){{0,40}}){_CPP_TYPE}(\w+)\s*\(){PARAMS}{_CPP_TAIL}",
+            rf"signed|friend)\s+(?=[\w:]+[\s*&<:]))*+){_CPP_TYPE}(\w+)\s*\(){PARAMS}{_CPP_TAIL}",
             where="any", head=1, mods=2, ret=3, name=4, params=5,
         ),
     ),
@@ -377,6 +372,7 @@ CPP = LangSpec(
 RUBY = LangSpec(
     name="ruby",
     extensions=tuple(fv.EXTENSIONS["ruby"]),
+    lexer=lexers.RUBY,
     literals=DOUBLE_QUOTED + "|" + SINGLE_QUOTED + r"|(?m:^=begin[\s\S]*?^=end)|#[^\n]*",
     comment=r"^(?:#|=begin)",
     scope="end",
@@ -397,11 +393,12 @@ RUBY = LangSpec(
 )
 
 _KT_TYPE_MODS = (
-    r"(?:(?:public|private|protected|internal|abstract|open|sealed|data|inner|enum|final|value|annotation|fun)\s+){0,40}"
+    r"(?:(?:public|private|protected|internal|abstract|open|sealed|data|inner|enum|final|value|annotation|fun)\s+)*+"
 )
 KOTLIN = LangSpec(
     name="kotlin",
     extensions=tuple(fv.EXTENSIONS["kotlin"]),
+    lexer=lexers.KOTLIN,
     literals=SLASH_COMMENTS + "|" + TEXT_BLOCK + "|" + DOUBLE_QUOTED + "|" + CHAR,
     comment=r"^/[/*]",
     doc_block=r"^\s*/\*\*",
@@ -421,18 +418,18 @@ KOTLIN = LangSpec(
             marker="interface", bases=2,
         ),
         Decl(
-            "class", rf"^\s*{ANNOTATIONS}(?:{_ACCESS}\s+){{0,40}}((?:companion\s+)?object)\s*(?:\{{|$)",
+            "class", rf"^\s*{ANNOTATIONS}(?:{_ACCESS}\s+)*+((?:companion\s+)?object)\s*(?:\{{|$)",
             marker="object",
         ),
         Decl(
             "class",
-            rf"^\s*{ANNOTATIONS}(?:{_ACCESS}\s+){{0,40}}(?:data\s+)?(?:companion\s+)?object\s+(\w+)(?:\s*:\s*([^{{]*?))?\s*(?:\{{|$)",
+            rf"^\s*{ANNOTATIONS}(?:{_ACCESS}\s+)*+(?:data\s+)?(?:companion\s+)?object\s+(\w+)(?:\s*:\s*([^{{]*?))?\s*(?:\{{|$)",
             marker="object", bases=2,
         ),
         Decl(
             "function",
             rf"^(\s*{ANNOTATIONS}((?:(?:public|private|protected|internal|override|open|abstract|inline|suspend|operator|"
-            r"infix|tailrec|external|final|actual|expect)\s+){0,40})fun\s+(?:<[^()]*?>\s+)?(?:[\w<>?, ]+\.)?(\w+)\s*\()"
+            r"infix|tailrec|external|final|actual|expect)\s+)*+)fun\s+(?:<[^()]*?>\s+)?(?:[\w<>?, ]+\.)?(\w+)\s*\()"
             rf"{PARAMS}(\)\s*(?::\s*)?)([^{{=]*?)\s*(?:\{{|=|$)",
             where="any", head=1, mods=2, name=3, params=4, mid=5, ret=6,
         ),

@@ -51,3 +51,19 @@ def test_return_types_in_braces(found):
 def test_members_go_with_their_owner(found):
     assert names(found, "hidden.go") == {("", "Open"), ("Open", "Run"), ("", "Top")}
     assert names(exclude_private(found), "private.py") == {("", "Q"), ("Q", "go")}
+
+
+def test_a_private_type_hides_what_it_holds(spark):
+    sources = {
+        "a.java": "class A {\n  class _B {\n    class C {\n      class D {\n        void low() { }\n      }\n      void m() { }\n    }\n  }\n  void n() { }\n}\nclass _E {\n}\nclass F {\n  void o() { }\n}\n",
+        "a.cs": "class _A\n{\n    class B\n    {\n        void M() { }\n    }\n}\nclass C\n{\n    void N() { }\n}\n",
+        "a.rb": "class _A\n  class B\n    def m\n    end\n  end\nend\nclass C\n  def _p\n  end\n  def n\n  end\nend\n",
+        "a.py": "class _A:\n    def m(self):\n        pass\n\nclass B:\n    def n(self):\n        pass\n",
+    }
+    files = tag_language(spark.createDataFrame(list(sources.items()), "path string, content string"))
+    rows = extract_symbols(files, private=False)
+    rows.cache()
+    assert names(rows, "a.java") == {("", "A"), ("A", "n"), ("", "F"), ("F", "o")}
+    assert names(rows, "a.cs") == {("", "C"), ("C", "N")}
+    assert names(rows, "a.rb") == {("", "C"), ("C", "n")}
+    assert names(rows, "a.py") == {("", "B"), ("B", "n")}

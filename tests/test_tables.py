@@ -1,5 +1,6 @@
 """Paths, states, ordering, fill helpers, builds and streams."""
 
+import json
 import os
 
 import pytest
@@ -14,7 +15,7 @@ from codecatalog.plans import build, registry
 from codecatalog.plans.change_queries import corpus_snapshot
 from codecatalog.session import new_run_dir
 from codecatalog.sources import files as src
-from codecatalog.sources import state
+from codecatalog.sources import state, tree
 from codecatalog.streaming import feed, refresh
 
 
@@ -56,15 +57,46 @@ def test_scan_reads_hidden_and_empty_files(spark, tmp_path):
     for name, body in {"p/__init__.py": b"", "p/_a.py": b"x", "p/b.txt": b"", "build/c.py": b"", "d e+%41.py": b"y"}.items():
         os.makedirs((tmp_path / name).parent, exist_ok=True)
         (tmp_path / name).write_bytes(body)
-    got = {r.path: bytes(r.content) for r in src.read_source_tree(spark, str(tmp_path)).collect()}
-    assert got == {"p/__init__.py": b"", "p/_a.py": b"x", "d e+%41.py": b"y"}
+    (tmp_path / "p" / "loop").symlink_to(tmp_path)
+    for root in (str(tmp_path), f"file://{tmp_path}", f"file:{tmp_path}/"):
+        got = {r.path: bytes(r.content) for r in src.read_source_tree(spark, root).collect()}
+        assert got == {"p/__init__.py": b"", "p/_a.py": b"x", "d e+%41.py": b"y"}
+
+
+def test_scan_lists_level_by_level(spark, tmp_path):
+    wanted = {f"{'/'.join('abcd'[:depth])}/{name}".lstrip("/"): depth for depth in range(5) for name in ("_x.py", ".y.py", "z.go")}
+    for path, size in wanted.items():
+        os.makedirs((tmp_path / path).parent, exist_ok=True)
+        (tmp_path / path).write_bytes(b"x" * size)
+    os.makedirs(tmp_path / "a" / "node_modules" / "deep")
+    (tmp_path / "a" / "node_modules" / "deep" / "no.py").write_bytes(b"")
+    listed = tree.list_tree(spark, str(tmp_path), [".py", ".go"], ["node_modules"])
+    assert {r.path: r["size"] for r in listed.collect()} == wanted
+    os.remove(tmp_path / "z.go")
+    assert {r.path for r in tree.read_files(listed, str(tmp_path)).collect()} == set(wanted) - {"z.go"}
+    assert tree.read_files(listed.where("false"), str(tmp_path)).count() == 0
 
 
 def test_state_missing_and_corrupt(spark, tmp_path):
     assert state.read_state(spark, str(tmp_path / "none")).count() == 0
     assert state.read_state_json(spark, str(tmp_path / "none.json")).count() == 0
-    (tmp_path / "bad.json").write_text("{")
-    assert state.read_state_json(spark, str(tmp_path / "bad.json")).count() == 0
+    for i, text in enumerate(["{", "", "[]", '{"hashes": {"a": "1", "b": "2"', '{"hashes": {"a": "1"}} {"hashes": {"b": "2"}}x', '{"other": {"a": "1"}}']):
+        (tmp_path / f"bad{i}.json").write_text(text)
+        assert state.read_state_json(spark, str(tmp_path / f"bad{i}.json")).count() == 0
+
+
+def test_state_is_read_in_splits(spark, tmp_path):
+    odd = {'a,b "c", d.py': "1", 'q",': "2"}
+    known = {f"dir, {i}/é \\ \n{i}.py": f"{i:064x}" for i in range(3000)}
+    for name, hashes, indent in (("one", known, None), ("two", known, 2), ("odd", known | odd, None), ("none", {}, None)):
+        (tmp_path / f"{name}.json").write_text(json.dumps({"hashes": hashes}, indent=indent))
+        got = state.read_state_json(spark, str(tmp_path / f"{name}.json"))
+        assert {r["path"]: r["sha256"] for r in got.collect()} == hashes
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "64k")
+    try:
+        assert state.read_state_json(spark, str(tmp_path / "two.json")).rdd.getNumPartitions() > 3
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
 
 
 def test_uncommitted_state_is_not_seen(spark, tmp_path):
