@@ -31,11 +31,14 @@ LONGEST, LEAST = 4, 30
 SUBSUMED = 80
 SCALE, TOP = 2_000_000, 2000
 #: Text that a task turns into stripes at a time.
-BLOCK_BYTES = 16 << 20
-#: Stripes are dealt to tasks in shards by next word, so that the stripe of a very common prefix is not one task's. By length.
-SHARDS = (1024, 64, 8, 8)
+BLOCK_BYTES = 4 << 20
+#: Entries of a stripe that travel in a row, so that a batch of rows is bounded.
+ROW_ENTRIES = 64
+#: The stripes of the empty prefix and of common prefixes are dealt to tasks in shards, by next word. A prefix is common that
+#: makes up more than one in ``COMMON`` words of the corpus, so there are fewer than that.
+SHARDS, COMMON = 256, 1000
 #: Bits of a filter; as many, whatever the corpus.
-FILTER_BITS = 1 << 26
+FILTER_BITS = 1 << 25
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -43,10 +46,11 @@ _LOWER[65:91] += 32
 _KINDS = np.zeros(256, np.uint8)
 _KINDS[[0x20, 0x09]] = 1
 _KINDS[[*b".,;:!?\n\x0b\x0c\r"]] = 2
-STRIPES = "lang string, prefix string, shard int, words array<string>, counts array<long>"
-_STRIPES = pa.schema(
-    [("lang", pa.string()), ("prefix", pa.string()), ("shard", pa.int32()), ("words", pa.list_(pa.string())), ("counts", pa.list_(pa.int64()))]
-)
+#: How stripes travel: their words one to a line, the empty entry as an empty line, and the counts as 32-bit numbers.
+SENT = "lang string, prefix string, shard int, words string, counts binary"
+_KEY = [("lang", pa.string()), ("prefix", pa.string()), ("shard", pa.int32())]
+_SENT = pa.schema([*_KEY, ("words", pa.string()), ("counts", pa.binary())])
+_STRIPES = pa.schema([*_KEY, ("words", pa.list_(pa.string())), ("counts", pa.list_(pa.int64()))])
 
 
 def word_hashes(words: list[bytes]) -> np.ndarray:
@@ -61,8 +65,10 @@ def extended(prefix_hashes: np.ndarray, hashes: np.ndarray) -> np.ndarray:
 class Filter:
     """A Bloom filter with two bits for a phrase."""
 
-    def __init__(self, words: np.ndarray):
+    def __init__(self, words: np.ndarray, common: np.ndarray | None = None):
+        """``words`` has the bits; ``common`` hashes of those phrases that are common."""
         self.words, self.mask = words, np.uint64(len(words) * 64 - 1)
+        self.common = np.zeros(0, np.uint64) if common is None else common
 
     def places(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         return hashes & self.mask, (hashes >> np.uint64(32)) & self.mask
@@ -88,23 +94,32 @@ class Block:
     def __init__(self, data: np.ndarray, ends: np.ndarray, lang_of: np.ndarray, langs: list[str], own: int | None = None):
         kind = _KINDS[data]
         inside = np.zeros(len(data) + 2, bool)
-        inside[1:-1] = kind == 0
+        np.equal(kind, 0, out=inside[1:-1])
         edges = np.flatnonzero(inside[1:] != inside[:-1])
-        starts, lengths = edges[::2], edges[1::2] - edges[::2]
-        self.piece = np.searchsorted(np.flatnonzero(kind == 2), starts)
-        offsets = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)
-        text = _LOWER[data[inside[1:-1]]]
-        strings = pa.StringArray.from_buffers(len(starts), pa.py_buffer(offsets), pa.py_buffer(text))
+        starts, offsets = edges[::2], np.zeros(len(edges) // 2 + 1, np.int32)
+        np.cumsum(edges[1::2] - starts, out=offsets[1:])
+        strings = pa.StringArray.from_buffers(len(starts), pa.py_buffer(offsets), pa.py_buffer(_LOWER[data[inside[1:-1]]]))
         coded = strings.dictionary_encode()
-        words = coded.indices.to_numpy()
+        words, distinct = coded.indices.to_numpy(), len(coded.dictionary)
+
+        def numbered_between(ends: np.ndarray) -> np.ndarray:
+            """For each word how many of the ends come before it."""
+            places = np.searchsorted(starts, ends)
+            return np.repeat(np.arange(len(ends) + 1), np.diff(places, prepend=0, append=len(starts)))
+
+        self.piece = numbered_between(np.flatnonzero(kind == 2)).astype(np.int32)
         self.langs, self.own = langs, len(starts) if own is None else int(np.searchsorted(starts, own))
-        lang = lang_of[np.searchsorted(ends, starts, "right")]
-        pairs, self.tokens = np.unique(lang.astype(np.int64) * max(len(coded.dictionary), 1) + words, return_inverse=True)
-        self.lang, word = np.divmod(pairs, max(len(coded.dictionary), 1))
+        # Words are numbered anew by language: those that occur, in the order of (language, word).
+        pairs = lang_of[numbered_between(ends)].astype(np.int64) * distinct + words
+        occurs = np.zeros(len(langs) * distinct, bool)
+        occurs[pairs] = True
+        present = np.flatnonzero(occurs)
+        numbers = np.cumsum(occurs, dtype=np.int32) - 1
+        self.tokens = numbers[pairs].astype(np.int64)
+        self.lang, word = np.divmod(present, max(distinct, 1))
         self.words = coded.dictionary.take(pa.array(word))
-        own_hashes = word_hashes(coded.dictionary.cast(pa.binary()).to_pylist())[word]
-        self.word_hashes = own_hashes
-        self.hashes = extended(word_hashes([x.encode() for x in langs])[self.lang], own_hashes)
+        self.word_hashes = word_hashes(coded.dictionary.cast(pa.binary()).to_pylist())[word]
+        self.hashes = extended(word_hashes([x.encode() for x in langs])[self.lang], self.word_hashes)
 
     def stripes(self, length: int, filters: list[Filter]) -> pa.RecordBatch:
         """The stripes of all prefixes of ``length - 1`` words that the filters let through."""
@@ -112,7 +127,7 @@ class Block:
         if length == 1:
             # The empty prefix: one stripe for each language.
             present, counts = np.unique(tokens[: self.own], return_counts=True)
-            return self.batch(self.lang[present], self.lang[present], None, present, counts, SHARDS[0])
+            return self.batch(self.lang[present], self.lang[present], None, present, counts, np.ones(len(self.langs), bool))
         # grams: number of the phrase that starts at a word, -1 if there is none or one of its parts is rare.
         grams = np.where(filters[0].has(self.hashes)[tokens], tokens, -1)
         texts, hashes, langs = self.words, self.hashes, self.lang
@@ -133,24 +148,39 @@ class Block:
         following = np.where(follows, tokens[np.minimum(at + length - 1, len(tokens) - 1)] + 1, 0)
         keys, counts = np.unique(grams[at] * (size + 1) + following, return_counts=True)
         prefix, word = np.divmod(keys, size + 1)
-        return self.batch(langs[prefix], prefix, texts, word - 1, counts, SHARDS[length - 1])
+        return self.batch(langs[prefix], prefix, texts, word - 1, counts, np.isin(hashes, filters[length - 2].common))
 
-    def batch(self, lang: np.ndarray, prefix: np.ndarray, texts, word: np.ndarray, counts: np.ndarray, shards: int) -> pa.RecordBatch:
+    def batch(self, lang: np.ndarray, prefix: np.ndarray, texts, word: np.ndarray, counts: np.ndarray, common: np.ndarray) -> pa.RecordBatch:
         """Entries (prefix, word, count) as one row for each prefix and shard; word -1 is the empty entry."""
-        shard = np.where(word < 0, 0, (self.word_hashes[word] % np.uint64(shards)).astype(np.int64)) if len(self.words) else word
+        shard = np.where(common[prefix] & (word >= 0), (self.word_hashes[word] % np.uint64(SHARDS)).astype(np.int64), 0)
         order = np.lexsort((shard, prefix))
         lang, prefix, word, counts, shard = (x[order] for x in (lang, prefix, word, counts, shard))
-        first = np.flatnonzero(np.concatenate([[True], (prefix[1:] != prefix[:-1]) | (shard[1:] != shard[:-1])])) if len(prefix) else np.zeros(0, np.int64)
-        offsets = pa.array(np.concatenate([first, [len(prefix)]]).astype(np.int32))
-        entries = self.words.take(pa.array(word, mask=word < 0))
+        new = np.ones(len(prefix), bool)
+        new[1:] = (prefix[1:] != prefix[:-1]) | (shard[1:] != shard[:-1])
+        # A long stripe travels in several rows.
+        within = np.arange(len(prefix)) - np.maximum.accumulate(np.where(new, np.arange(len(prefix)), 0))
+        first = np.flatnonzero(within % ROW_ENTRIES == 0)
+        offsets = np.concatenate([first, [len(prefix)]]).astype(np.int32)
+        entries = self.words.take(pa.array(word, mask=word < 0)).fill_null("")
         columns = [
             pa.array(self.langs, pa.string()).take(pa.array(lang[first])),
             pa.array([""], pa.string()).take(pa.array(np.zeros(len(first), np.int64))) if texts is None else texts.take(pa.array(prefix[first])),
             pa.array(shard[first].astype(np.int32)),
-            pa.ListArray.from_arrays(offsets, entries),
-            pa.ListArray.from_arrays(offsets, pa.array(counts.astype(np.int64))),
+            pc.binary_join(pa.ListArray.from_arrays(pa.array(offsets), entries), "\n"),
+            pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(offsets * 4), pa.py_buffer(counts.astype("<i4"))]),
         ]
-        return pa.RecordBatch.from_arrays(columns, schema=_STRIPES)
+        return pa.RecordBatch.from_arrays(columns, schema=_SENT)
+
+
+def received(batch: pa.RecordBatch) -> pa.RecordBatch:
+    """Stripes as they are from rows as they travel."""
+    words, sent = pc.split_pattern(batch["words"], "\n"), batch["counts"]
+    start, end = (np.frombuffer(sent.buffers()[1], np.int32)[sent.offset + at] for at in (0, len(sent)))
+    counts = np.frombuffer(sent.buffers()[2], np.uint8)[start:end].view("<i4").astype(np.int64)
+    entries = pc.if_else(pc.equal(words.flatten(), ""), None, words.flatten())
+    offsets = pa.array(np.concatenate([[0], np.cumsum(words.value_lengths().to_numpy())]).astype(np.int32))
+    columns = [*(batch[name] for name, _ in _KEY), pa.ListArray.from_arrays(offsets, entries), pa.ListArray.from_arrays(offsets, pa.array(counts))]
+    return pa.RecordBatch.from_arrays(columns, schema=_STRIPES)
 
 
 def bytes_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -224,21 +254,80 @@ def stripes_of(texts: DataFrame, length: int, filters: list, block_bytes: int) -
     stripe; ``words`` and ``counts`` are its entries of ``LEAST`` and more."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = [Filter(np.frombuffer(f.value, np.uint64)) for f in filters]
+        known = [Filter(*(np.frombuffer(part, np.uint64) for part in f.value)) for f in filters]
         for block in text_blocks(batches, block_bytes):
             if len(block.words):
                 stripes = block.stripes(length, known)
-                for at in range(0, stripes.num_rows, 50_000):
-                    yield stripes.slice(at, 50_000)
+                for at in range(0, stripes.num_rows, 20_000):
+                    yield stripes.slice(at, 20_000)
+                del stripes
+                pa.default_memory_pool().release_unused()
+
+    # The order is that of a hash, which sorts fast; equal keys still are neighbours.
+    key = ["lang", "prefix", "shard"]
+    dealt = texts.mapInArrow(count, SENT).repartition(*key).sortWithinPartitions(F.xxhash64(*key), *key)
+    return written(dealt.mapInArrow(merged, MERGED), f"stripes-{length}")
+
 
-    dealt = texts.mapInArrow(count, STRIPES).repartition("lang", "prefix", "shard")
-    entries = dealt.select("lang", "prefix", "shard", F.explode(F.arrays_zip("words", "counts")).alias("e"))
-    # Elementwise, where the stripe already is.
-    merged = entries.groupBy("lang", "prefix", "shard", F.col("e.words").alias("word")).agg(F.sum("e.counts").alias("count"))
-    frequent = F.when(F.col("word").isNotNull() & (F.col("count") >= LEAST), F.struct("word", "count"))
-    stripe = merged.groupBy("lang", "prefix", "shard").agg(F.sum("count").alias("total"), F.collect_list(frequent).alias("kept"))
-    kept = stripe.select("lang", "prefix", "shard", "total", F.col("kept.word").alias("words"), F.col("kept.count").alias("counts"))
-    return written(kept, f"stripes-{length}")
+MERGED = "lang string, prefix string, shard int, total long, words array<string>, counts array<long>"
+_MERGED = pa.schema([*_KEY, ("total", pa.int64()), *list(_STRIPES)[3:]])
+
+
+def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Stripes that follow one another with the same key, merged elementwise. Of the sum stays every entry of ``LEAST`` and more."""
+    held = None
+    for batch in batches:
+        if batch.num_rows:
+            batch = received(batch)
+            done, held = merge(batch if held is None else pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0])
+            yield kept_of(done)
+    if held is not None:
+        yield kept_of(held)
+
+
+def merge(batch: pa.RecordBatch) -> tuple[pa.RecordBatch, pa.RecordBatch]:
+    """The merged stripes of a batch, and apart from them the last, which may go on in the next batch."""
+    new = np.ones(batch.num_rows, bool)
+    for name in ("lang", "prefix", "shard"):
+        column = batch[name]
+        changed = pc.not_equal(column[1:], column[:-1]).to_numpy(zero_copy_only=False)
+        new[1:] = changed if name == "lang" else new[1:] | changed
+    group = np.cumsum(new) - 1
+    lists, counts = batch["words"], batch["counts"].flatten().to_numpy()
+    coded = lists.flatten().dictionary_encode()
+    size = len(coded.dictionary) + 1
+    codes = coded.indices.fill_null(size - 1).to_numpy()
+    keys = np.repeat(group, lists.value_lengths().to_numpy()) * size + codes
+    order = np.argsort(keys, kind="stable")
+    keys = keys[order]
+    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
+    sums = np.add.reduceat(counts[order], first) if len(first) else counts
+    of, word = np.divmod(keys[first], size)
+    words = coded.dictionary.take(pa.array(word, mask=word == size - 1))
+    rows, ends = np.flatnonzero(new), np.searchsorted(of, np.arange(group[-1] + 2))
+    columns = [batch[name].take(pa.array(rows)) for name in ("lang", "prefix", "shard")]
+    offsets = pa.array(ends.astype(np.int32))
+    columns += [pa.ListArray.from_arrays(offsets, words), pa.ListArray.from_arrays(offsets, pa.array(sums.astype(np.int64)))]
+    out = pa.RecordBatch.from_arrays(columns, schema=_STRIPES)
+    return out.slice(0, out.num_rows - 1), out.slice(out.num_rows - 1)
+
+
+def kept_of(stripes: pa.RecordBatch) -> pa.RecordBatch:
+    """``lang, prefix, shard, total, words, counts``: ``total`` sums the stripe, its entries are the frequent ones."""
+    counts = stripes["counts"].flatten().to_numpy()
+    sizes = stripes["counts"].value_lengths().to_numpy()
+    row = np.repeat(np.arange(len(sizes)), sizes)
+    ends = np.concatenate([[0], np.cumsum(sizes)])
+    sums = np.concatenate([[0], np.cumsum(counts)])
+    words = stripes["words"].flatten()
+    kept = np.flatnonzero((counts >= LEAST) & words.is_valid().to_numpy(zero_copy_only=False))
+    offsets = pa.array(np.searchsorted(row[kept], np.arange(len(sizes) + 1)).astype(np.int32))
+    columns = [stripes[name] for name in ("lang", "prefix", "shard")] + [
+        pa.array((sums[ends[1:]] - sums[ends[:-1]]).astype(np.int64)),
+        pa.ListArray.from_arrays(offsets, words.take(pa.array(kept))),
+        pa.ListArray.from_arrays(offsets, pa.array(counts[kept].astype(np.int64))),
+    ]
+    return pa.RecordBatch.from_arrays(columns, schema=_MERGED)
 
 
 def extensions(stripes: DataFrame, length: int) -> DataFrame:
@@ -248,17 +337,23 @@ def extensions(stripes: DataFrame, length: int) -> DataFrame:
     return each.select("lang", phrase.alias("phrase"), F.lit(length).alias("size"), F.col("e.counts").alias("a"))
 
 
-def filter_of(phrases: DataFrame, bits: int):
-    """A broadcast Bloom filter of the phrases: ``bits`` bits, made from one row at most for each 64 of them."""
+def hashes_of(langs: list[str], phrases: list[str]) -> np.ndarray:
+    """Hashes of phrases of one length."""
+    rows = [phrase.split(" ") for phrase in phrases]
+    hashes = word_hashes([lang.encode() for lang in langs])
+    for n in range(len(rows[0]) if rows else 0):
+        hashes = extended(hashes, word_hashes([row[n].encode() for row in rows]))
+    return hashes
+
+
+def filter_of(phrases: DataFrame, total: int, bits: int):
+    """A broadcast Bloom filter of the phrases: ``bits`` bits, made from one row at most for each 64 of them, and the hashes
+    of those that make up more than one in ``COMMON`` of ``total`` words."""
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Filter(np.zeros(bits // 64, np.uint64))
         for batch in batches:
-            rows = [phrase.split(" ") for phrase in batch["phrase"].to_pylist()]
-            hashes = word_hashes([lang.encode() for lang in batch["lang"].to_pylist()])
-            for n in range(len(rows[0]) if rows else 0):
-                hashes = extended(hashes, word_hashes([row[n].encode() for row in rows]))
-            own.add(hashes)
+            own.add(hashes_of(batch["lang"].to_pylist(), batch["phrase"].to_pylist()))
         at = np.flatnonzero(own.words)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(own.words[at].view(np.int64))], ["place", "bits"])
 
@@ -266,7 +361,9 @@ def filter_of(phrases: DataFrame, bits: int):
     found = parts.groupBy("place").agg(F.bit_or("bits").alias("bits")).toArrow()
     words = np.zeros(bits // 64, np.int64)
     words[found["place"].to_numpy()] = found["bits"].to_numpy()
-    return phrases.sparkSession.sparkContext.broadcast(words.tobytes())
+    common = phrases.where(F.col("a") > total // COMMON).select("lang", "phrase").toArrow()
+    hashes = hashes_of(common["lang"].to_pylist(), common["phrase"].to_pylist())
+    return phrases.sparkSession.sparkContext.broadcast((words.tobytes(), hashes.tobytes()))
 
 
 def collocations(docs: DataFrame, block_bytes: int = BLOCK_BYTES, filter_bits: int = FILTER_BITS) -> DataFrame:
@@ -288,7 +385,8 @@ def collocations(docs: DataFrame, block_bytes: int = BLOCK_BYTES, filter_bits: i
         tables.append(stripes_of(texts, length, filters, block_bytes))
         phrases.append(extensions(tables[-1], length))
         if length < LONGEST:
-            filters.append(filter_of(phrases[-1], filter_bits))
+            total = tables[0].agg(F.sum("total")).first()[0] or 0
+            filters.append(filter_of(phrases[-1], total, filter_bits))
     candidates, prefixes, longer = phrases[1], tables[1], []
     for length in range(2, LONGEST):
         candidates, prefixes = candidates.unionByName(phrases[length]), prefixes.unionByName(tables[length])

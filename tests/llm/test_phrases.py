@@ -91,6 +91,25 @@ def test_parts_of_a_long_text():
         assert got == expected
 
 
+def test_stripes_merge_over_batches():
+    """Rows of one key in one batch or over several, and in several rows of one block."""
+    rng = random.Random(3)
+    for size in (1, 2, 7, 100):
+        keys = sorted((rng.choice("ab"), rng.choice(["", "p", "q r"]), rng.randint(0, 1)) for _ in range(60))
+        rows = [(*key, words := rng.sample(["x", "y", "z", None, "w"], rng.randint(1, 5)), [rng.randint(1, 20) for _ in words]) for key in keys]
+        expected = defaultdict(Counter)
+        for lang, prefix, shard, words, counts in rows:
+            expected[lang, prefix, shard].update(dict(zip(words, counts, strict=True)))
+        sent = [(*key, "\n".join(w or "" for w in words), np.array(counts, "<i4").tobytes()) for *key, words, counts in rows]
+        batches = [pa.RecordBatch.from_pylist([dict(zip(phrases._SENT.names, row, strict=True)) for row in sent[i : i + size]], phrases._SENT) for i in range(0, 60, size)]
+        got = [row for batch in phrases.merged(iter(batches)) for row in batch.to_pylist()]
+        assert [(r["lang"], r["prefix"], r["shard"]) for r in got] == sorted(expected)
+        for r in got:
+            own = expected[r["lang"], r["prefix"], r["shard"]]
+            assert r["total"] == sum(own.values())
+            assert dict(zip(r["words"], r["counts"], strict=True)) == {w: n for w, n in own.items() if w is not None and n >= 30}
+
+
 def test_phrases_of_nothing(spark):
     docs = spark.createDataFrame([], "doc_id long, text string, lang string")
     assert phrases.top_phrases(phrases.collocations(docs)).count() == 0
