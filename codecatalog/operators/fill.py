@@ -15,10 +15,12 @@ from codecatalog.session import new_run_dir
 from codecatalog.operators.diff import changed_files
 from codecatalog.operators.lines import (
     before,
+    code_alone,
     code_lines,
     explode_lines,
     line_window,
     row_kind,
+    up_to_here,
     with_depth,
     with_heads,
 )
@@ -118,14 +120,13 @@ def doc_candidates(files: DataFrame, rows: DataFrame, specs: Mapping[str, LangSp
 def doc_prompts(candidates: DataFrame, style: str = fv.DEFAULT_STYLE) -> DataFrame:
     """Add ``system_text`` and ``prompt`` with the whole body; an unknown style falls back to the default one."""
     guide = fv.STYLE_GUIDES.get(style, fv.STYLE_GUIDES[fv.DEFAULT_STYLE])
-    body = F.concat("body", F.lit("\n"))
     prompt = F.concat(
         F.lit(f"{guide}\n\nSignature:\n```python\n"),
         "signature",
         F.lit("\n```\n"),
         F.when(
             F.col("body") != "",
-            F.concat(F.lit("\nBody:\n```python\n"), body, F.lit("\n```\n")),
+            F.concat(F.lit("\nBody:\n```python\n"), "body", F.lit("\n\n```\n")),
         ).otherwise(""),
         F.lit("\nWrite the docstring now:"),
     )
@@ -139,25 +140,53 @@ def prompt_languages(files: DataFrame) -> DataFrame:
     )
 
 
-def generic_prompts(files: DataFrame) -> DataFrame:
-    """One prompt per non-Python file that is not blank, with its whole source."""
-    content = _normal(F.col("content"))
+#: Characters of source in one prompt, about. A longer file is asked for in parts.
+PART_CHARS = 200_000
+
+
+def source_parts(files: DataFrame, specs: Mapping[str, LangSpec] = SPECS, part_chars: int = PART_CHARS) -> DataFrame:
+    """``path, lang, part, source``: files as they are, or cut before declarations (with the comments above them) into parts of
+    about ``part_chars`` characters. The parts of a file, joined by line feeds, are the file; one declaration stays whole."""
+    whole = files.select("path", "lang", _normal(F.col("content")).alias("content"))
+    lines = code_lines(whole.where(F.length("content") > part_chars), specs).withColumn("kind0", row_kind(specs))
+    rows = with_heads(with_depth(lines)).withColumn(
+        "chars", F.coalesce(F.sum(F.length("line") + 1).over(before()), F.lit(0))
+    )
+    # A segment begins with the comments and annotations of its declaration; those of bodies are no place to cut.
+    first_of_segment = F.row_number().over(Window.partitionBy("path", "seg").orderBy("line_no")) == 1
+    closes = F.coalesce(F.col("code"), F.lit("")).rlike(r"^\s*[)}\]]")
+    cut = F.when(first_of_segment & ~closes & (F.col("depth") <= 1) & (F.col("open_round") <= 0), F.floor(F.col("chars") / part_chars))
+    parts = rows.withColumn("cut", cut).withColumn("part", F.coalesce(F.last("cut", ignorenulls=True).over(up_to_here()), F.lit(0)).cast("int"))
+    cut_up = parts.groupBy("path", "part").agg(F.array_sort(F.collect_list(F.struct("line_no", "line"))).alias("lines"))
+    text = F.array_join(F.transform("lines", lambda r: r["line"]), "\n")
+    return whole.join(cut_up, "path", "left").select(
+        "path",
+        "lang",
+        F.coalesce("part", F.lit(0)).alias("part"),
+        F.when(F.col("lines").isNull(), F.col("content")).otherwise(text).alias("source"),
+    )
+
+
+def generic_prompts(files: DataFrame, specs: Mapping[str, LangSpec] = SPECS, part_chars: int = PART_CHARS) -> DataFrame:
+    """Prompts for the non-Python files that are not blank: one for each part of a file, with the whole of it."""
     system = F.lit(fv.GENERIC_SYSTEM_TEXT)
     for column in ("language", "style", "comment"):
         system = F.replace(system, F.lit("{" + column + "}"), F.col(column))
+    parts = source_parts(files.where(F.col("lang") != "python"), specs, part_chars)
     return (
-        files.where((F.col("lang") != "python") & (strip(content) != ""))
+        parts.where(strip("source") != "")
         .withColumn("ext", F.lower(path_ext(F.col("path"))))
         .join(F.broadcast(prompt_languages(files)), "ext")
         .select(
             "path",
+            "part",
             "language",
             system.alias("system_text"),
             F.concat(
                 F.lit("Add documentation comments to this "),
                 "language",
                 F.lit(" code:\n\n"),
-                content,
+                "source",
             ).alias("prompt"),
         )
     )
@@ -289,13 +318,30 @@ def doc_diff_report(old_files: DataFrame, new_files: DataFrame) -> DataFrame:
     return group_consecutive(added)
 
 
-def generic_fill(files: DataFrame, completions: DataFrame) -> DataFrame:
-    """``(path, content)`` of files whose completion adds documentation."""
-    source = files.select("path", _normal(F.col("content")).alias("content"))
-    results = completions.select("path", clean_source_completion(F.col("completion")).alias("result")).where(
-        "result <> ''"
+def generic_fill(
+    files: DataFrame, completions: DataFrame, specs: Mapping[str, LangSpec] = SPECS, part_chars: int = PART_CHARS
+) -> DataFrame:
+    """``(path, content)`` of files whose completions add documentation.
+
+    A completion counts only if its code, without comments, is that of its part: an answer that was cut off or that
+    changes code leaves the part as it is. ``part_chars`` must be that of the prompts; completions without ``part`` are
+    for whole files.
+    """
+    if "part" not in completions.columns:
+        completions = completions.withColumn("part", F.lit(0))
+    answers = completions.select("path", "part", clean_source_completion(F.col("completion")).alias("result")).where("result <> ''")
+    asked = files.join(completions.select("path").distinct(), "path", "left_semi")
+    parts = source_parts(asked, specs, part_chars).join(answers, ["path", "part"], "left")
+    # An answer comes without the margin of its first line.
+    margin = F.regexp_extract("source", r"^([ \t]*)", 1)
+    parts = parts.withColumn("result", F.when(F.col("result").rlike(r"^\S"), F.concat(margin, "result")).otherwise(F.col("result")))
+    parts = parts.withColumns({"code": code_alone(F.col("source"), specs), "new_code": code_alone(F.col("result"), specs)})
+    taken = F.when(F.col("code") == F.col("new_code"), F.col("result")).otherwise(F.col("source"))
+    ordered = lambda text: F.array_join(
+        F.transform(F.array_sort(F.collect_list(F.struct("part", text.alias("text")))), lambda r: r["text"]), "\n"
     )
-    merged = source.join(results, "path").where(strip(F.col("result")) != strip(F.col("content")))
+    merged = parts.groupBy("path").agg(ordered(F.col("source")).alias("content"), ordered(taken).alias("result"))
+    merged = merged.where(strip(F.col("result")) != strip(F.col("content")))
     added = doc_diff_report(
         merged.select("path", "content"), merged.select("path", F.col("result").alias("content"))
     ).select("path").distinct()

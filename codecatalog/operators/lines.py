@@ -82,18 +82,13 @@ def _filled(literal: Column, char: str, over_lines: bool = False) -> Column:
     )
 
 
-def masked_struct(content: Column, specs: Mapping[str, LangSpec], over_lines: bool = False) -> Column:
-    """``struct<line, code, text>`` of one file: as it is, and with literals blanked to equal length.
-
-    ``code`` has comments and strings blanked, ``text`` only comments. With ``over_lines`` a string is blanked with its line
-    feeds, so that ``code`` has a line for each line that isn't within one.
+def masked_pieces(content: Column, specs: Mapping[str, LangSpec]) -> Column:
+    """A file (with line feeds for line ends) in pieces ``struct<t, k>``: text, and its kind c (code), s (string) or m (comment).
 
     Flat literals are cut out by one pattern. Files whose literals may nest go through the lexer of their language.
     """
 
     def flat(c: Column) -> Column:
-        """Pieces of the file with their kinds: code, then a literal, and so on."""
-
         def parts(c: Column) -> Column:
             return F.struct(
                 by_language(
@@ -118,12 +113,19 @@ def masked_struct(content: Column, specs: Mapping[str, LangSpec], over_lines: bo
     def nested(c: Column, spec: LangSpec) -> Column:
         return let(lexed(c, spec.lexer), lambda x: F.zip_with(x["tokens"], x["kinds"], lambda t, k: F.struct(t.alias("t"), k.alias("k"))))
 
-    def pieces(c: Column) -> Column:
-        chain = F
-        for spec in specs.values():
-            if spec.lexer is not None:
-                chain = chain.when((F.col("lang") == spec.name) & c.rlike(spec.lexer.needed), nested(c, spec))
-        return chain.otherwise(flat(c)) if chain is not F else flat(c)
+    chain = F
+    for spec in specs.values():
+        if spec.lexer is not None:
+            chain = chain.when((F.col("lang") == spec.name) & content.rlike(spec.lexer.needed), nested(content, spec))
+    return chain.otherwise(flat(content)) if chain is not F else flat(content)
+
+
+def masked_struct(content: Column, specs: Mapping[str, LangSpec], over_lines: bool = False) -> Column:
+    """``struct<line, code, text>`` of one file: as it is, and with literals blanked to equal length.
+
+    ``code`` has comments and strings blanked, ``text`` only comments. With ``over_lines`` a string is blanked with its line
+    feeds, so that ``code`` has a line for each line that isn't within one.
+    """
 
     def woven(c: Column, p: Column) -> Column:
         code = F.transform(
@@ -134,7 +136,25 @@ def masked_struct(content: Column, specs: Mapping[str, LangSpec], over_lines: bo
         return F.struct(c.alias("line"), F.array_join(code, "").alias("code"), F.array_join(text, "").alias("text"))
 
     normal = F.regexp_replace(content, r"\r\n?", "\n")
-    return let(normal, lambda c: let(pieces(c), lambda p: woven(c, p)))
+    return let(normal, lambda c: let(masked_pieces(c, specs), lambda p: woven(c, p)))
+
+
+def code_alone(content: Column, specs: Mapping[str, LangSpec]) -> Column:
+    """What a compiler reads of a file: its code without comments, with runs of white space as one, and none where it parts
+    nothing. Line ends stay, as they end statements in some languages; strings stay as they are."""
+    blanks, kept = " \t\n", "\u0010\u0011\u0012"
+
+    def unread(text: Column) -> Column:
+        return by_language(specs, lambda s: ~text.rlike(s.directive) if s.directive else F.lit(True))
+
+    def pieces(p: Column) -> Column:
+        plain = lambda x: F.when((x["k"] == "m") & unread(x["t"]), F.lit(" ")).otherwise(F.translate(x["t"], blanks, kept))
+        return F.transform(p, lambda x: F.when(x["k"] == "c", x["t"]).otherwise(plain(x)))
+
+    normal = F.regexp_replace(content, r"\r\n?", "\n")
+    joined = let(normal, lambda c: let(masked_pieces(c, specs), lambda p: F.array_join(pieces(p), "")))
+    lines = F.regexp_replace(joined, r"\s*\n\s*", "\n")
+    return F.btrim(F.regexp_replace(F.regexp_replace(lines, r"[ \t\f]+", " "), r"(?<!\w) | (?!\w)", ""), F.lit(blanks))
 
 
 def _count(col: Column, char: str) -> Column:

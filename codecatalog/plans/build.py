@@ -114,7 +114,8 @@ def _filled(files: DataFrame, options: BuildOptions) -> tuple[DataFrame, DataFra
     prompts = fill.doc_prompts(fill.doc_candidates(wanted, catalog_rows(wanted, python), python), options.style)
     suggestions = fill.clean_completions(fill.complete(prompts.where("insert_line IS NOT NULL"), options.completer))
     patched = fill.apply_doc_patches(wanted, suggestions).join(suggestions.select("path").distinct(), "path", "left_semi")
-    other = fill.generic_fill(good, fill.complete(fill.generic_prompts(good), options.completer))
+    prompts = fill.generic_prompts(good, options.specs)
+    other = fill.generic_fill(good, fill.complete(prompts, options.completer), options.specs)
     changed = patched.unionByName(other).withColumnRenamed("content", "new_content")
     merged = files.join(changed, "path", "left").withColumn("content", F.coalesce("new_content", "content"))
     return _written(merged.drop("new_content"), "filled-files"), suggestions

@@ -349,7 +349,7 @@ _STYLE_CASES = " ".join(f"WHEN '{ext}' THEN '{style}'" for ext, _, _, style in f
     ),
 )
 def generic_prompts(spark: SparkSession, sf: str) -> DataFrame:
-    return fill.generic_prompts(kept_files(spark, sf))
+    return fill.generic_prompts(kept_files(spark, sf)).drop("part")
 
 
 @query("complete_docs", with_base(f"SELECT path, line_number AS line, 'Documents ' || name || '.' AS docstring FROM {MISSING_PY} m"))
@@ -473,13 +473,14 @@ def stub_sources(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """Stands for a model: gives the prompted source back with a comment on top, fenced."""
     for prompts in batches:
         body = prompts.str.replace(r"^[^\n]*\n\n", "", n=1, regex=True)
-        yield "```\n// Added by a stub.\n" + body.str.rstrip() + "\n```"
+        mark = prompts.str.contains(r"^[^\n]* Ruby code:\n", regex=True).map({True: "#", False: "//"})
+        yield "```\n" + mark + " Added by a stub.\n" + body.str.rstrip() + "\n```"
 
 
 @query(
     "generic_fill",
     with_files(
-        "SELECT path, '// Added by a stub.' || chr(10) || rtrim(content, ' ' || chr(10)) AS content "
+        "SELECT path, CASE WHEN lang = 'ruby' THEN '#' ELSE '//' END || ' Added by a stub.' || chr(10) || rtrim(content, ' ' || chr(10)) AS content "
         f"FROM files WHERE lang <> 'python' AND {corpus.KEPT}"
     ),
 )

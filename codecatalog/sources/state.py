@@ -84,7 +84,8 @@ def read_state_json(spark: SparkSession, path: str) -> DataFrame:
     )
     plain = entries.join(files.where("whole"), "file", "left_semi").select("path", "sha256")
     rest = spark.read.text(path, wholetext=True).withColumn("file", F.col("_metadata.file_path")).join(files.where("NOT whole"), "file", "left_semi")
-    odd = rest.select(F.explode(F.from_json("value", "hashes map<string,string>")["hashes"]).alias("path", "sha256"))
+    # The parser would take what begins as a map and go no further.
+    odd = rest.where(F.col("value").rlike(r"\}\s*$")).select(F.explode(F.from_json("value", "hashes map<string,string>")["hashes"]).alias("path", "sha256"))
     return plain.unionByName(odd)
 
 

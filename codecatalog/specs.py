@@ -61,6 +61,7 @@ class LangSpec:
     literals: str  # comments and strings
     comment: str  # start of a comment literal
     decls: tuple[Decl, ...]
+    directive: str = ""  # start of a line that is blanked like a comment, but that a compiler reads
     lexer: Lexer | None = None  # for files whose literals may nest
     scope: str = "brace"  # 'brace', 'indent' or 'end'
     doc_style: str = "block"  # 'block', 'line', 'xml' or 'string'
@@ -291,6 +292,7 @@ _CS_BASES = r"(?:\s*:\s*([^{]*?))?\s*(?:\bwhere\b[^{]*)?(?:\{|$)"
 CSHARP = LangSpec(
     name="csharp",
     extensions=tuple(fv.EXTENSIONS["csharp"]),
+    directive=r"^[ \t]*#",
     lexer=lexers.CSHARP,
     literals=(
         SLASH_COMMENTS + "|" + TEXT_BLOCK + r'|\$?@\$?"(?:[^"]|"")*+"|' + DOUBLE_QUOTED + "|" + CHAR
@@ -336,6 +338,7 @@ _CPP_TAIL = r"\)\s*(?:const\b\s*)?(?:noexcept\b\s*)?(?:override\b\s*)?(?:final\b
 CPP = LangSpec(
     name="cpp",
     extensions=tuple(fv.EXTENSIONS["cpp"]),
+    directive=r"^[ \t]*#",
     literals=(
         SLASH_COMMENTS + r'|R"([^()\\\s"]{0,16})\([\s\S]*?\)\1"|' + DOUBLE_QUOTED + "|" + CHAR
         + r"|(?m:^[ \t]*#[^\n\\]*+(?:\\[\s\S][^\n\\]*+)*+)"

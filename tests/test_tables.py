@@ -9,13 +9,14 @@ from pyspark.sql import functions as F
 from codecatalog import corpus
 from codecatalog.functions import predicates, text
 from codecatalog.operators import diff as d
-from codecatalog.operators import fill, modules, publish
+from codecatalog.operators import fill, lines, modules, publish
 from codecatalog.operators.ordering import with_dense_order
 from codecatalog.plans import build, registry
 from codecatalog.plans.change_queries import corpus_snapshot
 from codecatalog.session import new_run_dir
 from codecatalog.sources import files as src
 from codecatalog.sources import state, tree
+from codecatalog.specs import SPECS
 from codecatalog.streaming import feed, refresh
 
 
@@ -165,6 +166,63 @@ def test_generic_fill_takes_whole_files_and_skips_unchanged(spark):
     assert got == {"a.c": "// new\n" + long}
 
 
+JAVA_FILE = "package p;\n\n" + "".join(
+    f"/** Doc {i}. */\nclass C{i} {{\n    String s = \"a  {{ // b\";\n    int m{i}(int a) {{\n        return a / {i}; // why\n    }}\n}}\n" for i in range(9000)
+)
+
+
+def test_long_files_are_filled_in_parts(spark):
+    """A file of 1 MB comes back whole; parts whose answer changes code stay as they were."""
+    assert len(JAVA_FILE) > 1_000_000
+    files = spark.createDataFrame([("a.java", "java", JAVA_FILE), ("b.java", "java", "class B {\n}\n")], "path string, lang string, content string")
+    prompts = fill.generic_prompts(files, part_chars=50_000)
+    parts = {(r["path"], r["part"]): r["prompt"].split(":\n\n", 1)[1] for r in prompts.collect()}
+    own = [text for (path, _), text in sorted(parts.items()) if path == "a.java"]
+    assert len(own) > 20 and "\n".join(own) == JAVA_FILE
+    assert all(text.lstrip().startswith(("/** Doc", "String", "int m")) for text in own[1:]) and max(map(len, own)) < 51_000
+    number = F.col("part") % 4
+    body = F.regexp_replace("prompt", r"^[\s\S]*?:\n\n", "")
+    completion = (
+        F.when(F.col("path") == "b.java", F.concat(F.lit("// New.\n"), body))
+        .when(number == 0, F.concat(F.lit("```java\n/* New. */\n"), F.replace(body, F.lit("{"), F.lit(" { ")), F.lit("\n```")))
+        .when(number == 1, F.concat(F.lit("// New.\n"), F.substring(body, 1, 20_000)))
+        .when(number == 2, F.concat(F.lit("// New.\n"), F.replace(body, F.lit("a  {"), F.lit("a {"))))
+        .otherwise(F.concat(F.lit("// New.\n"), body))
+    )
+    got = {r["path"]: r["content"] for r in fill.generic_fill(files, prompts.withColumn("completion", completion), part_chars=50_000).collect()}
+    assert got["b.java"] == "// New.\nclass B {\n}"
+    margins = [text[: len(text) - len(text.lstrip())] for text in own]
+    expected = [text if n % 4 < 3 else margins[n] + "// New.\n" + text.rstrip() for n, text in enumerate(own)]
+    # Spaces in strings are code: the first kind of answer changed some.
+    assert got["a.java"] == "\n".join(expected)
+
+
+@pytest.mark.parametrize(
+    "lang,text,same,fits",
+    [
+        ("java", "int a = 1;\n", "/** A. */\nint  a=1 ;  // one\n\n", True),
+        ("java", "int a = 1;\n", "int a = 2;\n", False),
+        ("java", "s = \"a b\";", "s = \"a  b\";", False),
+        ("java", "int a;\nint b;\n", "int a;\n", False),
+        ("java", "in t", "int", False),
+        ("ruby", "a\nb\n", "a # one\n# two\n\n  b\n", True),
+        ("ruby", "a\nb\n", "a b\n", False),
+        ("typescript", "x = `a ${b}`\n", "// d\nx = `a ${b}`\n", True),
+        ("typescript", "x = `a ${b}`\n", "x = `a ${ b}`\n", False),
+        ("cpp", "#define A 1\nint a;\n", "#define A 1\n/// D.\nint a;\n", True),
+        ("cpp", "#define A 1\nint a;\n", "int a;\n", False),
+    ],
+)
+def test_code_alone(spark, lang, text, same, fits):
+    df = spark.createDataFrame([(lang, text, same)], "lang string, a string, b string")
+    assert df.select(lines.code_alone(F.col("a"), SPECS) == lines.code_alone(F.col("b"), SPECS)).first()[0] is fits
+
+
+def test_incomplete_prompts_have_no_body(spark):
+    df = spark.createDataFrame([("s", ""), ("t", "b")], "signature string, body string")
+    assert ["Body:" in r["prompt"] for r in fill.doc_prompts(df).orderBy("signature").collect()] == [False, True]
+
+
 def symbol_rows(df):
     return sorted(map(str, df.select(sorted(df.columns)).collect()))
 
