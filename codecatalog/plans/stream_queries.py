@@ -68,7 +68,7 @@ def stream_no_change(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("stream_quarantine", with_base(
-    f"SELECT path, CASE WHEN {corpus.UNDECODABLE} THEN 'not valid UTF-8' ELSE 'unbalanced brackets' END AS reason FROM base "
+    f"SELECT path, CASE WHEN {corpus.UNDECODABLE} THEN 'not valid UTF-8' ELSE {corpus.BREAK_REASON} END AS reason FROM base "
     f"WHERE NOT ({corpus.EXCLUDED}) AND ({corpus.UNDECODABLE} OR (lang = 'python' AND {corpus.BROKEN} AND NOT ({corpus.EMPTY})))"))
 def stream_quarantine(spark: SparkSession, sf: str) -> DataFrame:
     """Bad files are set aside and the stream goes on."""
@@ -114,13 +114,37 @@ def stream_change_log(spark: SparkSession, sf: str) -> DataFrame:
     return written.select("path", "change", F.unix_micros("ts").alias("ts_us"))
 
 
-@query("stream_event_gate", "SELECT event_type, event_type = 'purchase' AS is_refresh, count(*) AS n_events FROM events GROUP BY event_type")
+# Purchases play the push events; users are dealt to seven repositories.
+GATED_SQL = f"""
+    WITH e AS (
+        SELECT event_type, 'repo' || (user_id % 7) AS repo, {EVENT_PATH} AS path, {EVENT_CHANGE} AS change, ts FROM events
+    ), gates AS (
+        SELECT repo, max(ts) AS opened FROM e WHERE event_type = 'purchase' GROUP BY repo
+    )
+    SELECT CASE WHEN ts <= opened THEN 'released' ELSE 'pending' END AS section, path AS name, change, epoch_us(ts) AS ts_us, count(*) AS n
+    FROM e LEFT JOIN gates USING (repo) WHERE event_type <> 'purchase' GROUP BY ALL
+    UNION ALL SELECT 'ignored', event_type, NULL, NULL, count(*) FROM e WHERE event_type <> 'purchase' GROUP BY event_type
+"""
+
+
+@query("stream_event_gate", GATED_SQL)
 def stream_event_gate(spark: SparkSession, sf: str) -> DataFrame:
-    """Purchases play the push events; all other types are only counted."""
+    """What gated events have released, what is still held back, and the counts of the events that started nothing."""
     run = new_run_dir(spark, "gate")
-    events = spark.read.parquet(f"{sf}/events.parquet").select("event_id", "event_type", F.col("ts").cast("timestamp").alias("ts"))
-    events.withColumn("day", F.to_date("ts")).repartition("day").write.partitionBy("day").parquet(f"{run}/events")
-    stream = spark.readStream.schema("event_id bigint, event_type string").option("maxFilesPerTrigger", 10).parquet(f"{run}/events/*")
-    r.stream_event_counts(stream, "purchase", f"{run}/out", f"{run}/checkpoint").awaitTermination()
-    counts = spark.read.schema("event_type string, n_events bigint, is_refresh boolean, v bigint").parquet(f"{run}/out/counts/data")
-    return counts.groupBy("event_type", "is_refresh").agg(F.sum("n_events").alias("n_events"))
+    repo = F.concat(F.lit("repo"), (F.col("user_id") % 7).cast("string"))
+    users = spark.read.parquet(f"{sf}/events.parquet").select("event_id", repo.alias("repo"), "event_type")
+    rows = event_changes(spark, sf).join(users, "event_id").withColumn("day", F.to_date("ts"))
+    rows.repartition("day").write.partitionBy("day").parquet(f"{run}/events")
+    schema = "event_id bigint, path string, change string, ts timestamp, repo string, event_type string"
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 10).parquet(f"{run}/events/*")
+    r.stream_gated(stream, "purchase", f"{run}/out", f"{run}/checkpoint").awaitTermination()
+    last = state.current_version(spark, f"{run}/out")
+    read = lambda name, schema: spark.read.schema(schema).parquet(f"{run}/out/{name}/data")
+    log = lambda name, rows: rows.groupBy("path", "change", "ts").agg(F.count("*").alias("n")).select(
+        F.lit(name).alias("section"), F.col("path").alias("name"), "change", F.unix_micros("ts").alias("ts_us"), "n"
+    )
+    ignored = read("ignored", "event_type string, n_ignored bigint").groupBy("event_type").agg(F.sum("n_ignored").alias("n"))
+    none = F.lit(None)
+    counts = ignored.select(F.lit("ignored").alias("section"), F.col("event_type").alias("name"), none.cast("string").alias("change"), none.cast("bigint").alias("ts_us"), "n")
+    pending = read("pending", f"{r.GATED}, v bigint").where(F.col("v") == last)
+    return log("released", read("released", r.GATED)).unionByName(log("pending", pending)).unionByName(counts)

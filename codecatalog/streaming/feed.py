@@ -46,12 +46,3 @@ def change_log(changes: DataFrame, root: str = "") -> DataFrame:
         F.startswith(F.col("path"), F.lit(prefix)), F.substring("path", len(prefix) + 1, 1 << 30)
     ).otherwise(F.col("path"))
     return changes.select(relative.alias("path"), change_label(F.col("change")).alias("change"), "ts")
-
-
-def event_gate(events: DataFrame, event: str = "push") -> DataFrame:
-    """Only events of the gated type start a refresh."""
-    return events.where(F.col("event_type") == event)
-
-
-def ignored_events(events: DataFrame, event: str = "push") -> DataFrame:
-    return events.where(F.col("event_type") != event).groupBy("event_type").agg(F.count("*").alias("n_ignored"))

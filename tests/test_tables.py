@@ -317,3 +317,36 @@ def test_corpus_reaches_every_suffix(spark):
     files = registry.tagged(spark, "/root/testdata/sf0.01")
     assert files.select("ext").distinct().count() == 19
     assert corpus.corpus_files(spark, "/root/testdata/sf0.01").select("path").distinct().count() == 1000
+
+
+def gated_rows(spark, rows):
+    schema = "repo string, path string, change string, text string, ts string, event_type string"
+    df = spark.createDataFrame(rows, schema)
+    return df.withColumns({"content": F.encode("text", "UTF-8"), "ts": F.col("ts").cast("timestamp")}).drop("text")
+
+
+def test_changes_wait_for_a_gated_event(spark):
+    out = new_run_dir(spark, "gate")
+    code = "def f_{}():\n    pass\n"
+    first = [
+        ("a", "a/x.py", "added", code.format("x"), "2024-01-01", "edit"),
+        ("a", None, None, None, "2024-01-02", "push"),
+        ("a", "a/y.py", "added", code.format("y"), "2024-01-03", "edit"),
+        ("b", "b/z.py", "added", code.format("z"), "2024-01-01", "edit"),
+        ("b", None, None, None, "2024-01-05", "star"),
+    ]
+    second = [("b", None, None, None, "2024-01-04", "push"), ("a", "a/late.py", "added", code.format("late"), "2024-01-01", "edit")]
+
+    def names():
+        return {r["name"] for r in refresh.current_symbols(spark, f"{out}/catalog").collect()}
+
+    for _ in range(2):  # a replayed batch changes nothing
+        refresh.apply_gate(gated_rows(spark, first), 0, "push", out, build.BuildOptions())
+        assert names() == {"f_x"}
+    for _ in range(2):
+        refresh.apply_gate(gated_rows(spark, second), 1, "push", out, build.BuildOptions())
+        assert names() == {"f_x", "f_z", "f_late"}
+    pending = spark.read.parquet(f"{out}/pending/data/v=1").collect()
+    assert [r["path"] for r in pending] == ["a/y.py"]
+    ignored = spark.read.parquet(f"{out}/ignored/data").groupBy("event_type").agg(F.sum("n_ignored").alias("n")).collect()
+    assert {r["event_type"]: r["n"] for r in ignored} == {"edit": 4, "star": 1}
