@@ -27,7 +27,7 @@ from llm.batches import Cache, blocks, id_and_text, text_of
 from llm.labels import class_weights, held_out, sigmoid, training_sample
 from llm.tables import written
 
-SLOTS, SIZE, NONZERO = 4096, 64, 4
+SIZE, NONZERO = 64, 4
 #: Bytes of text whose context vectors a task adds up before it passes them on, and of text that is joined at a time.
 SUM_BYTES, JOIN_BYTES = 16 << 20, 32 << 20
 #: Terms on either side that count as neighbours.
@@ -35,28 +35,10 @@ REACH = 2
 HIDDEN, EPOCHS, RATE = 24, 60, 0.01
 #: Every so many training rows one is kept for the temperature.
 CALIBRATION = 5
-#: Rows of the table of vectors that travel together.
-CHUNK = 64
 
 _UPPER, _LOWER, _DIGIT = re.compile(r"[^\W\d_a-zß-öø-ÿ]+"), re.compile(r"[a-zß-öø-ÿ]+"), re.compile(r"\d+")
 
 
-def _index_vectors() -> tuple[np.ndarray, np.ndarray]:
-    """Places and signs of the nonzero entries of each slot's index vector; fixed by the seed."""
-    rng = np.random.default_rng(20)
-    places = np.argsort(rng.random((SLOTS, SIZE)), axis=1)[:, :NONZERO]
-    return places, rng.choice([-1, 1], (SLOTS, NONZERO))
-
-
-PLACES, SIGNS = _index_vectors()
-
-
-def index_matrix() -> np.ndarray:
-    out = np.zeros((SLOTS, SIZE), np.float32)
-    np.put_along_axis(out, PLACES, SIGNS.astype(np.float32), axis=1)
-    return out
-
-
 def shape_of(word: str) -> str:
     """Runs of capitals, small letters and digits as one sign each; other signs stay, runs of one of them as two."""
     signs = _DIGIT.sub("0", _LOWER.sub("a", _UPPER.sub("A", word)))
@@ -264,77 +246,6 @@ def with_pooled(docs: DataFrame, vectors: DataFrame, schema: T.StructType | str,
     return dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(pool, schema)
 
 
-# The table of hashed slots that the queries used before; none of them uses it now.
-
-
-class Terms:
-    """Slots of the terms of a text: those of its words in small letters at even places, of their shapes at odd ones."""
-
-    def __init__(self) -> None:
-        self.known: Cache = Cache()
-
-    def __call__(self, text: str) -> np.ndarray:
-        words, known = text.split(), self.known
-        for word in [word for word in set(words) if word not in known]:
-            word_slot = zlib.crc32(b"w" + word.lower().strip(".,;:!?").encode()) % SLOTS
-            known[word] = word_slot | (zlib.crc32(b"s" + shape_of(word).encode()) % SLOTS) << 16
-        packed = np.fromiter(map(known.__getitem__, words), np.int64, len(words))
-        out = np.empty(2 * len(words), np.int64)
-        out[0::2], out[1::2] = packed & 0xFFFF, packed >> 16
-        return out
-
-
-def context_table(docs: DataFrame) -> np.ndarray:
-    """Context vectors of all slots over all documents, as whole numbers, so that the order of sums doesn't matter.
-
-    Each task adds up its own table; tables are added chunk by chunk after one exchange of (chunk, numbers). What
-    comes back to the driver has the fixed size of one table.
-    """
-
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        terms, table = Terms(), np.zeros(SLOTS * SIZE, np.int64)
-        for batch in batches:
-            for block in blocks(batch):
-                terms.known.room()
-                runs = [terms(text) for text in block.column("text").to_pylist()]
-                slots = np.concatenate(runs)
-                owner = np.repeat(np.arange(len(runs)), [len(run) for run in runs])
-                for step in range(1, REACH + 1):
-                    same = owner[step:] == owner[:-step]
-                    left, right = slots[:-step][same], slots[step:][same]
-                    # How often each pair of slots meets, then one product per different pair.
-                    pairs, counts = np.unique(left * SLOTS + right, return_counts=True)
-                    a, b = pairs // SLOTS, pairs % SLOTS
-                    for one, other in ((a, b), (b, a)):
-                        at = (one * SIZE)[:, None] + PLACES[other]
-                        weights = SIGNS[other] * counts[:, None]
-                        table += np.bincount(at.ravel(), weights.ravel(), SLOTS * SIZE).astype(np.int64)
-        chunks = table.reshape(SLOTS // CHUNK, CHUNK * SIZE)
-        full = np.flatnonzero(chunks.any(axis=1))
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(full, pa.int64()), pa.array([chunks[i].astype("<i8").tobytes() for i in full], pa.binary())],
-            names=["chunk", "numbers"],
-        )
-
-    def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for chunk, numbers in zip(batch.column("chunk").to_pylist(), batch.column("numbers").to_pylist()):
-                values = np.frombuffer(numbers, "<i8")
-                sums[chunk] = sums[chunk] + values if chunk in sums else values
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(list(sums), pa.int64()), pa.array([v.tobytes() for v in sums.values()], pa.binary())],
-            names=["chunk", "numbers"],
-        )
-
-    schema = "chunk long, numbers binary"
-    found = id_and_text(docs).mapInArrow(add, schema).repartition("chunk").mapInArrow(total, schema).toArrow()
-    table = np.zeros((SLOTS // CHUNK, CHUNK * SIZE), np.int64)
-    for chunk, numbers in zip(found["chunk"].to_pylist(), found["numbers"].to_pylist()):
-        table[chunk] = np.frombuffer(numbers, "<i8")
-    return table.reshape(SLOTS, SIZE)
-
-
 @dataclass
 class QualityModel:
     vectors: DataFrame | None

@@ -380,18 +380,6 @@ def test_quality_model(spark, awkward, nothing):
     assert quality.quality(nothing, labels).count() == 0
 
 
-def test_context_vectors_by_force(spark):
-    rows = [(i, text(i, 50)) for i in range(20)] + [(20, None), (21, "")]
-    table = quality.context_table(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
-    expected, index, terms = np.zeros((quality.SLOTS, quality.SIZE)), quality.index_matrix(), quality.Terms()
-    for _, body in rows:
-        slots = terms(body or "")
-        for at, slot in enumerate(slots):
-            for other in [*slots[max(0, at - quality.REACH) : at], *slots[at + 1 : at + 1 + quality.REACH]]:
-                expected[slot] += index[other]
-    assert (table == expected).all()
-
-
 def test_every_word_has_its_own_vector(spark):
     """Context vectors by force, of more words than any fixed table of 4096 slots has room for."""
     rows = [(i, " ".join(f"word{i * 60 + j}" for j in range(90))) for i in range(120)] + [(200, None), (201, "")]
