@@ -26,6 +26,7 @@ SYMBOL_SCHEMA = (
     "bases array<string>, decorators array<string>, docstring string, is_method boolean, is_async boolean, "
     "is_deprecated boolean, line_number bigint"
 )
+PLACED_SCHEMA = "path string, page_path string"
 MODULE_SCHEMA = "path string, lang string, module_name string, docstring string, n_functions bigint, n_classes bigint"
 
 
@@ -59,17 +60,30 @@ def _publish(
     spark: SparkSession, out: str, version: int, options: BuildOptions, diff: DataFrame, bad: DataFrame, incremental: bool,
     suggestions: DataFrame | None = None,
 ) -> DataFrame:
-    """Pages, index, navigation and report from the written tables of ``version``; returns the report."""
+    """Pages, index, navigation and report from the written tables of ``version``; returns the report.
+
+    Only pages of touched modules are rendered, and of those whose page has moved. Everything is written under its version,
+    so until the state is committed readers see the site as it was.
+    """
     symbols = spark.read.schema(SYMBOL_SCHEMA).parquet(f"{out}/symbols/data/v={version}")
     all_modules = spark.read.schema(MODULE_SCHEMA).parquet(f"{out}/modules/data/v={version}")
     modules = all_modules.where("n_functions > 0 OR n_classes > 0 OR docstring <> ''")
     suffix = ".md" if options.format == "markdown" else ".html"
-    placed = m.module_order(m.with_page_path(modules, suffix))
     counts = m.project_counts(modules)
-    pages = render.render_pages(symbols, placed, options.format)
-    sinks.write_pages(pages, out)
-    sinks.write_index(render.render_index(placed, counts, options.format, options.title), f"{out}/index")
-    render.navigation(placed).write.mode("overwrite").parquet(f"{out}/nav")
+    last = state.current_version(spark, f"{out}/state")
+    known = state.read_version(spark, f"{out}/placed", PLACED_SCHEMA, last) if last is not None else spark.createDataFrame([], PLACED_SCHEMA)
+    placed = _written(m.module_order(m.with_page_path(modules, suffix)), "placed")
+    fresh = placed
+    if incremental:
+        before = known.withColumnRenamed("page_path", "old_page")
+        touched = d.touched_paths(diff).select("path").distinct().withColumn("touched", F.lit(True))
+        marked = placed.join(before, "path", "left").join(touched, "path", "left")
+        fresh = marked.where("touched OR old_page IS NULL OR old_page <> page_path").drop("old_page", "touched")
+    pages = render.render_pages(symbols.join(fresh.select("path"), "path", "left_semi"), fresh, options.format)
+    sinks.write_page_log(pages, known.join(placed, "page_path", "left_anti"), out, version)
+    state.write_data(placed.select("path", "page_path"), f"{out}/placed", version)
+    sinks.write_index(render.render_index(placed, counts, options.format, options.title), f"{out}/index/v={version}")
+    state.write_data(render.navigation(placed), f"{out}/nav", version)
     report.change_feed(diff if incremental else None, symbols, suggestions).write.mode("overwrite").parquet(f"{out}/changes")
     summary = report.build_report(
         spark.read.parquet(f"{out}/changes"),

@@ -6,9 +6,10 @@ import os
 import uuid
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, Row
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
+from codecatalog.sources.state import current_version
 from codecatalog.sources.tree import mounted_path
 
 
@@ -17,6 +18,23 @@ def write_pages(pages: DataFrame, directory: str) -> None:
     pages.write.mode("overwrite").parquet(f"{directory}/pages")
 
 
+def write_page_log(pages: DataFrame, gone: DataFrame, root: str, version: int) -> None:
+    """The pages that ``version`` writes, and those it takes away (``gone(page_path)``), as one version of a log."""
+    target = f"{root}/pages/data/v={version}"
+    pages.select("page_path", "content").write.mode("overwrite").parquet(target)
+    gone.select("page_path", F.lit(None).cast("string").alias("content")).write.mode("append").parquet(target)
+
+
+def read_pages(spark: SparkSession, root: str, version: int | None = None) -> DataFrame:
+    """The site as of a version, the last committed one by default: of each page what was written last."""
+    version = current_version(spark, f"{root}/state") if version is None else version
+    if version is None:
+        return spark.createDataFrame([], "page_path string, content string")
+    log = spark.read.schema("page_path string, content string, v bigint").parquet(f"{root}/pages/data").where(F.col("v") <= version)
+    last = log.groupBy("page_path").agg(F.max_by(F.struct("content"), "v").alias("last"))
+    return last.where("last.content IS NOT NULL").select("page_path", "last.content")
+
+
 def write_page_files(pages: DataFrame, directory: str) -> None:
     """One file per page below a folder that every executor mounts.
 

@@ -15,7 +15,7 @@ from codecatalog.plans import build, registry
 from codecatalog.plans.change_queries import corpus_snapshot
 from codecatalog.session import new_run_dir
 from codecatalog.sources import files as src
-from codecatalog.sources import state, tree
+from codecatalog.sources import sinks, state, tree
 from codecatalog.specs import SPECS
 from codecatalog.streaming import feed, refresh
 
@@ -238,10 +238,19 @@ def test_incremental_build_equals_full(spark, sf_dir):
         left = spark.read.schema(schema).parquet(f"{out}/a/{table}/data/v=1")
         right = spark.read.schema(schema).parquet(f"{out}/b/{table}/data/v=0")
         assert symbol_rows(left) == symbol_rows(right)
-    for part in ("pages", "nav"):
-        assert symbol_rows(spark.read.parquet(f"{out}/a/{part}")) == symbol_rows(spark.read.parquet(f"{out}/b/{part}"))
+    site = symbol_rows(sinks.read_pages(spark, f"{out}/a"))
+    assert site == symbol_rows(sinks.read_pages(spark, f"{out}/b"))
+    assert symbol_rows(spark.read.parquet(f"{out}/a/nav/data/v=1")) == symbol_rows(spark.read.parquet(f"{out}/b/nav/data/v=0"))
+    # The second version wrote the pages of touched modules alone.
+    placed = spark.read.parquet(f"{out}/a/placed/data/v=1")
+    touched = d.touched_paths(d.snapshot_diff(two, one_)).select("path")
+    log = spark.read.parquet(f"{out}/a/pages/data/v=1")
+    assert 0 < log.where("content IS NOT NULL").count() == placed.join(touched, "path", "left_semi").count() < placed.count()
+    # What a build wrote that never came to its commit isn't there.
+    sinks.write_page_log(log.limit(1).withColumn("content", F.lit("half")), log.select("page_path"), f"{out}/a", 7)
+    assert symbol_rows(sinks.read_pages(spark, f"{out}/a")) == site
     assert symbol_rows(state.read_state(spark, f"{out}/a/state")) == symbol_rows(state.read_state(spark, f"{out}/b/state"))
-    assert spark.read.text(f"{out}/b/index").first().value == "# Project Documentation"
+    assert spark.read.text(f"{out}/b/index/v=0").first().value == "# Project Documentation"
 
 
 def test_build_fills_once_per_prompt(spark, tmp_path):
