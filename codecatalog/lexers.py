@@ -65,7 +65,7 @@ TYPESCRIPT = Lexer(
     regex_after=r"(?:^|[=(,:;!&|?{}\[+*%~^-]|\b(?:return|typeof|case|in|of|delete|void|throw|new|do|else|yield|await))\s*$",
 )
 KOTLIN = Lexer(
-    needed=r"\$\{|/\*[^*]*+(?:\*(?!/)[^*]*+)*?/\*",
+    needed=r"\$\{|/\*(?:[^*/]++|\*(?!/)|/(?!\*))*+/\*",
     delimiters=r"\\[^\n]|\$\{|//|/\*|\*/|\"\"\"|'(?:[^'\\\n]|\\[^\n][^'\n]*)'|[\"{}\n]",
     plain=r"[^\"'{}/\n\\$*]",
     rules=_modes(
@@ -94,7 +94,7 @@ CSHARP = Lexer(
     ending=(r"^\$*", ""),
 )
 RUST = Lexer(
-    needed=r"/\*[^*]*+(?:\*(?!/)[^*]*+)*?/\*|\br#*\"",
+    needed=r"/\*(?:[^*/]++|\*(?!/)|/(?!\*))*+/\*|\br#*\"",
     delimiters=r"\\[\s\S]|\br#*\"|\"#*|//|/\*|\*/|'(?:[^'\\\n]|\\[^\n][^'\n]*)'|\n",
     plain=r"[^\"'/\n\\*r]",
     rules=_modes({'"': "+d", "//": "+l", "/*": "+c"}, d={'"': "-"}, l=_LINE_END, c={"*/": "-", "/*": "+c"}),

@@ -20,6 +20,8 @@ FILES = {
     "a.py": 'class K:\n    def m(self, a=f"{d["def x(): {"]}"):\n        return f"{{" + rf\'{a["}"]!r:>{10}}\'\n\n    def n(self):\n        pass\n',
     "a.cpp": 'class K {\n  const char* s = R"x({)" )x";\n  int m(int a);\n};\nint f(int a);\n',
 }
+FILES["long.kt"] = "/**\n" + " * x / y *\n" * 50_000 + " */\nfun u(c: Int) {\n}\n"
+FILES["long.rs"] = "/* " + "* / " * 50_000 + "/* fn f() { */ */\npub fn g() {}\n"
 EXPECTED = {
     "a.ts": {("", "K"), ("K", "m"), ("K", "n"), ("", "u")},
     "r.ts": {("", "K"), ("K", "m"), ("K", "n")},
@@ -30,6 +32,8 @@ EXPECTED = {
     "a.cs": {("", "K"), ("K", "M"), ("K", "N")},
     "a.py": {("", "K"), ("K", "m"), ("K", "n")},
     "a.cpp": {("", "K"), ("K", "m"), ("", "f")},
+    "long.kt": {("", "u")},
+    "long.rs": {("", "g")},
 }
 HEADERS = {
     "py": ("def f(a={}, b=2):\n    pass\n", "f"),
