@@ -10,6 +10,7 @@ from __future__ import annotations
 import os
 from collections.abc import Iterator, Sequence
 from fnmatch import fnmatchcase
+from itertools import islice
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -44,27 +45,67 @@ def file_system(root: str):
     return system, path.rstrip("/")
 
 
+def is_folder(path: str) -> bool:
+    """Whether tasks can list ``path``: it is a folder of a file system that they can open."""
+    from pyarrow import fs
+
+    try:
+        system, base = file_system(path)
+        return system.get_file_info(base).type == fs.FileType.Directory
+    except (pa.ArrowException, OSError):
+        return False
+
+
+def folder_entries(system, folder: str) -> Iterator[tuple[str, bool, int, int | None]]:
+    """``name, is_dir, size, modified`` of what is in a folder, without links to folders. A mounted one is read entry by entry,
+    however many it holds."""
+    from pyarrow import fs
+
+    if not isinstance(system, fs.LocalFileSystem):
+        for info in system.get_file_info(fs.FileSelector(folder, allow_not_found=True)):
+            modified = None if info.mtime_ns is None else info.mtime_ns // 1000
+            yield info.base_name, info.type == fs.FileType.Directory, info.size or 0, modified
+        return
+    try:
+        entries = os.scandir(folder)
+    except FileNotFoundError:
+        return
+    with entries:
+        for entry in entries:
+            is_dir = entry.is_dir()
+            if is_dir and entry.is_symlink():
+                continue
+            try:
+                found = entry.stat()
+            except FileNotFoundError:  # gone by now, or a link to nothing
+                yield entry.name, is_dir, 0, None
+                continue
+            yield entry.name, is_dir, 0 if is_dir else found.st_size, found.st_mtime_ns // 1000
+
+
+def list_folder(spark: SparkSession, root: str, extensions: Sequence[str], exclude: Sequence[str]) -> DataFrame:
+    """The entries of one folder, written, so that later reads see the same ones. Without ``extensions`` all files are wanted."""
+    out = new_run_dir(spark, "listing")
+    list_folders(spark.createDataFrame([("",)], "path string"), root, extensions, exclude).write.parquet(out)
+    return spark.read.schema(LISTING).parquet(out)
+
+
 def list_folders(folders: DataFrame, root: str, extensions: Sequence[str], exclude: Sequence[str]) -> DataFrame:
     """The entries of each folder (``path``, relative to ``root``): folders to go on with and files that are wanted."""
-    endings, exclude = tuple(extensions), tuple(exclude)
+    endings, exclude = tuple(extensions) or "", tuple(exclude)
 
     def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyarrow import fs
-
         system, base = file_system(root)
-        mounted = isinstance(system, fs.LocalFileSystem)
         for batch in batches:
             for folder in batch["path"].to_pylist():
-                rows = []
-                for info in system.get_file_info(fs.FileSelector(f"{base}/{folder}" if folder else base, allow_not_found=True)):
-                    is_dir, name = info.type == fs.FileType.Directory, info.base_name
-                    if is_dir and mounted and os.path.islink(info.path):
-                        continue
-                    if (is_dir or name.endswith(endings)) and not any(fnmatchcase(name, pattern) for pattern in exclude):
-                        modified = None if info.mtime_ns is None else info.mtime_ns // 1000
-                        rows.append((f"{folder}/{name}" if folder else name, is_dir, info.size or 0, modified))
-                for at in range(0, len(rows), 10_000):
-                    columns = zip(*rows[at : at + 10_000], strict=True)
+                found = folder_entries(system, f"{base}/{folder}" if folder else base)
+                rows = (
+                    (f"{folder}/{name}" if folder else name, is_dir, size, modified)
+                    for name, is_dir, size, modified in found
+                    if (is_dir or name.endswith(endings)) and not any(fnmatchcase(name, pattern) for pattern in exclude)
+                )
+                while held := list(islice(rows, 10_000)):
+                    columns = zip(*held, strict=True)
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _LISTING, strict=True)], schema=_LISTING)
 
     return folders.mapInArrow(entries, LISTING)

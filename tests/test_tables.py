@@ -359,3 +359,24 @@ def test_changes_wait_for_a_gated_event(spark):
     assert [r["path"] for r in pending] == ["a/y.py"]
     ignored = spark.read.parquet(f"{out}/ignored/data").groupBy("event_type").agg(F.sum("n_ignored").alias("n")).collect()
     assert {r["event_type"]: r["n"] for r in ignored} == {"edit": 4, "star": 1}
+
+
+def test_states_of_a_folder_are_listed_by_tasks(spark, tmp_path, monkeypatch):
+    """The text source would list a folder's files in the driver."""
+    folder = tmp_path / "{a} b"
+    folder.mkdir()
+    texts = {
+        "bad": "{", "none": "", "cut": '{"hashes": {"z": "1"', "twice": '{"hashes": {"y": "1"}} {"hashes": {"b": "2"}}x',
+        "odd": '{"hashes": {"q\\",": "2", "b, \\"c\\"": "3"}}', "pretty": json.dumps({"hashes": {"d": "4", "é": "5"}}, indent=2), "_hidden": '{"hashes": {"h": "1"}}',
+        "mark": '\ufeff{"hashes": {"m": "6"}}', "more": '{"hashes": {"w": "1"}}",x', "null": '{"hashes": {"u": null}}', "large*[1]": json.dumps({"hashes": {f"l{i}": "7" for i in range(200)}}),
+    }
+    for name, text in texts.items():
+        (folder / f"{name}.json").write_text(text)
+    (folder / "inner").mkdir()
+    (folder / "inner" / "i.json").write_text('{"hashes": {"i": "1"}}')
+    known = {'q",': "2", 'b, "c"': "3", "d": "4", "é": "5", "m": "6", "u": None} | {f"l{i}": "7" for i in range(200)}
+    monkeypatch.setattr(state, "LARGE_STATE", 1000)
+    assert {r["path"]: r["sha256"] for r in state.read_state_json(spark, str(folder)).collect()} == known
+    monkeypatch.setattr(state, "LARGE_STATE", 1 << 20)
+    assert not [f for f in state.read_state_json(spark, str(folder)).inputFiles() if f.endswith(".json")]
+    assert {r["path"]: r["sha256"] for r in state.read_state_json(spark, str(folder)).collect()} == known
