@@ -127,16 +127,18 @@ def masked_struct(content: Column, specs: Mapping[str, LangSpec], over_lines: bo
     feeds, so that ``code`` has a line for each line that isn't within one.
     """
 
+    def blanked(x: Column) -> Column:
+        string = F.when(x["k"].isNull() | (x["k"] != "c"), _filled(x["t"], FILLER, over_lines))
+        filled = F.when(x["k"] == "m", _filled(x["t"], " ")).otherwise(string)
+        return F.struct(x["t"].alias("t"), x["k"].alias("k"), filled.alias("filled"))
+
     def woven(c: Column, p: Column) -> Column:
-        code = F.transform(
-            p,
-            lambda x: F.when(x["k"] == "c", x["t"]).when(x["k"] == "m", _filled(x["t"], " ")).otherwise(_filled(x["t"], FILLER, over_lines)),
-        )
-        text = F.transform(p, lambda x: F.when(x["k"] == "m", _filled(x["t"], " ")).otherwise(x["t"]))
+        code = F.transform(p, lambda x: F.when(x["k"] == "c", x["t"]).otherwise(x["filled"]))
+        text = F.transform(p, lambda x: F.when(x["k"] == "m", x["filled"]).otherwise(x["t"]))
         return F.struct(c.alias("line"), F.array_join(code, "").alias("code"), F.array_join(text, "").alias("text"))
 
     normal = F.regexp_replace(content, r"\r\n?", "\n")
-    return let(normal, lambda c: let(masked_pieces(c, specs), lambda p: woven(c, p)))
+    return let(normal, lambda c: let(F.transform(masked_pieces(c, specs), blanked), lambda p: woven(c, p)))
 
 
 def code_alone(content: Column, specs: Mapping[str, LangSpec]) -> Column:
@@ -189,9 +191,11 @@ def _line_rows(specs: Mapping[str, LangSpec]) -> Column:
 
 @per_specs
 def _net_columns(specs: Mapping[str, LangSpec]) -> dict[str, Column]:
+    # Most lines are text of comments, whose code is spaces: a cheap test spares them the patterns.
+    bare = F.trim("code") == ""
     return {
-        "net": by_language(specs, lambda s: _net(s, F.col("code"))),
-        "round_net": by_language(specs, lambda s: _round_net(s, F.col("code"))),
+        "net": F.when(bare, 0).otherwise(by_language(specs, lambda s: _net(s, F.col("code")))),
+        "round_net": F.when(bare, 0).otherwise(by_language(specs, lambda s: _round_net(s, F.col("code")))),
     }
 
 
@@ -221,15 +225,15 @@ def with_depth(lines: DataFrame) -> DataFrame:
 @per_specs
 def row_kind(specs: Mapping[str, LangSpec]) -> Column:
     """Blank, Message (comment only), Text (string only), Annotation or Head (code)."""
-    code_blank = ~F.col("code").rlike(rf"[^\s{FILLER}]")
+    code_blank = (F.trim("code") == "") | ~F.col("code").rlike(rf"[^\s{FILLER}]")
+    text_blank = (F.trim("text") == "") | ~F.col("text").rlike(r"\S")
     annotation = let(
         flat_brackets(F.col("code")),
         lambda code: by_language(specs, lambda s: code.rlike(s.annotation) if s.annotation else F.lit(False)),
     )
     return (
         F.when(~F.col("line").rlike(r"\S"), "B")
-        .when(code_blank & ~F.col("text").rlike(r"\S"), "M")
-        .when(code_blank, "T")
+        .when(code_blank, F.when(text_blank, "M").otherwise("T"))
         .when(annotation, "A")
         .otherwise("H")
     )

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from codecatalog.session import ensure_checkpoint_dir
+from codecatalog.session import ensure_checkpoint_dir, new_run_dir
 
 
 def with_dense_order(df: DataFrame, *keys: str, name: str = "ord") -> DataFrame:
@@ -15,8 +15,12 @@ def with_dense_order(df: DataFrame, *keys: str, name: str = "ord") -> DataFrame:
     layout. Only the row count of each partition is then ranked, so the ranked table has one row per
     partition whatever the data, and it is small enough to broadcast.
     """
-    ensure_checkpoint_dir(df.sparkSession)
-    placed = df.orderBy(*keys).withColumn("_id", F.monotonically_increasing_id()).checkpoint()
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    # A sort by ranges computes its input twice, first to find the ranges, so the input is written before.
+    path = new_run_dir(spark, "unordered")
+    df.write.parquet(path)
+    placed = spark.read.schema(df.schema).parquet(path).orderBy(*keys).withColumn("_id", F.monotonically_increasing_id()).checkpoint()
     part, offset = F.shiftright("_id", 33), F.col("_id").bitwiseAND((1 << 33) - 1)
     sizes = placed.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))
     starts = sizes.select(

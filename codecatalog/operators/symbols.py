@@ -76,7 +76,7 @@ def prepared_lines(files: DataFrame, specs: Mapping[str, LangSpec]) -> DataFrame
         F.when(raw_kept, F.col("line"))
         .when(F.col("text") != F.col("code"), F.col("text"))
         .alias("alt"),
-        F.when((F.col("kind0") == "H") & (inline_doc != ""), inline_doc).alias("inline_doc"),
+        F.when((F.col("kind0") == "H") & F.contains("line", F.lit("/*")) & (inline_doc != ""), inline_doc).alias("inline_doc"),
         F.when(
             F.col("kind0") == "H",
             (F.col("round_net") > 0) | tests["may_declare"],

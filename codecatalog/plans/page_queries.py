@@ -103,6 +103,10 @@ HTML_SQL = with_base(
 def _catalog(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     files = kept_files(spark, sf)
     syms = symbols.extract_symbols(files)
+    # Pages and modules both need the symbols: they are extracted once.
+    run = new_run_dir(spark, "symbols")
+    syms.write.parquet(run)
+    syms = spark.read.schema(syms.schema).parquet(run)
     return syms, modules.modules(modules.module_docs(files), syms)
 
 

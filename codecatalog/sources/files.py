@@ -25,7 +25,10 @@ def language_dim(spark: SparkSession, specs: Mapping[str, LangSpec] = SPECS) ->
 def tag_language(files: DataFrame, specs: Mapping[str, LangSpec] = SPECS) -> DataFrame:
     """Keep files with a known suffix and add ``ext`` and ``lang``."""
     dim = F.broadcast(language_dim(files.sparkSession, specs))
-    return files.drop("ext", "lang").withColumn("ext", path_ext(F.col("path"))).join(dim, "ext")
+    ext = path_ext(F.col("path"))
+    # The filter, unlike the join, is moved to before the content is read or made.
+    known = files.where(ext.isin(*[e for s in specs.values() for e in s.extensions]))
+    return known.drop("ext", "lang").withColumn("ext", ext).join(dim, "ext")
 
 
 def exclude_dirs(files: DataFrame, names: Sequence[str] = tuple(fv.DEFAULT_EXCLUDES)) -> DataFrame:

@@ -30,7 +30,18 @@ SINGLE_QUOTED = r"'[^'\\\n]*+(?:\\[\s\S][^'\\\n]*+)*+'?"
 CHAR = r"'(?:[^'\\\n]|\\[^\n][^'\n]*)'"
 BACKTICKS = r"`[^`\\]*+(?:\\[\s\S][^`\\]*+)*+`"
 TEXT_BLOCK = r'"""[\s\S]*?"""'
-SLASH_COMMENTS = r"//[^\n]*|/\*[\s\S]*?\*/"
+SLASH_COMMENTS = r"//[^\n]*|/\*(?>[^*]*)(?:\*(?!/)(?>[^*]*))*+\*/"
+
+
+def starting(chars: str, literals: str) -> str:
+    """Literals that begin with one of ``chars``: at other characters no alternative is tried."""
+    return f"(?=[{chars}])(?:{literals})"
+
+
+def _long_string(quotes: str) -> str:
+    """Up to the first quotes without a backslash before them, or to the end; runs of other characters are taken at once."""
+    end = rf"(?:(?<!\\){quotes}|$)"
+    return rf"{quotes}(?:(?>[^{quotes[0]}\n\r\u0085\u2028\u2029]+)|(?!{end})[\s\S])*+{end}"
 
 
 @dataclass(frozen=True)
@@ -92,9 +103,8 @@ PYTHON = LangSpec(
     name="python",
     extensions=tuple(fv.EXTENSIONS["python"]),
     lexer=lexers.PYTHON,
-    literals=(
-        r'"""[\s\S]*?(?:(?<!\\)"""|$)|' + r"'''[\s\S]*?(?:(?<!\\)'''|$)|"
-        + DOUBLE_QUOTED + "|" + SINGLE_QUOTED + r"|#[^\n]*"
+    literals=starting(
+        "\"'#", _long_string('"""') + "|" + _long_string("'''") + "|" + DOUBLE_QUOTED + "|" + SINGLE_QUOTED + r"|#[^\n]*"
     ),
     comment=r"^#",
     scope="indent",
@@ -122,7 +132,8 @@ TYPESCRIPT = LangSpec(
     name="typescript",
     extensions=tuple(fv.EXTENSIONS["typescript"]),
     lexer=lexers.TYPESCRIPT,
-    literals=(
+    literals=starting(
+        "/\"'`",
         SLASH_COMMENTS + "|" + DOUBLE_QUOTED + "|" + SINGLE_QUOTED + "|" + BACKTICKS
         + r"|(?<=[=(,:;!&|?{}\[]\s?|\b(?:return|typeof|case|in|of|delete|void|throw|new|do|else|yield|await)\s{0,4})/(?![/*\s])(?:[^/\\\n\[]|\\.|\[(?:[^\]\\\n]|\\.)*+\])++/[a-z]*"
     ),
@@ -178,7 +189,7 @@ _JAVA_MODS = (
 JAVA = LangSpec(
     name="java",
     extensions=tuple(fv.EXTENSIONS["java"]),
-    literals=SLASH_COMMENTS + "|" + TEXT_BLOCK + "|" + DOUBLE_QUOTED + "|" + CHAR,
+    literals=starting("/\"'", SLASH_COMMENTS + "|" + TEXT_BLOCK + "|" + DOUBLE_QUOTED + "|" + CHAR),
     comment=r"^/[/*]",
     doc_block=r"^\s*/\*\*",
     package=r"^package\s+([\w.]+)\s*;",
@@ -220,7 +231,7 @@ JAVA = LangSpec(
 GO = LangSpec(
     name="go",
     extensions=tuple(fv.EXTENSIONS["go"]),
-    literals=SLASH_COMMENTS + "|" + DOUBLE_QUOTED + "|" + CHAR + "|`[^`]*`",
+    literals=starting("/\"'`", SLASH_COMMENTS + "|" + DOUBLE_QUOTED + "|" + CHAR + "|`[^`]*`"),
     comment=r"^/[/*]",
     doc_style="line",
     doc_line=r"^//",
@@ -255,7 +266,7 @@ RUST = LangSpec(
     name="rust",
     extensions=tuple(fv.EXTENSIONS["rust"]),
     lexer=lexers.RUST,
-    literals=SLASH_COMMENTS + r'|r#"[\s\S]*?"#|"[^"\\]*+(?:\\[\s\S][^"\\]*+)*+"|' + CHAR,
+    literals=starting("/r\"'", SLASH_COMMENTS + r'|r#"[\s\S]*?"#|"[^"\\]*+(?:\\[\s\S][^"\\]*+)*+"|' + CHAR),
     comment=r"^/[/*]",
     doc_style="line",
     doc_line=r"^\s*///(?!/)",
@@ -294,7 +305,8 @@ CSHARP = LangSpec(
     extensions=tuple(fv.EXTENSIONS["csharp"]),
     directive=r"^[ \t]*#",
     lexer=lexers.CSHARP,
-    literals=(
+    literals=starting(
+        "/\"'$@# \t",
         SLASH_COMMENTS + "|" + TEXT_BLOCK + r'|\$?@\$?"(?:[^"]|"")*+"|' + DOUBLE_QUOTED + "|" + CHAR
         + r"|(?m:^[ \t]*#[^\n]*)"
     ),
@@ -339,7 +351,8 @@ CPP = LangSpec(
     name="cpp",
     extensions=tuple(fv.EXTENSIONS["cpp"]),
     directive=r"^[ \t]*#",
-    literals=(
+    literals=starting(
+        "/R\"'# \t",
         SLASH_COMMENTS + r'|R"([^()\\\s"]{0,16})\([\s\S]*?\)\1"|' + DOUBLE_QUOTED + "|" + CHAR
         + r"|(?m:^[ \t]*#[^\n\\]*+(?:\\[\s\S][^\n\\]*+)*+)"
     ),
@@ -376,7 +389,7 @@ RUBY = LangSpec(
     name="ruby",
     extensions=tuple(fv.EXTENSIONS["ruby"]),
     lexer=lexers.RUBY,
-    literals=DOUBLE_QUOTED + "|" + SINGLE_QUOTED + r"|(?m:^=begin[\s\S]*?^=end)|#[^\n]*",
+    literals=starting("\"'=#", DOUBLE_QUOTED + "|" + SINGLE_QUOTED + r"|(?m:^=begin[\s\S]*?^=end)|#[^\n]*"),
     comment=r"^(?:#|=begin)",
     scope="end",
     doc_style="line",
@@ -402,7 +415,7 @@ KOTLIN = LangSpec(
     name="kotlin",
     extensions=tuple(fv.EXTENSIONS["kotlin"]),
     lexer=lexers.KOTLIN,
-    literals=SLASH_COMMENTS + "|" + TEXT_BLOCK + "|" + DOUBLE_QUOTED + "|" + CHAR,
+    literals=starting("/\"'", SLASH_COMMENTS + "|" + TEXT_BLOCK + "|" + DOUBLE_QUOTED + "|" + CHAR),
     comment=r"^/[/*]",
     doc_block=r"^\s*/\*\*",
     package=r"^package\s+([\w.]+)",
