@@ -15,6 +15,7 @@ two; such windows need no padding.
 from __future__ import annotations
 
 import math
+import struct
 import zlib
 from collections.abc import Iterator
 
@@ -26,7 +27,7 @@ from pyspark.sql import functions as F
 
 from codecatalog.session import new_run_dir
 from llm.batches import Cache, blocks, id_and_text
-from llm.segments import load_tokenizer, segment_ids, special_strings
+from llm.segments import PLAIN, encoded_in_batches, load_tokenizer, plain_ids
 
 TOKEN_SCHEMA = (
     "doc_id long, doc_tokens long, start long, length long, ids_crc32 long, ids binary, "
@@ -43,26 +44,52 @@ def crc_of(ids: np.ndarray) -> int:
     return zlib.crc32(ids.astype("<u4").tobytes())
 
 
+def as_bytes(ids: list[int]) -> bytes:
+    """Little-endian unsigned 32-bit ids."""
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
+class WordIds(Cache):
+    """Ids of single words, packed; a word that isn't there is encoded where it is met first."""
+
+    def __init__(self, tokenizer):
+        super().__init__()
+        self.tokenizer, self.parts = tokenizer, Cache()
+
+    def __missing__(self, word: str) -> bytes:
+        if (plain := PLAIN.fullmatch(word)) is None:
+            packed = as_bytes(next(encoded_in_batches(self.tokenizer, [word])))
+        else:
+            # Letters and punctuation come with other partners too, so the ids of each are made once.
+            letters, tail = plain.groups()
+            packed = self.part(letters.lower()) + (self.part(tail) if tail else b"")
+        self[word] = packed
+        return packed
+
+    def part(self, text: str) -> bytes:
+        packed = self.parts.get(text)
+        if packed is None:
+            packed = self.parts[text] = as_bytes(plain_ids(self.tokenizer, text))
+        return packed
+
+
 class WordEncoder:
     """Ids of whole texts for a tokenizer that drops white space: those of the words between it, in order."""
 
     def __init__(self, path: str):
         self.tokenizer = load_tokenizer(path)
-        self.known, self.memo = Cache(), Cache()
+        self.known = WordIds(self.tokenizer)
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
         self.known.room()
-        self.memo.room()
-        # str.split() also cuts at the four separators 28 to 31, which tokenizers don't count as white space.
-        words = [
-            text.split() if not any(mark in text for mark in "\x1c\x1d\x1e\x1f") else [text] for text in texts
-        ]
-        missing = [word for word in set().union(*words) if word not in self.known]
-        for word, ids in zip(missing, segment_ids(self.tokenizer, missing, self.memo, lower=True)):
-            self.known[word] = np.asarray(ids, "<u4").tobytes()
-        get = self.known.__getitem__
-        return [b"".join(map(get, own)) for own in words]
+        self.known.parts.room()
+        get, out = self.known.__getitem__, []
+        for text in texts:
+            # str.split() also cuts at the four separators 28 to 31, which tokenizers don't count as white space.
+            words = text.split() if not any(mark in text for mark in "\x1c\x1d\x1e\x1f") else [text]
+            out.append(b"".join(map(get, words)))
+        return out
 
 
 def tokenized(docs: DataFrame, tokenizer_path: str, end_id: int, window: int) -> DataFrame:
@@ -72,6 +99,7 @@ def tokenized(docs: DataFrame, tokenizer_path: str, end_id: int, window: int) ->
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, end = WordEncoder(tokenizer_path), np.asarray([end_id], "<u4").tobytes()
         seen = np.zeros(encoder.tokenizer.get_vocab_size() + 1, np.int64)
+        place = np.zeros(len(seen), np.int64)
         names = ["doc_id", "doc_tokens", "start", "length", "ids_crc32", "ids", "terms", "counts"]
         types = [pa.int64()] * 5 + [pa.binary(), pa.list_(pa.int32()), pa.list_(pa.int64())]
 
@@ -85,7 +113,9 @@ def tokenized(docs: DataFrame, tokenizer_path: str, end_id: int, window: int) ->
                 for doc_id, packed in zip(block.column("doc_id").to_pylist(), encoder(block.column("text").to_pylist())):
                     packed += end
                     ids = np.frombuffer(packed, "<u4")
-                    seen[np.unique(ids)] += 1
+                    at = np.arange(len(ids))
+                    place[ids] = at
+                    seen[ids[place[ids] == at]] += 1  # each id where it comes last
                     for start in range(0, len(ids) - window + 1, window):
                         crc = zlib.crc32(packed[4 * start : 4 * (start + window)])
                         out.append((doc_id, len(ids), start, window, crc, None, None, None))
@@ -205,16 +235,21 @@ def pack(
     shared = spark.sparkContext.broadcast(idf)
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The heaviest term of each rest; a whole window goes with its place in the document."""
+        """The heaviest term of each rest, the smallest of equals; a whole window goes with its place in the document."""
         weights = shared.value
+        counts = np.zeros(len(weights), np.int64)
         for batch in batches:
             heaviest = []
             for ids, start in zip(batch.column("ids").to_pylist(), batch.column("start").to_pylist()):
                 if ids is None:
                     heaviest.append(start % len(weights))
                     continue
-                terms, counts = np.unique(np.frombuffer(ids, "<u4"), return_counts=True)
-                heaviest.append(int(terms[np.argmax(weights[terms] * counts / (counts + K1))]))
+                terms = np.frombuffer(ids, "<u4")
+                np.add.at(counts, terms, 1)
+                own = counts[terms]
+                found = weights[terms] * own / (own + K1)
+                heaviest.append(int(terms[found == found.max()].min()))
+                counts[terms] = 0
             yield batch.append_column("route", pa.array(heaviest, pa.int64()))
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

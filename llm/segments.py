@@ -11,7 +11,7 @@ ENCODE_BYTES = 1 << 20
 
 #: Latin letters, then ASCII punctuation but the apostrophe: for byte-level tokenizers these are exactly two
 #: words, whatever their splitting pattern does with numbers, contractions or white space.
-_PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-įĲ-ɏ]+)([!-&(-/:-@\[-`{-~]*)")
+PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-įĲ-ɏ]+)([!-&(-/:-@\[-`{-~]*)")
 
 
 @lru_cache(maxsize=2)
@@ -56,6 +56,12 @@ def encoded_in_batches(tokenizer, segments: list[str], limit: int = ENCODE_BYTES
             start, held = at + 1, 0
 
 
+def plain_ids(tokenizer, text: str, lead: str = "") -> list[int]:
+    """Token ids of the letters or the punctuation of a plain word, straight from the merge model."""
+    shown = text if text.isascii() else text.encode().decode("latin-1").translate(VISIBLE)
+    return [token.id for token in tokenizer.model.tokenize(lead + shown)]
+
+
 def segment_ids(
     tokenizer, segments: list[str], memo: dict[str, list[int]], prefix: str = "", lower: bool = False
 ) -> Iterator[list[int]]:
@@ -64,7 +70,7 @@ def segment_ids(
     Plain words skip the pre-tokenizer, whose outcome is known for them, and go to the tokenizer's merge model;
     ``memo`` keeps their ids.
     """
-    merge, match_plain = tokenizer.model.tokenize, _PLAIN.fullmatch
+    merge, match_plain = tokenizer.model.tokenize, PLAIN.fullmatch
     lead = "".join(VISIBLE[b] for b in prefix.encode())
     plain = [match_plain(segment) for segment in segments]
     others = encoded_in_batches(

@@ -119,6 +119,19 @@ def test_safe_boundaries(name, make):
         assert got == [len(ids) for ids in expected]
 
 
+def test_parts_of_words_are_encoded_once():
+    """Letters in any case and punctuation that come with several partners go to the merge model once."""
+    calls, ids = [], packing.plain_ids
+    encoder = packing.WordEncoder(public_tokenizers.path("word_bpe_49k.json"))
+    texts = ["Quorum quorum, quorum. QUORUM, other, other. 12 Émile émile,", "", "quorum. 12 a\x1cb"]
+    expected = [e.ids for e in encoder.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(packing, "plain_ids", lambda tokenizer, text: calls.append(text) or ids(tokenizer, text))
+        got = encoder(texts)
+    assert [np.frombuffer(packed, "<u4").tolist() for packed in got] == expected
+    assert sorted(calls) == sorted({"quorum", "other", "émile", ",", "."})
+
+
 # 4 suffix dedup
 
 
