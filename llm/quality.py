@@ -30,6 +30,8 @@ from llm.tables import written
 SIZE, NONZERO = 64, 4
 #: Bytes of text whose context vectors a task adds up before it passes them on, and of text that is joined at a time.
 SUM_BYTES, JOIN_BYTES = 16 << 20, 32 << 20
+#: Terms whose neighbours are added up at a time, and rows of sums in a batch.
+SUM_TERMS, SUM_ROWS = 1 << 16, 1 << 14
 #: Terms on either side that count as neighbours.
 REACH = 2
 HIDDEN, EPOCHS, RATE = 24, 60, 0.01
@@ -41,6 +43,15 @@ _UPPER, _LOWER, _DIGIT = re.compile(r"[^\W\d_a-zß-öø-ÿ]+"), re.compile(r"[a-
 
 def shape_of(word: str) -> str:
     """Runs of capitals, small letters and digits as one sign each; other signs stay, runs of one of them as two."""
+    core = word.rstrip(".,;:!?")
+    if core.isascii() and core.isalpha() and len(word) - len(core) < 3:  # most words
+        tail = word[len(core) :]
+        if core.islower():
+            return "a" + tail
+        if core.isupper():
+            return "A" + tail
+        if core[0].isupper() and core[1:].islower():
+            return "Aa" + tail
     signs = _DIGIT.sub("0", _LOWER.sub("a", _UPPER.sub("A", word)))
     return re.sub(r"(.)\1+", r"\1\1", signs)
 
@@ -49,12 +60,13 @@ class Keys:
     """Keys of the terms of a text: a row of those of its words in small letters, and a row of those of their shapes."""
 
     def __init__(self) -> None:
-        self.known, self.shapes = Cache(), Cache()
+        self.known, self.shapes, self.of_shapes = Cache(250_000), Cache(250_000), {}
 
     def room(self) -> None:
         if len(self.known) > self.known.limit:
             self.known.clear()
             self.shapes.clear()
+            self.of_shapes.clear()
 
     def __call__(self, text: str) -> np.ndarray:
         return self.of_words(text.split())
@@ -62,7 +74,10 @@ class Keys:
     def of_words(self, words: list[str] | set[str]) -> np.ndarray:
         known, shapes = self.known, self.shapes
         for word in [word for word in set(words) if word not in known]:
-            known[word], shapes[word] = self.key("w" + word.lower().strip(".,;:!?")), self.key("s" + shape_of(word))
+            shape = shape_of(word)
+            if (key := self.of_shapes.get(shape)) is None:
+                key = self.of_shapes[shape] = self.key("s" + shape)
+            known[word], shapes[word] = self.key("w" + word.lower().strip(".,;:!?")), key
         return np.array([np.fromiter(map(part.__getitem__, words), np.int64, len(words)) for part in (known, shapes)])
 
     @staticmethod
@@ -115,17 +130,37 @@ def decode(values: list[bytes], kind: type = np.int64) -> np.ndarray:
 
 def context_sums(runs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """The different keys of some runs of terms, and the sums of their neighbours' index vectors."""
-    known, at = np.unique(np.concatenate(runs), return_inverse=True)
-    owner = np.repeat(np.arange(len(runs), dtype=np.int32), [len(run) for run in runs])
+    known, found = np.unique(np.concatenate(runs), return_inverse=True)
     places, signs = index_vectors(known)
-    table = np.zeros(len(known) * SIZE, np.int64)
-    for step in range(1, REACH + 1):
-        same = owner[step:] == owner[:-step]
-        left, right = at[:-step][same], at[step:][same]
-        for one, other in ((left, right), (right, left)):
-            for i in range(NONZERO):
-                np.add.at(table, one * SIZE + places[other, i], signs[other, i])
-    return known, table.reshape(-1, SIZE)
+    # Places without a term, whose vector is zero, part the runs.
+    index = np.zeros((len(known) + 1, SIZE), np.int8)
+    np.put_along_axis(index[:-1], places, signs, axis=1)
+    lengths = np.array([len(run) for run in runs])
+    at = np.full(len(found) + REACH * (len(runs) + 1), len(known), np.int32)
+    at[np.arange(len(found)) + REACH * (1 + np.repeat(np.arange(len(runs)), lengths))] = found
+    table = np.zeros((len(known) + 1, SIZE), np.int32)
+    for start in range(REACH, len(at) - REACH, SUM_TERMS):
+        end = min(start + SUM_TERMS, len(at) - REACH)
+        near = index.take(at[start - REACH : end + REACH], axis=0)
+        sums = np.zeros((end - start, SIZE), np.int8)  # at most 2 * REACH of either sign
+        for step in range(2 * REACH + 1):
+            if step != REACH:
+                sums += near[step : step + end - start]
+        own = at[start:end]
+        order = np.argsort(own, kind="stable")
+        own = own[order]
+        first = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
+        table[own[first]] += np.add.reduceat(sums.take(order, axis=0), first, axis=0, dtype=np.int32)
+    return known, table[:-1]
+
+
+def merged(one: tuple[np.ndarray, np.ndarray], other: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The sums of two tables of ``context_sums``, by key."""
+    known = np.union1d(one[0], other[0])
+    table = np.zeros((len(known), SIZE), np.int32)
+    for keys, rows in (one, other):
+        table[np.searchsorted(known, keys)] += rows
+    return known, table
 
 
 VECTORS = "key long, vector binary"
@@ -136,24 +171,26 @@ def context_vectors(docs: DataFrame) -> DataFrame:
     doesn't matter. Tasks add up what they can hold; sums of one term meet in one exchange."""
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, runs, held = Keys(), [], 0
+        keys, found, held = Keys(), None, 0
 
-        def sums() -> pa.RecordBatch:
-            known, table = context_sums(runs)
-            runs.clear()
-            return pa.RecordBatch.from_arrays([pa.array(known), encode(table)], names=["key", "vector"])
+        def sums() -> Iterator[pa.RecordBatch]:
+            known, table = found
+            for at in range(0, len(known), SUM_ROWS):
+                part = slice(at, at + SUM_ROWS)
+                yield pa.RecordBatch.from_arrays([pa.array(known[part]), encode(table[part])], names=["key", "vector"])
 
         for batch in batches:
             for block in blocks(batch):
                 keys.room()
-                for text in block.column("text").to_pylist():
-                    runs.extend(keys(text))
-                    held += len(text)
+                texts = block.column("text").to_pylist()
+                more = context_sums([run for text in texts for run in keys(text)])
+                found = merged(found, more) if found else more
+                held += sum(map(len, texts))
                 if held >= SUM_BYTES:
-                    yield sums()
-                    held = 0
-        if runs:
-            yield sums()
+                    yield from sums()
+                    found, held = None, 0
+        if found:
+            yield from sums()
 
     def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows come by key; the sum of a batch's last key waits for the next batch."""
@@ -228,16 +265,18 @@ def with_pooled(docs: DataFrame, vectors: DataFrame, schema: T.StructType | str,
 
     def pool(rows: pa.Table, answers: pa.Table) -> pa.Table:
         known, order = answers["key"].to_numpy(), np.argsort(answers["key"].to_numpy(), kind="stable")
-        known, values = known[order], answers["vector"].take(pa.array(order)).to_pylist()
-        table = decode(values, np.float32)
-        table /= np.maximum(np.linalg.norm(table, axis=1, keepdims=True), 1e-9)
+        known, values = known[order], answers["vector"].take(pa.array(order)).combine_chunks()
         keys, out = Keys(), []
         for batch in rows.to_batches():
             batch = pa.RecordBatch.from_arrays([batch.column("row"), texts_of(batch)], names=["row", "text"])
             for part in blocks(batch):
                 keys.room()
-                pooled_rows = np.array([pooled_by_key(keys(text), known, table) for text in part.column("text").to_pylist()])
-                out.append(output(part.column("row"), pooled_rows))
+                terms = [keys(text) for text in part.column("text").to_pylist()]
+                # Only the vectors that these texts need are unpacked.
+                own = known[np.isin(known, np.concatenate([np.unique(t) for t in terms]))]
+                table = decode(values.take(pa.array(np.searchsorted(known, own))).to_pylist(), np.float32)
+                table /= np.maximum(np.linalg.norm(table, axis=1, keepdims=True), 1e-9)
+                out.append(output(part.column("row"), np.array([pooled_by_key(t, own, table) for t in terms])))
         return pa.Table.from_batches(out)
 
     # A task that holds much text asks twice; answers to both requests are the same.

@@ -3,6 +3,7 @@
 import gzip
 import hashlib
 import re
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
@@ -416,6 +417,33 @@ def test_vectors_are_encoded_whole():
     assert (quality.decode(packed) == rows).all() and quality.decode([]).shape == (0, quality.SIZE)
 
 
+def test_sums_take_bounded_memory():
+    """Sums of three million terms, most of them different, are made in parts and small whole numbers."""
+    rng = np.random.default_rng(2)
+    runs = [rng.integers(0, 200_000, n) * 0x9E3779B97F4A7 for n in [0, 1, 2, 3, 70_000] + [100_000] * 29]
+    tracemalloc.start()
+    known, table = quality.context_sums(runs)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 200 << 20
+    for key in (*known[:3], runs[1][0], *runs[2], *runs[3], runs[4][65_535], runs[4][-1]):
+        expected = np.zeros(quality.SIZE, np.int64)
+        for run in runs:
+            for at in np.flatnonzero(run == key):
+                near = np.array([run[n] for n in range(at - 2, at + 3) if n != at and 0 <= n < len(run)], np.int64)
+                places, signs = quality.index_vectors(near)
+                np.add.at(expected, places, signs)
+        assert (table[np.searchsorted(known, key)] == expected).all()
+
+
+def test_shapes_of_plain_words_are_those_of_the_patterns():
+    signs = ["a", "B", "7", ".", "!", "é", "Ä", "ª", "-", "x", "Q", ","]
+    rng = np.random.default_rng(4)
+    for word in {"".join(rng.choice(signs, rng.integers(0, 7))) for _ in range(4000)}:
+        by_patterns = quality._DIGIT.sub("0", quality._LOWER.sub("a", quality._UPPER.sub("A", word)))
+        assert quality.shape_of(word) == re.sub(r"(.)\1+", r"\1\1", by_patterns)
+
+
 def test_temperature_is_calibrated():
     rng = np.random.default_rng(1)
     x = rng.normal(size=(4000, 4 * quality.SIZE + 1))
