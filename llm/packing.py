@@ -14,20 +14,22 @@ two; such windows need no padding.
 
 from __future__ import annotations
 
-import math
-import struct
+import json
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from codecatalog.session import new_run_dir
 from llm.batches import Cache, blocks, id_and_text
-from llm.segments import PLAIN, encoded_in_batches, load_tokenizer, plain_ids
+from llm.segments import LETTERS, MARKS, VISIBLE, encoded_in_batches, load_tokenizer, plain_ids
 
 TOKEN_SCHEMA = (
     "doc_id long, doc_tokens long, start long, length long, ids_crc32 long, ids binary, "
@@ -38,58 +40,249 @@ PIECE_SCHEMA = (
     "sequence_tokens long"
 )
 K1, B = 1.2, 0.75
+#: Bytes of text that are encoded together.
+ENCODE_BYTES = 8 << 20
 
 
 def crc_of(ids: np.ndarray) -> int:
     return zlib.crc32(ids.astype("<u4").tobytes())
 
 
-def as_bytes(ids: list[int]) -> bytes:
-    """Little-endian unsigned 32-bit ids."""
-    return struct.pack(f"<{len(ids)}I", *ids)
+def gathered(flat: np.ndarray, first: np.ndarray, size: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The runs ``flat[first : first + size]`` of the numbers ``at``, one behind the other."""
+    size, first = size[at], first[at]
+    shift = first - (np.cumsum(size) - size)
+    place = np.repeat(shift, size)
+    place += np.arange(len(place))
+    return flat[place]
 
 
-class WordIds(Cache):
-    """Ids of single words, packed; a word that isn't there is encoded where it is met first."""
+def runs(ids: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    """Lists of ids behind one another, and the length of each."""
+    size = np.fromiter(map(len, ids), np.int64, len(ids))
+    return np.fromiter(chain.from_iterable(ids), np.uint32, int(size.sum())), size
+
+
+class Merges:
+    """The merges of a byte-level BPE model, applied to many words at a time.
+
+    A word is a row of symbols. In each step every row merges the leftmost of its pairs of the lowest rank; places are
+    linked, so that a merge looks up two new pairs and moves nothing.
+    """
+
+    NONE = np.iinfo(np.int32).max
+    ROWS = 8192
 
     def __init__(self, tokenizer):
-        super().__init__()
-        self.tokenizer, self.parts = tokenizer, Cache()
-
-    def __missing__(self, word: str) -> bytes:
-        if (plain := PLAIN.fullmatch(word)) is None:
-            packed = as_bytes(next(encoded_in_batches(self.tokenizer, [word])))
-        else:
-            # Letters and punctuation come with other partners too, so the ids of each are made once.
-            letters, tail = plain.groups()
-            packed = self.part(letters.lower()) + (self.part(tail) if tail else b"")
-        self[word] = packed
-        return packed
-
-    def part(self, text: str) -> bytes:
-        packed = self.parts.get(text)
-        if packed is None:
-            packed = self.parts[text] = as_bytes(plain_ids(self.tokenizer, text))
-        return packed
+        model = json.loads(tokenizer.to_str())["model"]
+        vocab, suffix = model["vocab"], model.get("end_of_word_suffix") or ""
+        shown = [VISIBLE[byte] for byte in range(256)]
+        pairs = [pair if isinstance(pair, list) else pair.split(" ") for pair in model.get("merges", [])]
+        #: Models with other rules, or without a symbol for each byte, are left to the library.
+        self.usable = (
+            model["type"] == "BPE"
+            and not any(model.get(rule) for rule in ("dropout", "continuing_subword_prefix", "byte_fallback", "ignore_merges"))
+            and all(c in vocab and c + suffix in vocab for c in shown)
+        )
+        if not self.usable:
+            return
+        self.inner = np.array([vocab[c] for c in shown], np.int32)
+        self.last = np.array([vocab[c + suffix] for c in shown], np.int32)
+        self.made = np.array([vocab[a + b] for a, b in pairs] + [-1], np.int32)
+        self.width = max(vocab.values()) + 1
+        keys = np.array([vocab[a] * self.width + vocab[b] for a, b in pairs], np.int64)
+        order = np.argsort(keys)
+        self.keys, self.ranks = keys[order], order.astype(np.int32)
+        # The pairs of a left symbol stand together; few symbols begin many.
+        self.bits = max(len(pairs), 1).bit_length() + 4
+        self.slots = np.full(1 << self.bits, self.NONE, np.int32)
+        self.tag = np.full(1 << self.bits, -1, np.int64)
+        place = self._slot(self.keys)
+        self.slots[place], self.tag[place] = self.ranks, self.keys
+        lost = self.tag[place] != self.keys  # met another pair in their slot
+        self.shared = np.zeros(1 << self.bits, bool)
+        self.shared[place[lost]] = True
+        self.keys, self.ranks = np.append(self.keys[lost], np.iinfo(np.int64).max), np.append(self.ranks[lost], self.NONE)
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        mixed = keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        return (mixed >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def _rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Ranks of pairs, ``NONE`` where there is no merge; a symbol below 0 has none."""
+        keys = left.astype(np.int64) * self.width + right
+        keys[(left < 0) | (right < 0)] = -2
+        place = self._slot(keys)
+        out = np.where(self.tag[place] == keys, self.slots[place], self.NONE)
+        if len(other := np.flatnonzero(self.shared[place] & (out == self.NONE))):
+            at = np.searchsorted(self.keys, keys[other])
+            out[other] = np.where(self.keys[at] == keys[other], self.ranks[at], self.NONE)
+        return out
+
+    def __call__(self, data: np.ndarray, begin: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the words ``data[begin : begin + size]`` behind one another, and the number of each."""
+        order = np.argsort(size, kind="stable")
+        ids, numbers = [np.empty(0, np.int32)], [np.empty(0, np.int64)]
+        for low in range(0, len(order), self.ROWS):
+            some = order[low : low + self.ROWS]
+            symbols = self._merged(data, begin[some], size[some])
+            held = symbols >= 0
+            ids.append(symbols[held])
+            numbers.append(held.sum(1))
+        ids, number = np.concatenate(ids), np.empty(len(size), np.int64)
+        sorted_number = np.concatenate(numbers)
+        number[order] = sorted_number
+        first = np.empty(len(size), np.int64)
+        first[order] = np.cumsum(sorted_number) - sorted_number
+        return gathered(ids, first, number, np.arange(len(size))).astype(np.uint32), number
+
+    def _merged(self, data: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """Symbols of words in rows; -1 stands where none is left."""
+        n, longest = len(size), int(size.max(initial=0))
+        columns, rows = np.arange(longest), np.arange(n)
+        # One column more, which holds no symbol, stands for the places behind the end and before the start.
+        symbols = np.full((n, longest + 1), -1, np.int32)
+        inside = columns < size[:, None]
+        symbols[:, :longest][inside] = self.inner[data[(begin[:, None] + columns)[inside]]]
+        full = np.flatnonzero(size)
+        symbols[full, size[full] - 1] = self.last[data[begin[full] + size[full] - 1]]
+        if longest < 2:
+            return symbols
+        ranks = self._rank(symbols[:, :-1].ravel(), symbols[:, 1:].ravel()).reshape(n, longest)
+        after = np.broadcast_to(np.arange(1, longest + 2, dtype=np.int32), (n, longest + 1)).copy()
+        after[:, longest] = longest
+        prior = np.broadcast_to(np.arange(-1, longest, dtype=np.int32), (n, longest + 1)).copy()
+        prior[:, 0] = longest
+        out = symbols.copy()
+        while n:
+            best = ranks.argmin(1)
+            at = np.arange(n)
+            rank = ranks[at, best]
+            on = rank < self.NONE
+            if (left := int(on.sum())) < n:
+                out[rows[~on]] = symbols[~on]
+                if not left:
+                    break
+                symbols, ranks, after, prior, rows, best, rank = (v[on] for v in (symbols, ranks, after, prior, rows, best, rank))
+                n, at = left, np.arange(left)
+            gone = after[at, best]
+            behind, ahead = after[at, gone], prior[at, best]
+            made = self.made[rank]
+            symbols[at, best], symbols[at, gone] = made, -1
+            after[at, best], prior[at, behind] = behind, best
+            prior[:, longest] = longest
+            ranks[at, np.minimum(gone, longest - 1)] = self.NONE
+            ranks[at, best] = self._rank(made, symbols[at, behind])
+            some = np.flatnonzero(ahead < longest)
+            ranks[some, ahead[some]] = self._rank(symbols[some, ahead[some]], made[some])
+        return out
+
+
+@lru_cache(maxsize=2)
+def load_merges(path: str) -> Merges:
+    """The merges of a tokenizer file, once per Python worker."""
+    return Merges(load_tokenizer(path))
 
 
 class WordEncoder:
-    """Ids of whole texts for a tokenizer that drops white space: those of the words between it, in order."""
+    """Ids of whole texts for a tokenizer that drops white space: those of the words between it, in order.
+
+    The different words of a block, and the letters and punctuation that they are made of, are each encoded once; what a
+    text holds is then gathered by numbers.
+    """
+
+    #: Parts in a block from which merging them together costs less than a call for each, and bytes of one so merged.
+    TOGETHER, LONG = 64, 64
+    #: Parts that are kept for later blocks, packed; beyond them those of the last block stay.
+    KNOWN = 1 << 20
 
     def __init__(self, path: str):
-        self.tokenizer = load_tokenizer(path)
-        self.known = WordIds(self.tokenizer)
+        self.path, self.tokenizer = path, load_tokenizer(path)
+        self.others = Cache()
+        self.known = pa.array([], pa.string()), np.empty(0, np.uint32), np.empty(0, np.int64)
 
-    def __call__(self, texts: list[str]) -> list[bytes]:
+    def __call__(self, texts: pa.Array | list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
-        self.known.room()
-        self.known.parts.room()
-        get, out = self.known.__getitem__, []
-        for text in texts:
-            # str.split() also cuts at the four separators 28 to 31, which tokenizers don't count as white space.
-            words = text.split() if not any(mark in text for mark in "\x1c\x1d\x1e\x1f") else [text]
-            out.append(b"".join(map(get, words)))
-        return out
+        ids, ends = self.encoded(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string()))
+        packed = ids.astype("<u4").tobytes()
+        return [packed[4 * a : 4 * b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist())]
+
+    def encoded(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts behind one another, and where each begins and the last ends."""
+        # A split also cuts at the four separators 28 to 31, which tokenizers don't count as white space.
+        marked = pc.match_substring_regex(texts, "[\x1c-\x1f]")
+        words = pc.utf8_split_whitespace(pc.if_else(marked, "", texts))
+        held = words.flatten().dictionary_encode()
+        ids, size = self._words(held.dictionary)
+        number = held.indices.to_numpy()
+        places = np.concatenate(([0], np.cumsum(size[number])))
+        offsets = words.offsets.to_numpy()
+        ends = places[offsets - offsets[0]]
+        ids = gathered(ids, np.cumsum(size) - size, size, number)
+        at = np.flatnonzero(marked.to_numpy(zero_copy_only=False))
+        if len(at):
+            whole, lengths = runs([*encoded_in_batches(self.tokenizer, texts.take(pa.array(at)).to_pylist())])
+            size, first = np.diff(ends), ends[:-1].copy()
+            size[at], first[at] = lengths, len(ids) + np.cumsum(lengths) - lengths
+            ids = gathered(np.concatenate((ids, whole)), first, size, np.arange(len(size)))
+            ends = np.concatenate(([0], np.cumsum(size)))
+        return ids, ends
+
+    def _words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of different words behind one another, and the number of each."""
+        found = pc.extract_regex(words, rf"\A(?P<letters>{LETTERS})(?P<tail>{MARKS})\z")
+        plain = found.is_valid().to_numpy(zero_copy_only=False)
+        letters, tails = (pc.struct_field(found, name).filter(pa.array(plain)) for name in ("letters", "tail"))
+        # Letters and punctuation come with other partners too; an empty part has no ids.
+        parts = pa.concat_arrays([pc.utf8_lower(letters), tails]).dictionary_encode()
+        ids, size = self._kept_parts(parts.dictionary)
+        at, n = parts.indices.to_numpy(), len(letters)
+        others = words.filter(pa.array(~plain)).to_pylist()
+        self.others.room()
+        missing = [word for word in others if word not in self.others]
+        self.others.update(zip(missing, encoded_in_batches(self.tokenizer, missing)))
+        more, lengths = runs([self.others[word] for word in others])
+        # Each word is two pieces; the second of one that isn't plain is empty.
+        pieces = np.full((len(words), 2), len(size) + len(others), np.int64)
+        pieces[plain, 0], pieces[plain, 1] = at[:n], at[n:]
+        pieces[~plain, 0] = len(size) + np.arange(len(others))
+        size = np.concatenate((size, lengths, [0]))
+        flat = gathered(np.concatenate((ids, more)), np.cumsum(size) - size, size, pieces.ravel())
+        return flat, size[pieces].sum(1)
+
+    def _kept_parts(self, parts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """As ``_parts``, which sees only those that earlier blocks didn't have."""
+        known, ids, size = self.known
+        at = pc.index_in(parts, value_set=known)
+        new = parts.filter(at.is_null())
+        more, lengths = self._parts(new)
+        ids, size = np.concatenate((ids, more)), np.concatenate((size, lengths))
+        place = at.fill_null(-1).to_numpy().astype(np.int64)
+        place[place < 0] = len(known) + np.arange(len(new))
+        flat, number = gathered(ids, np.cumsum(size) - size, size, place), size[place]
+        fits = len(known) + len(new) <= self.KNOWN
+        self.known = (pa.concat_arrays([known, new]), ids, size) if fits else (parts, flat, number)
+        return flat, number
+
+    def _parts(self, parts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of different parts behind one another, and the number of each."""
+        size = pc.binary_length(parts).to_numpy().astype(np.int64)
+        merges = load_merges(self.path) if (size > 0).sum() >= self.TOGETHER else None
+        together = size <= self.LONG if merges is not None and merges.usable else np.zeros(len(size), bool)
+        together &= size > 0
+        alone = np.flatnonzero(~together)
+        single = parts.take(pa.array(alone)).to_pylist()
+        some, lengths = runs([plain_ids(self.tokenizer, text) if text else [] for text in single])
+        if not together.any():
+            return some, lengths
+        begin = np.frombuffer(parts.buffers()[1], np.int32)[parts.offset :][: len(parts)].astype(np.int64)
+        at = np.flatnonzero(together)
+        ids, numbers = merges(np.frombuffer(parts.buffers()[2], np.uint8), begin[at], size[at])
+        number = np.empty(len(size), np.int64)
+        number[at], number[alone] = numbers, lengths
+        first = np.empty(len(size), np.int64)
+        first[at], first[alone] = np.cumsum(numbers) - numbers, len(ids) + np.cumsum(lengths) - lengths
+        return gathered(np.concatenate((ids, some)), first, number, np.arange(len(size))), number
 
 
 def tokenized(docs: DataFrame, tokenizer_path: str, end_id: int, window: int) -> DataFrame:
@@ -108,9 +301,9 @@ def tokenized(docs: DataFrame, tokenizer_path: str, end_id: int, window: int) ->
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=names)
 
         for batch in batches:
-            for block in blocks(batch):
+            for block in blocks(batch, limit=ENCODE_BYTES):
                 out = []
-                for doc_id, packed in zip(block.column("doc_id").to_pylist(), encoder(block.column("text").to_pylist())):
+                for doc_id, packed in zip(block.column("doc_id").to_pylist(), encoder(block.column("text"))):
                     packed += end
                     ids = np.frombuffer(packed, "<u4")
                     at = np.arange(len(ids))

@@ -11,7 +11,8 @@ ENCODE_BYTES = 1 << 20
 
 #: Latin letters, then ASCII punctuation but the apostrophe: for byte-level tokenizers these are exactly two
 #: words, whatever their splitting pattern does with numbers, contractions or white space.
-PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-įĲ-ɏ]+)([!-&(-/:-@\[-`{-~]*)")
+LETTERS, MARKS = r"[A-Za-zÀ-ÖØ-öø-įĲ-ɏ]+", r"[!-&(-/:-@\[-`{-~]*"
+PLAIN = re.compile(f"({LETTERS})({MARKS})")
 
 
 @lru_cache(maxsize=2)

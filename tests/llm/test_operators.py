@@ -133,6 +133,25 @@ def test_parts_of_words_are_encoded_once():
     assert sorted(calls) == sorted({"quorum", "other", "émile", ",", "."})
 
 
+def test_many_parts_of_words_are_merged_together():
+    """Different words of a block don't cost a call of the merge model each; ids and cached parts stay right."""
+    calls, ids = [], packing.plain_ids
+    encoder = packing.WordEncoder(public_tokenizers.path("word_bpe_49k.json"))
+    rng, letters = np.random.default_rng(5), [*"abcdefghijklmnopqrstuvwxyzABCXYZéÈñßöÿŁſǅɏ"]
+    words = ["".join(rng.choice(letters, rng.integers(1, 14))) + "".join(rng.choice([*"!,.;-$%"], rng.integers(0, 4))) for _ in range(6000)]
+    words += ["aaaa" * 15, "inin" * 16, "thththth" * 40, "12a", "don't", "日本", "!!"]
+    texts = [" ".join(rng.choice(words, rng.integers(0, 60))) + rng.choice(["", " ", "\n", "\x1cab"]) for _ in range(600)] + ["", " ", *words[-7:]]
+    expected = [e.ids for e in encoder.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(packing, "plain_ids", lambda tokenizer, text: calls.append(text) or ids(tokenizer, text))
+        got = encoder(texts[:300]) + encoder(texts[300:])
+        patch.setattr(packing.WordEncoder, "KNOWN", 10)
+        again = encoder(texts[:300]) + encoder(texts[300:])
+    assert [np.frombuffer(packed, "<u4").tolist() for packed in got] == expected
+    assert again == got
+    assert {*calls} <= {"inin" * 16, "thththth" * 40} | {c for c in calls if len(c.encode()) > 64}
+
+
 # 4 suffix dedup
 
 
