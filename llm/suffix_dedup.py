@@ -19,6 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -31,8 +32,8 @@ from llm.tables import written
 LENGTH, ANCHOR = 100, 20
 #: Bytes of one suffix array, and spans of one anchor that go into it.
 ARRAY_BYTES, HOT = 3 << 19, 8192
-#: Bytes of text whose windows are hashed together; places in it must fit 24 bits.
-HASH_BYTES = 1 << 20
+#: Bytes of text whose windows are hashed together, few enough for a processor's cache; places in it must fit 24 bits.
+HASH_BYTES = 1 << 17
 
 #: A document: its id or 0, whether that is null, and the hash of its text.
 KEY = ["id", "no_id", "hash"]
@@ -98,13 +99,17 @@ def _spans(rows: DataFrame, length: int, anchor: int) -> DataFrame:
             if not parts:
                 continue
             anchors, spans, ids, no_ids, hashes, start, windows = (np.concatenate(c) for c in zip(*parts))
-            order = np.lexsort((start, hashes, ids, no_ids, spans, anchors))
+            # Most anchors have one span here, which needs no place among others.
+            order = np.argsort(anchors)
+            tied = anchors[order][1:] == anchors[order][:-1]
+            some = order[np.concatenate((tied, [False])) | np.concatenate(([False], tied))]
+            order = some[np.lexsort((start[some], hashes[some], ids[some], no_ids[some], spans[some], anchors[some]))]
             again = (anchors[order][1:] == anchors[order][:-1]) & (spans[order][1:] == spans[order][:-1])
             same = again & (ids[order][1:] == ids[order][:-1]) & (hashes[order][1:] == hashes[order][:-1])
             same &= (no_ids[order][1:] == no_ids[order][:-1]) & (start[order][1:] == start[order][:-1])
-            done = np.zeros(len(order), bool)
+            done = np.zeros(len(anchors), bool)
             done[order[1:]] = again
-            kept = np.ones(len(order), bool)
+            kept = np.ones(len(anchors), bool)
             kept[order[1:]] = ~same  # repeated rows
             anchors = np.where(done, hashes ^ (start * 0x9E3779B1), anchors)
             columns = [anchors, spans, ids, no_ids, hashes, start, windows, done]
@@ -174,6 +179,32 @@ def _sorted_out(spans: DataFrame, hot: int) -> DataFrame:
     return spans.repartition("anchor").sortWithinPartitions(*order).mapInArrow(follow, FOUND_SCHEMA)
 
 
+def _bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """All bytes of a column of strings or bytes without nulls, and where each value begins and the last ends."""
+    column = column.cast(pa.large_binary())
+    ends = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
+    data = np.frombuffer(column.buffers()[2] or b"", np.uint8)[ends[0] : ends[-1]]
+    return data, ends - ends[0]
+
+
+def _column(data: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """The opposite of ``_bytes``, as a binary column."""
+    buffers = [None, pa.py_buffer(np.ascontiguousarray(ends, np.int64)), pa.py_buffer(np.ascontiguousarray(data))]
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(ends) - 1, buffers).cast(pa.binary())
+
+
+def _listed(column: pa.Array, *names: str) -> tuple[np.ndarray, ...]:
+    """Of a column of lists of structs: the row of each struct, and its fields."""
+    number = pc.list_value_length(column).fill_null(0).to_numpy()
+    flat = column.flatten()
+    return np.repeat(np.arange(len(column)), number), *(pc.struct_field(flat, name).to_numpy() for name in names)
+
+
+def _places(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """All numbers of the ranges ``begin`` to ``begin + size - 1``, one range behind the other."""
+    return np.arange(size.sum()) + np.repeat(begin - (np.cumsum(size) - size), size)
+
+
 def _bytes_of(rows: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
     """The bytes of the spans in question: whole for ``UNSURE``; window by window, named by hashes, for ``CROWDED``."""
     lists = wanted.groupBy(*KEY).agg(F.collect_list(F.struct("anchor", "start", "windows", "kind")).alias("spans"))
@@ -184,62 +215,104 @@ def _bytes_of(rows: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
         types = [pa.int64()] * 3 + [pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
         for batch in batches:
             for block in blocks(batch):
+                data, ends = _bytes(block.column("text"))
+                keys = [block.column(c).to_numpy() for c in KEY]
+                owner, anchor, start, windows, kind = _listed(block.column("spans"), "anchor", "start", "windows", "kind")
+                whole = np.flatnonzero(kind == UNSURE)
+                for low in range(0, len(whole), 20_000):
+                    at = whole[low : low + 20_000]
+                    size = windows[at].astype(np.int64) + length - 1
+                    held = data[_places(ends[owner[at]] + start[at], size)]
+                    columns = [anchor[at], np.zeros(len(at), np.int64), *(k[owner[at]] for k in keys), start[at], windows[at]]
+                    texts = _column(held, np.concatenate(([0], np.cumsum(size))))
+                    yield pa.RecordBatch.from_arrays([*(pa.array(c, t) for c, t in zip(columns, types)), texts], names=names)
                 out = []
-                for row in block.to_pylist():
-                    data = row["text"].encode()
-                    key = row["id"], row["no_id"], row["hash"]
-                    for s in row["spans"]:
-                        start, windows = s["start"], s["windows"]
-                        if s["kind"] == UNSURE:
-                            out.append((s["anchor"], 0, *key, start, windows, data[start : start + windows + length - 1]))
-                            continue
-                        for at in range(start, start + windows):
-                            name = hashlib.blake2b(data[at : at + length], digest_size=16).digest()
-                            a, b = (int.from_bytes(part, "little", signed=True) for part in (name[:8], name[8:]))
-                            out.append((a, b, *key, at, 1, None))
-                for start in range(0, len(out), 20_000):
+                for s in np.flatnonzero(kind != UNSURE):
+                    row, first = owner[s], int(ends[owner[s]])
+                    for at in range(start[s], start[s] + windows[s]):
+                        name = hashlib.blake2b(data[first + at : first + at + length], digest_size=16).digest()
+                        a, b = (int.from_bytes(part, "little", signed=True) for part in (name[:8], name[8:]))
+                        out.append((a, b, *(k[row] for k in keys), at, 1, None))
+                for low in range(0, len(out), 20_000):
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(c, t) for c, t in zip(zip(*out[start : start + 20_000]), types)], names=names
+                        [pa.array(c, t) for c, t in zip(zip(*out[low : low + 20_000]), types)], names=names
                     )
 
     return joined.mapInArrow(cut, BYTES_SCHEMA)
 
 
+def _with_equals(anchor: np.ndarray, windows: np.ndarray, data: np.ndarray, length: int) -> np.ndarray:
+    """Spans that may share a window with others of their anchor: the hash of one of theirs comes twice. The others have no
+    repeats and need no place in a suffix array, which compares the bytes of those that are left."""
+    n = windows.astype(np.int64)
+    size = n + length - 1
+    places = _places(np.cumsum(size) - size, n)
+    owner = np.repeat(np.arange(len(n)), n)
+    values = windows_hash(scrambled(data.astype(np.uint64) + np.uint64(1)), length)[places]
+    # The place is in the lower bits, so that one sort finds both equals and whose they are.
+    bits = np.uint64(max(len(places) - 1, 1).bit_length())
+    mixed = scrambled(values ^ scrambled(anchor.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15))[owner])
+    mixed = (mixed >> bits << bits) | np.arange(len(places), dtype=np.uint64)
+    mixed.sort()
+    again = np.diff(mixed >> bits) == 0
+    at = (mixed & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
+    kept = np.zeros(len(n), bool)
+    kept[owner[at[1:][again]]] = kept[owner[at[:-1][again]]] = True
+    return kept
+
+
 def _array_repeats(cut: DataFrame, length: int, array_bytes: int) -> DataFrame:
     """Repeated windows of the spans that have their bytes, as ranges."""
     names = [field.split()[0] for field in RANGE_SCHEMA.split(", ")]
     types = [pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32()]
 
-    def search(held: list[tuple]) -> pa.RecordBatch:
-        """``held``: (id, no_id, hash, start, windows, bytes) in the order of documents within each anchor."""
-        text = np.frombuffer(b"".join(row[5] for row in held), np.uint8)
-        sizes = np.array([len(row[5]) for row in held])
-        begin = np.cumsum(sizes) - sizes
-        windows = np.array([row[4] for row in held])
-        starts = np.arange(windows.sum()) + np.repeat(begin - (np.cumsum(windows) - windows), windows)
-        found = repeated_windows(text, starts, length)
+    def search(anchor: np.ndarray, keys: list[np.ndarray], windows: np.ndarray, data: np.ndarray) -> pa.RecordBatch:
+        """Spans of whole anchors, in the order of documents within each; ``keys`` are id, no_id, hash and start."""
+        kept = _with_equals(anchor, windows, data, length)
+        size = windows.astype(np.int64) + length - 1
+        text = data[np.repeat(kept, size)]
+        keys, windows, size = [k[kept] for k in keys], windows[kept].astype(np.int64), size[kept]
+        begin = np.cumsum(size) - size
+        found = repeated_windows(text, _places(begin, windows), length)
         span = np.searchsorted(begin, found, side="right") - 1
         head = np.flatnonzero(np.concatenate(([True], (np.diff(found) != 1) | (np.diff(span) != 0)))) if len(found) else np.empty(0, int)
         count = np.diff(np.append(head, len(found)))
-        out = [
-            (*held[s][:3], held[s][3] + int(found[h] - begin[s]), int(n)) for h, s, n in zip(head.tolist(), span[head].tolist(), count)
-        ]
-        columns = zip(*out) if out else [[]] * len(names)
+        own = span[head]
+        columns = [*(k[own] for k in keys[:3]), keys[3][own] + (found[head] - begin[own]), count]
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size, last = [], 0, None
+        held: list[tuple] = []
+        waiting = 0
+
+        def ready(last: bool) -> Iterator[pa.RecordBatch]:
+            """Arrays of whole anchors from what is held; the last anchor is held back while more of it may come."""
+            nonlocal held, waiting
+            anchor, *keys, windows, data = (np.concatenate(c) for c in zip(*held))
+            ends = np.concatenate(([0], np.cumsum(windows.astype(np.int64) + length - 1)))
+            heads = np.append(np.flatnonzero(np.concatenate(([True], anchor[1:] != anchor[:-1]))), len(anchor))
+            at, full = 0, len(heads) - 1 if last else len(heads) - 2
+            while at < full:
+                # Up to the first anchor that ends beyond the limit.
+                to = min(int(np.searchsorted(ends[heads], ends[heads[at]] + array_bytes, side="right")), full)
+                if to == full and not last and ends[heads[to]] - ends[heads[at]] <= array_bytes:
+                    break
+                low, high = heads[at], heads[to]
+                yield search(anchor[low:high], [k[low:high] for k in keys], windows[low:high], data[ends[low] : ends[high]])
+                at = to
+            low = heads[at]
+            held = [(anchor[low:], *(k[low:] for k in keys), windows[low:], data[ends[low] :])]
+            waiting = len(data) - int(ends[low])
+
         for batch in batches:
-            columns = (batch.column(c).to_pylist() for c in ("anchor", "id", "no_id", "hash", "start", "windows", "bytes"))
-            for anchor, *row in zip(*columns):
-                if anchor != last and size > array_bytes:
-                    yield search(held)
-                    held, size = [], 0
-                held.append(tuple(row))
-                size += len(row[5])
-                last = anchor
+            if not batch.num_rows:
+                continue
+            held.append((*(batch.column(c).to_numpy() for c in ("anchor", "id", "no_id", "hash", "start", "windows")), _bytes(batch.column("bytes"))[0]))
+            waiting += len(held[-1][-1])
+            if waiting > array_bytes:
+                yield from ready(False)
         if held:
-            yield search(held)
+            yield from ready(True)
 
     # A span of a repeated document row would meet itself; each key has one row here.
     order = ["anchor", "no_id", "id", "hash", "start"]
@@ -280,6 +353,17 @@ def repeats(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, array_b
     return ranges
 
 
+def _without(data: np.ndarray, ends: np.ndarray, start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of some texts without the ranges ``start`` to ``stop``, which don't overlap, and their new ends."""
+    change = np.zeros(len(data) + 1, np.int8)
+    # One range may end where the next begins, but no two begin or end at one place.
+    full = stop > start
+    change[start[full]] += 1
+    change[stop[full]] -= 1
+    left = np.cumsum(change[:-1], dtype=np.int8) == 0
+    return data[left], np.concatenate(([0], np.cumsum(left)))[ends]
+
+
 def without_repeats(docs: DataFrame, carry: list[str], length: int = LENGTH, **options: int) -> DataFrame:
     """One row per document without the bytes that ``length``-byte strings with an earlier start cover.
 
@@ -308,40 +392,38 @@ def without_repeats(docs: DataFrame, carry: list[str], length: int = LENGTH, **o
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block in blocks(batch):
-                out = []
-                for text, copy, ranges in zip(*(block.column(c).to_pylist() for c in ("text", "copy", "ranges"))):
-                    data = text.encode()
-                    merged: list[list[int]] = []
-                    if copy > 1:
-                        merged = [[0, len(data)]] if len(data) >= length else []
-                    for start, end in sorted((r["start"], r["start"] + r["windows"] + length - 1) for r in (ranges or []) if copy == 1):
-                        if merged and start <= merged[-1][1]:
-                            merged[-1][1] = max(end, merged[-1][1])
-                        else:
-                            merged.append([start, end])
-                    kept, shown, at, shown_at = [], [], 0, 0
-                    for start, end in merged:
-                        kept.append(data[at:start])
-                        at = end
-                        while start < end and start < len(data) and data[start] & 0xC0 == 0x80:
-                            start += 1
-                        while end > start and end < len(data) and data[end] & 0xC0 == 0x80:
-                            end -= 1
-                        shown.append(data[shown_at:start])
-                        shown_at = end
-                    kept.append(data[at:])
-                    shown.append(data[shown_at:])
-                    removed = sum(end - start for start, end in merged)
-                    out.append((len(data), removed, len(merged), b"".join(kept), b"".join(shown).decode()))
-                n, removed, spans, kept, shown = zip(*out)
+                data, ends = _bytes(block.column("text"))
+                size, copy = np.diff(ends), block.column("copy").to_numpy()
+                owner, start, windows = _listed(block.column("ranges"), "start", "windows")
+                own = copy[owner] == 1
+                again = np.flatnonzero((copy > 1) & (size >= length))
+                owner = np.concatenate((owner[own], again))
+                start = np.concatenate((start[own], np.zeros(len(again), np.int64)))
+                stop = np.concatenate((start[: own.sum()] + windows[own] + length - 1, size[again]))
+                # Places in all texts, with one between two texts, so that their ranges don't touch.
+                start, stop = (np.minimum(p, size[owner]) + ends[owner] + owner for p in (start, stop))
+                order = np.argsort(start)
+                start, stop, owner = start[order], np.maximum.accumulate(stop[order]), owner[order]
+                head = np.concatenate(([True], start[1:] > stop[:-1])) if len(start) else np.empty(0, bool)
+                tail = np.append(head[1:], True) if len(start) else head
+                owner, start, stop = owner[head], start[head] - owner[head], stop[tail] - owner[head]
+                removed = np.bincount(owner, stop - start, len(size)).astype(np.int64)
+                kept, kept_ends = _without(data, ends, start, stop)
+                # A character that a range splits stays whole: its other bytes have 0x80 to 0xBF at most.
+                inner = np.append(data & 0xC0, 0) == 0x80
+                for _ in range(3):
+                    start = start + ((start < stop) & inner[start])
+                for _ in range(3):
+                    stop = stop - ((stop > start) & (stop < ends[owner + 1]) & inner[stop])
+                shown = _column(*_without(data, ends, start, stop)).cast(pa.string())
                 yield pa.RecordBatch.from_arrays(
                     [
                         block.column("carried"),
-                        pa.array(n, pa.int64()),
-                        pa.array(removed, pa.int64()),
-                        pa.array(spans, pa.int64()),
-                        pa.array(kept, pa.binary()),
-                        pa.array(shown, pa.string()),
+                        pa.array(size),
+                        pa.array(removed),
+                        pa.array(np.bincount(owner, minlength=len(size))),
+                        _column(kept, kept_ends),
+                        shown,
                     ],
                     names=["carried", "n_bytes", "n_removed", "n_spans", "kept", "kept_text"],
                 )

@@ -202,6 +202,27 @@ def test_suffix_ranks(depth):
                 assert ranks[a] < ranks[b] or prefixes[a] == prefixes[b]
 
 
+def test_suffix_arrays_get_only_spans_with_equals():
+    """Spans of one anchor that share no window stay out of the suffix arrays; equal windows of other anchors don't count."""
+    rng = np.random.default_rng(8)
+    body = lambda n: bytes(rng.integers(97, 123, n, np.uint8))
+    shared, anchor = body(100), body(20)
+    spans = [  # anchor, bytes, has an equal window
+        (1, body(60) + anchor + body(60), False),
+        (1, body(39) + anchor + body(50), False),
+        (2, shared + body(11), True),
+        (2, body(7) + shared, True),
+        (2, body(130), False),
+        (3, body(5) + shared + body(9), False),
+    ]
+    for repeat in (1, 50):
+        chosen = spans * repeat if repeat == 1 else [(10 * n + a, b, e) for n in range(repeat) for a, b, e in spans]
+        anchors = np.array([a for a, _, _ in chosen], np.int64)
+        windows = np.array([len(b) - 99 for _, b, _ in chosen], np.int32)
+        kept = suffix_dedup._with_equals(anchors, windows, np.frombuffer(b"".join(b for _, b, _ in chosen), np.uint8), 100)
+        assert kept.tolist() == [e for _, _, e in chosen]
+
+
 # 5 fingerprints
 
 
