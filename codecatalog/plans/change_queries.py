@@ -13,7 +13,7 @@ from codecatalog.functions.text import sha256_hex
 from codecatalog.operators import diff as d
 from codecatalog.operators import fill, modules, report, symbols
 from codecatalog.plans.catalog_queries import MODULES_SQL
-from codecatalog.plans.registry import catalog, expected_symbols, kept_files, query, tagged, with_base
+from codecatalog.plans.registry import catalog, expected_symbols, kept_files, query, with_base, written_files
 from codecatalog.session import new_run_dir
 from codecatalog.sources import sinks, state
 
@@ -169,14 +169,15 @@ MISSING_PY = (
 STEM = "regexp_replace(regexp_replace(path, '^.*/', ''), '[.][^.]+$', '')"
 
 
-def python_candidates(spark: SparkSession, sf: str) -> DataFrame:
-    files = kept_files(spark, sf, ("python",))
+def python_candidates(spark: SparkSession, sf: str, files: DataFrame | None = None) -> DataFrame:
+    files = kept_files(spark, sf, ("python",)) if files is None else files.where("lang = 'python'")
     py = {"python": specs.PYTHON}
     return fill.doc_candidates(files, symbols.catalog_rows(files, py), py)
 
 
-def python_suggestions(spark: SparkSession, sf: str) -> DataFrame:
-    prompts = fill.doc_prompts(python_candidates(spark, sf))
+def python_suggestions(spark: SparkSession, sf: str, files: DataFrame | None = None) -> DataFrame:
+    """Suggestions for the Python files of the corpus, or of ``files`` where they are at hand."""
+    prompts = fill.doc_prompts(python_candidates(spark, sf, files))
     return fill.clean_completions(fill.complete(prompts, stub_docstrings))
 
 
@@ -230,20 +231,18 @@ REPORT_SQL = with_base(
 
 
 def corpus_report(spark: SparkSession, sf: str) -> DataFrame:
-    from codecatalog.sources.files import quarantine_syntax
-
     run = new_run_dir(spark, "report-tables")
-    files = kept_files(spark, sf)
+    files, broken = written_files(spark, sf)
     symbols.extract_symbols(files).write.parquet(f"{run}/symbols")
     syms = spark.read.parquet(f"{run}/symbols")
     diff = document_diff(spark, sf)
-    report.change_feed(diff, syms, python_suggestions(spark, sf)).write.parquet(f"{run}/changes")
+    report.change_feed(diff, syms, python_suggestions(spark, sf, files)).write.parquet(f"{run}/changes")
     return report.build_report(
         spark.read.parquet(f"{run}/changes"),
         modules.project_counts(modules.modules(modules.module_docs(files), syms)),
         d.file_status_counts(diff),
         source="documents", output="docs", format="markdown", incremental=True,
-        errors=quarantine_syntax(tagged(spark, sf))[1],
+        errors=broken,
     )
 
 
@@ -485,5 +484,5 @@ def stub_sources(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     ),
 )
 def generic_fill(spark: SparkSession, sf: str) -> DataFrame:
-    files = kept_files(spark, sf)
+    files = written_files(spark, sf)[0]
     return fill.generic_fill(files, fill.complete(fill.generic_prompts(files), stub_sources))

@@ -5,9 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from codecatalog import corpus, specs
 from codecatalog.operators import symbols
+from codecatalog.session import new_run_dir
 from codecatalog.sources import files as source_files
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -46,6 +48,18 @@ def kept_files(spark: SparkSession, sf: str, langs: tuple[str, ...] = ()) -> Dat
     return source_files.quarantine_syntax(rows, chosen)[0]
 
 
+def written_files(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """The files of ``kept_files`` and the quarantine of all corpus files, made and checked once, for queries that read
+    them several times."""
+    checked = source_files.with_syntax_problem(tagged(spark, sf))
+    path = new_run_dir(spark, "corpus-files")
+    checked.write.parquet(path)
+    rows = spark.read.schema(checked.schema).parquet(path)
+    good = rows.where("problem IS NULL").drop("problem")
+    bad = rows.where("problem IS NOT NULL").select("path", F.col("problem").alias("reason"))
+    return source_files.skip_test_files(source_files.exclude_dirs(good)), bad
+
+
 def catalog(spark: SparkSession, sf: str, *langs: str) -> DataFrame:
     chosen = {n: specs.SPECS[n] for n in langs} if langs else specs.SPECS
     return symbols.extract_symbols(kept_files(spark, sf, langs), chosen)

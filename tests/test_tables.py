@@ -11,7 +11,7 @@ from codecatalog.functions import predicates, text
 from codecatalog.operators import diff as d
 from codecatalog.operators import fill, lines, modules, publish
 from codecatalog.operators.ordering import with_dense_order
-from codecatalog.plans import build, registry
+from codecatalog.plans import build, change_queries, registry
 from codecatalog.plans.change_queries import corpus_snapshot
 from codecatalog.session import new_run_dir
 from codecatalog.sources import files as src
@@ -380,3 +380,22 @@ def test_states_of_a_folder_are_listed_by_tasks(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(state, "LARGE_STATE", 1 << 20)
     assert not [f for f in state.read_state_json(spark, str(folder)).inputFiles() if f.endswith(".json")]
     assert {r["path"]: r["sha256"] for r in state.read_state_json(spark, str(folder)).collect()} == known
+
+
+def test_report_inputs_come_from_files_at_hand(spark):
+    """Suggestions are made from the files that a report has written, not from the corpus built again."""
+    files = spark.createDataFrame(
+        [("a.py", "py", "python", "def f(x):\n    return x\n"), ("b.py", "py", "python", 'def g():\n    """Doc."""\n'), ("c.go", "go", "go", "func F() {}")],
+        "path string, ext string, lang string, content string",
+    )
+    rows = change_queries.python_suggestions(spark, "/nowhere", files).select("path", "name", "docstring").collect()
+    assert [tuple(r) for r in rows] == [("a.py", "f", "Documents f.")]
+
+
+def test_written_files_are_the_kept_ones_and_the_quarantine(spark, sf_dir):
+    kept, broken = registry.written_files(spark, sf_dir)
+    same = registry.kept_files(spark, sf_dir)
+    assert kept.columns == same.columns and sorted(kept.collect()) == sorted(same.collect())
+    assert broken.columns == ["path", "reason"]
+    python = registry.kept_files(spark, sf_dir, ("python",))
+    assert sorted(kept.where("lang = 'python'").select("path", "content").collect()) == sorted(python.select("path", "content").collect())
