@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Mapping
+from contextlib import contextmanager
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from codecatalog import fixed_values as fv
@@ -192,8 +193,39 @@ def generic_prompts(files: DataFrame, specs: Mapping[str, LangSpec] = SPECS, par
     )
 
 
+#: Characters of prompts that a completer gets at a time, about. One longer prompt is a batch of its own.
+BATCH_CHARS = 4 << 20
+#: Prompts that Spark sends to a Python worker at a time.
+BATCH_ROWS = 512
+
+
+def in_pieces(batches: Iterator[pd.Series], limit: int = BATCH_CHARS) -> Iterator[pd.Series]:
+    """Batches cut into runs of at most ``limit`` characters, one prompt at least. Spark counts rows, and ten thousand
+    files with the copies that a completer makes of them don't fit beside an executor."""
+    for batch in batches:
+        start, held = 0, 0
+        for at, size in enumerate(batch.str.len().fillna(0)):
+            if at > start and held + size > limit:
+                yield batch.iloc[start:at].reset_index(drop=True)
+                start, held = at, 0
+            held += size
+        yield batch.iloc[start:].reset_index(drop=True)
+
+
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Batches of few rows for Python functions that run meanwhile; a smaller limit that is set already stays."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name, "10000")
+    spark.conf.set(name, str(BATCH_ROWS if int(before) <= 0 else min(int(before), BATCH_ROWS)))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def complete(prompts: DataFrame, completer: Completer) -> DataFrame:
-    """Add ``completion``. The completer sees a stream of batches and sets itself up once per task.
+    """Add ``completion``. The completer sees a stream of batches of bounded size and sets itself up once per task.
 
     The answers are written to the shared folder and read from there, so that each prompt is put once, however
     often the result is used.
@@ -201,11 +233,12 @@ def complete(prompts: DataFrame, completer: Completer) -> DataFrame:
 
     @F.pandas_udf("string")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        yield from completer(batches)
+        yield from completer(in_pieces(batches))
 
     completed = prompts.withColumn("completion", run.asNondeterministic()("prompt"))
     path = new_run_dir(prompts.sparkSession, "completions")
-    completed.write.parquet(path)
+    with small_batches(prompts.sparkSession):
+        completed.write.parquet(path)
     return prompts.sparkSession.read.schema(completed.schema).parquet(path)
 
 

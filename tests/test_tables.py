@@ -382,6 +382,25 @@ def test_states_of_a_folder_are_listed_by_tasks(spark, tmp_path, monkeypatch):
     assert {r["path"]: r["sha256"] for r in state.read_state_json(spark, str(folder)).collect()} == known
 
 
+def test_completers_get_batches_of_bounded_size(spark):
+    """However many long prompts a task has; the answers are whole and the session's own limit stays."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def completer(batches):
+        for batch in batches:
+            assert len(batch) <= fill.BATCH_ROWS
+            assert len(batch) == 1 or batch.str.len().sum() <= fill.BATCH_CHARS
+            seen.add(len(batch))
+            yield batch.str.len().astype(str)
+
+    sized = F.when(F.col("id") % 500 == 7, 5_000_000).when(F.col("id") % 3 == 0, 60_000).otherwise(10)
+    prompts = spark.range(0, 1500, 1, 1).select("id", F.repeat(F.lit("x"), sized.cast("int")).alias("prompt"))
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    done = fill.complete(prompts, completer)
+    assert done.where(F.col("completion") == F.length("prompt").cast("string")).count() == 1500
+    assert seen.value == 1500 and spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == before
+
+
 def test_report_inputs_come_from_files_at_hand(spark):
     """Suggestions are made from the files that a report has written, not from the corpus built again."""
     files = spark.createDataFrame(
